@@ -141,14 +141,14 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 100, toleranc
 
     Faults are of different kinds and a document with one passes most other rules, so one class of bad documents would
     only learn the commonest fault; each rule gets a class of its own, started at "this rule flags, the others mostly
-    do not". A smoothing count of 1 keeps every probability inside (0, 1). Good documents are flagged by a rule at a rate of
+    do not". Abstaining is as likely in every class and so says nothing. A smoothing count of 1 keeps every probability inside (0, 1). Good documents are flagged by a rule at a rate of
     ``FALSE_ALARMS`` or less, else the rate of a rule that is alone in flagging would be learnt away. An empty table
     leaves the start values.
     """
     m = len(RULES)
     prior = [0.8] + [0.2 / m] * m
     other = [0.1, 0.1, 0.8]
-    table = [[[0.005, 0.205, 0.79]] + [[0.8, 0.1, 0.1] if c == k else list(other) for c in range(m)] for k in range(m)]
+    table = [[[0.005, 0.1, 0.895]] + [[0.8, 0.1, 0.1] if c == k else list(other) for c in range(m)] for k in range(m)]
     rows = [([c // 3**k % 3 for k in range(m)], n) for c, n in sorted(counts.items())]
     total = sum(n for _, n in rows)
     last, r = None, 0
@@ -167,15 +167,12 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 100, toleranc
                 for k, v in enumerate(votes):
                     soft[k][c][v] += w
         prior = [x / (total + m + 1) for x in mass]
-        table = [[[x / sum(row) for x in row] for row in rule] for rule in soft]
-        for rule in table:
-            good = rule[0]
-            if good[BAD] > FALSE_ALARMS:
-                rule[0] = [FALSE_ALARMS, *(x * (1 - FALSE_ALARMS) / (1 - good[BAD]) for x in good[1:])]
-        for k, rule in enumerate(table):
-            own = rule[k + 1]
-            if own[BAD] < DETECTION:
-                rule[k + 1] = [DETECTION, *(x * (1 - DETECTION) / (1 - own[BAD]) for x in own[1:])]
+        for k, rule in enumerate(soft):
+            silent = sum(row[ABSTAIN] for row in rule) / sum(map(sum, rule))
+            for c, row in enumerate(rule):
+                flags = row[BAD] / (row[BAD] + row[GOOD])
+                flags = min(flags, FALSE_ALARMS) if c == 0 else max(flags, DETECTION) if c == k + 1 else flags
+                table[k][c] = [(1 - silent) * flags, silent, (1 - silent) * (1 - flags)]
         if last is not None and abs(likelihood - last) <= tolerance * abs(last):
             break
         last = likelihood
