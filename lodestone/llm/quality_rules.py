@@ -29,7 +29,7 @@ DETECTION = 0.9
 RULES: list[tuple[str, str, str]] = [
     ("symbols", "n_symbols * 10 > n_words", "n_symbols * 50 <= n_words"),
     ("repeats", "n_repeat_words * 10 > n_words * 3", "n_repeat_words * 100 <= n_words"),
-    ("dup_lines", "n_dup_lines * 10 > n_lines * 3", "n_dup_lines * 50 <= n_lines"),
+    ("dup_lines", "n_dup_lines * 2 > n_lines", "n_dup_lines * 50 <= n_lines"),
     ("capitals", "n_upper * 2 > n_letters", "n_upper * 5 <= n_letters"),
     ("exclaims", "n_exclaims * 5 > n_words", "n_exclaims * 50 <= n_words"),
     ("variety", "n_distinct * 5 < n_words AND n_words < 5000", "n_distinct * 5 >= n_words * 2"),

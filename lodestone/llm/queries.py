@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, quality_rules, simhash, token_counts, url_filters, warc
+from lodestone.llm import decontamination, katz, mixing, quality_rules, simhash, token_counts, url_filters, warc
 from lodestone.llm.store import Stored, table
 
 
@@ -37,6 +37,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that leaked into it."""
+    return decontamination.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prints = Stored(simhash.with_fingerprint(docs, "text", "fp", 3, ["doc_id"]), "simhash-prints").df
@@ -63,15 +68,21 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(pages.select("page_id", "url"), model).select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 
+def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules,
         op2_mixing,
         op4_token_counts,
+        op5_decontamination,
         op6_simhash,
         op7_warc_fixity,
         op8_url_filters,
+        op10_katz_scores,
     )
 }
 ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op7_warc_fixity": warc.ORACLE}
