@@ -2,8 +2,8 @@
 
 The items form the index, every passage of every training text is a query. Impacts are BM25 contributions divided by the
 item's score against itself, so 1 means "all of the item's words" and one threshold serves all items. A passage is first
-held against the bound that its rarer words allow (an item whose common words alone cannot reach the threshold needs one of
-its rarer ones); for passages that remain, block-max WAND retrieves every item above the threshold. A retrieved item
+held against the bound that its rarer words allow (an item's common words reach only part of the threshold, the rest must
+come from its rarer ones); for passages that remain, block-max WAND retrieves every item above the threshold. A retrieved item
 counts as leaked if enough 5-word shingles of its question part and of its answer part occur in the passage.
 
 Items are indexed in blocks of bounded bytes, one pass over the texts a block, so the benchmark may have any size.
@@ -27,6 +27,8 @@ K1, B = 1.2, 0.75
 #: Share of an item's own score from which it is retrieved; share of shingles that must occur in the passage.
 THRESHOLD, OVERLAP = 0.6, 0.8
 SHINGLE = 5
+#: An item's commonest words count as common up to this share of the threshold; the rest are looked up for every passage.
+COMMON = 0.35
 POSTINGS_BLOCK = 16
 #: Bytes of item text in one index.
 INDEX_BYTES = 4 << 20
@@ -71,7 +73,7 @@ class Index:
             own = sum(raw.values())
             for t, x in sorted(raw.items(), key=lambda y: (y[1], y[0])):
                 postings[self.terms[t]].append((j, x / own))
-                if self.common[j] + x / own < threshold:
+                if self.common[j] + x / own < threshold * COMMON:
                     self.common[j] += x / own
                 else:
                     rare[self.terms[t]].append((j, x / own))

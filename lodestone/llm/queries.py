@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, katz, mixing, quality_rules, simhash, token_counts, url_filters, warc
+from lodestone.llm import decontamination, katz, line_dedup, mixing, quality_rules, simhash, token_counts, url_filters, warc
 from lodestone.llm.store import Stored, table
 
 
@@ -68,6 +68,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(pages.select("page_id", "url"), model).select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: lines with a word, lines removed, and which."""
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.fit_and_score(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
         op6_simhash,
         op7_warc_fixity,
         op8_url_filters,
+        op9_line_dedup,
         op10_katz_scores,
     )
 }
