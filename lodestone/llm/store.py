@@ -20,6 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 _own: list[str] = []
+_live: dict[str, "Stored"] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,15 +44,27 @@ class Stored:
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         where, fs = self._fs()
         fs.deleteOnExit(where)
+        _live[self.path] = self
 
     def _fs(self):
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(self.path)
         return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def keep(self) -> None:
+        """Out of reach of :func:`sweep`."""
+        _live.pop(self.path, None)
+
     def drop(self) -> None:
         where, fs = self._fs()
         fs.delete(where, True)
+        _live.pop(self.path, None)
+
+
+def sweep() -> None:
+    """Drops every table stored so far. For a stage that starts once all results of the one before are written."""
+    for stored in list(_live.values()):
+        stored.drop()
 
 
 def fresh(df: DataFrame, name: str) -> str:
