@@ -39,12 +39,17 @@ RULES: list[tuple[str, str, str]] = [
 ]
 
 
+NAMES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_letters", "n_exclaims", "n_stops")
+
+
 def _size(c: Column) -> Column:
     return F.size(c).cast("long")
 
 
 def features(docs: DataFrame, text_col: str, at: str) -> DataFrame:
-    """``docs`` with a struct column ``at`` of counts over the whole text.
+    """``docs`` with columns ``at_<name>`` (see ``NAMES``) of counts over the whole text.
+
+    They are columns and not one struct, and each is used more than once, so the optimizer computes each once a row.
 
     Null and empty texts count 0 throughout. The repeated-window count hashes every 8-word window to 64 bits, stops
     there when all hashes differ, and otherwise sorts (hash, position) within the row: n log n, however repetitive.
@@ -71,7 +76,7 @@ def features(docs: DataFrame, text_col: str, at: str) -> DataFrame:
     without = lambda chars: (F.length(t) - F.length(F.translate(F.col(t), chars, ""))).cast("long")
     letters = "abcdefghijklmnopqrstuvwxyz"
     upper = without(letters.upper())
-    counts = F.struct(
+    counts = [
         _size(F.col(words)).alias("n_words"),
         F.length(F.translate(F.col(t), BLANKS, "")).cast("long").alias("word_chars"),
         without(SYMBOLS).alias("n_symbols"),
@@ -83,8 +88,9 @@ def features(docs: DataFrame, text_col: str, at: str) -> DataFrame:
         without(letters.upper() + letters).alias("n_letters"),
         without("!").alias("n_exclaims"),
         without(".!?").alias("n_stops"),
-    )
-    return df.withColumn(at, counts).drop(t, words, hashes, keys, ordered, places, line_col)
+    ]
+    named = [c.alias(f"{at}_{name}") for c, name in zip(counts, NAMES, strict=True)]
+    return df.select("*", *named).drop(t, words, hashes, keys, ordered, places, line_col)
 
 
 def vote_pattern(at: str) -> Column:
@@ -96,10 +102,8 @@ def vote_pattern(at: str) -> Column:
 
 
 def _vote(at: str, bad: str, good: str) -> Column:
-    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_letters", "n_exclaims", "n_stops")
-
     def qualify(cond: str) -> Column:
-        return F.expr(" ".join(f"`{at}`.{w}" if w in names else w for w in cond.replace("(", "( ").replace(")", " )").split()))
+        return F.expr(" ".join(f"`{at}_{w}`" if w in NAMES else w for w in cond.replace("(", "( ").replace(")", " )").split()))
 
     return F.when(qualify(bad), BAD).when(qualify(good), GOOD).otherwise(ABSTAIN)
 
@@ -124,15 +128,15 @@ class LabelModel:
             out[name] = right / (right + wrong) if right + wrong else 0.5
         return out
 
-    def posterior(self, pattern: Column) -> Column:
+    def posterior(self, pattern: int) -> float:
         """Probability of "good" for a vote pattern."""
-        odds = F.lit(0.0)
+        odds = 0.0
         for c in range(1, len(self.prior)):
-            score = F.lit(math.log(self.prior[c]) - math.log(self.prior[0]))
+            score = math.log(self.prior[c]) - math.log(self.prior[0])
             for k, rule in enumerate(self.table):
-                ratio = F.array(*[F.lit(math.log(rule[c][v]) - math.log(rule[0][v])) for v in range(3)])
-                score = score + F.get(ratio, (F.floor(pattern / 3**k) % 3).cast("int"))
-            odds = odds + F.exp(score)
+                v = pattern // 3**k % 3
+                score += math.log(rule[c][v]) - math.log(rule[0][v])
+            odds += math.exp(score)
         return 1 / (1 + odds)
 
 
@@ -179,14 +183,16 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 100, toleranc
     return LabelModel(prior, table, r)
 
 
-def fit(patterns: DataFrame, pattern_col: str) -> LabelModel:
-    """The driver gets one row per vote pattern that occurs: at most 3 ** len(RULES)."""
-    return expectation_maximisation({int(r[0]): int(r[1]) for r in patterns.groupBy(pattern_col).count().collect()})
+def pattern_posteriors(patterns: DataFrame, pattern_col: str) -> DataFrame:
+    """``pattern, p_good`` for every vote pattern of the column: at most 3 ** len(RULES) rows, so driver and broadcast hold
+    them at any size of the corpus."""
+    counts = {int(r[0]): int(r[1]) for r in patterns.groupBy(pattern_col).count().collect()}
+    model = expectation_maximisation(counts)
+    return patterns.sparkSession.createDataFrame([(c, model.posterior(c)) for c in sorted(counts)], "pattern long, p_good double")
 
 
 def base_failed(at: str) -> Column:
-    f = F.col(at)
-    return (f["n_words"] < 20) | (f["n_repeat_words"] * 100 > f["n_words"] * 30)
+    return (F.col(f"{at}_n_words") < 20) | (F.col(f"{at}_n_repeat_words") * 100 > F.col(f"{at}_n_words") * 30)
 
 
 def keep(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -196,7 +202,13 @@ def keep(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5) ->
     an empty table stays empty. The corpus is read twice: once for the vote patterns, once to filter.
     """
     at, code = fresh(docs, "quality_features"), fresh(docs, "quality_votes")
-    voted = features(docs, text_col, at).withColumn(code, vote_pattern(at))
-    model = fit(features(docs.select(text_col), text_col, at).select(vote_pattern(at).alias(code)), code)
-    good = (~base_failed(at)) & (model.posterior(F.col(code)) >= threshold)
-    return voted.filter(good).drop(at, code)
+    pattern = fresh(docs, "quality_pattern")
+    alone = features(docs.select(text_col), text_col, at).select(vote_pattern(at).alias(code))
+    good = pattern_posteriors(alone, code).filter(F.col("p_good") >= threshold).select(F.col("pattern").alias(pattern))
+    # A predicate pushed below the features would spell them out again, lambdas within lambdas. It does not pass a
+    # projection with a column that depends on the task, so one is kept in the way and used.
+    task = fresh(docs, "quality_task")
+    code_or_none = F.when(base_failed(at), F.lit(-1)).otherwise(vote_pattern(at))
+    voted = features(docs, text_col, at).select(*[F.col(f"`{c}`") for c in docs.columns], code_or_none.alias(code), F.spark_partition_id().alias(task))
+    kept = voted.filter(F.col(task) >= 0).join(F.broadcast(good), F.col(code) == F.col(pattern), "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

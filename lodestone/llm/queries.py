@@ -12,16 +12,15 @@ from lodestone.llm.store import Stored, table
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: base counts, base verdict, posterior probability of "good" and the verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    at = "features"
-    rows = Stored(quality_rules.features(docs, "text", at).select("doc_id", at, quality_rules.vote_pattern(at).alias("votes")), "quality").df
-    model = quality_rules.fit(rows, "votes")
-    good = model.posterior(F.col("votes"))
+    at = "f"
+    rows = Stored(quality_rules.features(docs, "text", at).withColumn("pattern", quality_rules.vote_pattern(at)).drop("text"), "quality").df
+    rows = rows.join(F.broadcast(quality_rules.pattern_posteriors(rows, "pattern")), "pattern")
     return rows.select(
         "doc_id",
-        *[F.col(f"{at}.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        *[F.col(f"f_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         quality_rules.base_failed(at).alias("base_failed"),
-        good.alias("p_good"),
-        ((~quality_rules.base_failed(at)) & (good >= 0.5)).alias("kept"),
+        "p_good",
+        ((~quality_rules.base_failed(at)) & (F.col("p_good") >= 0.5)).alias("kept"),
     )
 
 
