@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, katz, line_dedup, mixing, quality_rules, simhash, token_counts, url_filters, warc
+from lodestone.llm import decontamination, katz, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_counts, url_filters, warc
 from lodestone.llm.store import Stored, table
 
 
@@ -30,6 +30,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +85,7 @@ QUERIES = {
     for f in (
         op1_quality_rules,
         op2_mixing,
+        op3_suffix_array_dedup,
         op4_token_counts,
         op5_decontamination,
         op6_simhash,
