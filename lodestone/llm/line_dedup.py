@@ -151,7 +151,7 @@ def line_rows(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, LINES)
 
 
-POSTINGS = "p int, chunk long, keys binary, k binary, size binary, place binary"
+POSTINGS = "p int, chunk long, keys binary, k binary, size binary, place binary, parity binary"
 
 
 def _ceil(a: np.ndarray, b: int) -> np.ndarray:
@@ -166,7 +166,8 @@ def postings(n: int, cells):
         if left.num_rows and right.num_rows:
             c = Chunk(left)
             first = np.zeros(len(c.sizes), bool)
-            first[right.column("k").to_numpy()] = True
+            first[np.array(right.column("ks")[0].as_py())] = True
+            parity = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(c.dictionary) >> np.uint64(58))[c.words], c.starts)
             rarity = np.lexsort((c.dictionary, cells.value[cell(c.dictionary)]))
             rank = np.empty(len(rarity), np.int64)
             rank[rarity] = np.arange(len(rarity))
@@ -178,10 +179,10 @@ def postings(n: int, cells):
             h, k, size, place = c.dictionary[words[take]], owner[take], size[take], place[take]
             for p, at in by_part((mixed(h) % np.uint64(n)).astype(np.int64), n):
                 at = at[np.argsort(h[at], kind="stable")]
-                rows.append((p, c.number, pack_sorted(h[at]), pack(k[at].astype(np.int32)), pack(size[at].astype(np.int32)), pack(place[at].astype(np.int32))))
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["p", "chunk", "keys", "k", "size", "place"])
+                rows.append((p, c.number, pack_sorted(h[at]), pack(k[at].astype(np.int32)), pack(size[at].astype(np.int32)), pack(place[at].astype(np.int32)), pack(parity[k[at]])))
+        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["p", "chunk", "keys", "k", "size", "place", "parity"])
 
     return run
 
@@ -190,7 +191,9 @@ PAIR = "a_chunk long, a int, b_chunk long, b int"
 
 
 def candidates(t: pa.Table) -> pa.Table:
-    """Pairs of a partition's lines that pass the prefix, length and positional filters, each once a partition.
+    """Pairs of a partition's lines that pass the prefix, length, positional and parity filters, each once a partition.
+
+    ``parity`` flips one of 64 bits a word; lines differ in at least as many words as their parities differ in bits.
 
     ``a`` is the larger line. Lines of a word are taken in order of size, so the partners of one are a stretch behind it.
     """
@@ -198,9 +201,10 @@ def candidates(t: pa.Table) -> pa.Table:
     keys = [unpack_sorted(x.as_py()) for x in t.column("keys")]
     k, size, place = (np.concatenate([unpack(x.as_py()) for x in t.column(c)]).astype(np.int64) for c in ("k", "size", "place"))
     chunk = np.repeat(np.array(chunks, np.int64), [len(x) for x in keys])
+    parity = np.concatenate([unpack(x.as_py()) for x in t.column("parity")])
     _, word = np.unique(np.concatenate(keys), return_inverse=True)
     order = np.lexsort((k, chunk, size, word))
-    word, size, place, chunk, k = word[order], size[order], place[order], chunk[order], k[order]
+    word, size, place, chunk, k, parity = (x[order] for x in (word, size, place, chunk, k, parity))
     # Larger partners: same word, later in the order, size at most size * U / T.
     wide = int(size.max()) * _U // _T + 2 if len(size) else 1
     own = word * wide + size
@@ -217,7 +221,8 @@ def candidates(t: pa.Table) -> pa.Table:
         both = size[small] + size[large]
         need = _ceil(both * _T, _T + _U)
         reach = 1 + np.minimum(size[small] - place[small] - 1, size[large] - place[large] - 1)
-        ok = reach >= need
+        ok = np.flatnonzero(reach >= need)
+        ok = ok[np.bitwise_count(parity[small[ok]] ^ parity[large[ok]]) <= both[ok] - 2 * need[ok]]
         pair = np.stack([chunk[large[ok]], k[large[ok]], chunk[small[ok]], k[small[ok]]], axis=1)
         found.append(np.unique(pair, axis=0) if len(pair) else pair)
         start = stop
@@ -246,12 +251,19 @@ GONE = "chunk long, doc int, line int"
 
 
 def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The later line of each pair that is similar."""
+    """Lines to remove: of each pair that is similar the later one, and the chunk's lines that are not a set's first."""
     rows = set()
-    if left.num_rows and right.num_rows:
+    if left.num_rows:
         c = Chunk(left)
+        copy = np.ones(len(c.sizes), bool)
+        for ks in right.column("ks").to_pylist():
+            if ks is not None:
+                copy[np.array(ks)] = False
+        rows.update(zip([c.number] * int(copy.sum()), c.doc[copy].tolist(), c.line[copy].tolist(), strict=True))
         mine: dict[int, np.ndarray] = {}
         for b, words, i, line, chunk, k, doc in zip(*(right.column(x).to_pylist() for x in ("b", "words", "id", "line", "chunk", "k", "doc")), strict=True):
+            if words is None:
+                continue
             own = mine.get(b)
             if own is None:
                 own = mine[b] = c.hashes(b)
@@ -289,17 +301,16 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     n = tasks(spark)
     kind = docs.select(id_col).schema[0].dataType
     chunks = Stored(encode(docs, id_col, text_col), "lines-chunks").df
-    lines = Stored(line_rows(chunks), "lines-sets").df
-    firsts = Stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line", "chunk", "k")).alias("f")).select("h1", "h2", F.col("f.chunk").alias("f_chunk"), F.col("f.k").alias("f_k")), "lines-firsts").df
-    copies = lines.join(firsts, ["h1", "h2"]).filter("NOT (chunk = f_chunk AND k = f_k)").select("chunk", "doc", "line")
+    firsts = line_rows(chunks).groupBy("h1", "h2").agg(F.min(F.struct("id", "line", "chunk", "k")).alias("f"))
+    firsts = Stored(firsts.groupBy(F.col("f.chunk").alias("chunk")).agg(F.collect_list("f.k").alias("ks")), "lines-firsts").df
 
     cells = spark.sparkContext.broadcast(cell_counts(chunks))
-    first = firsts.select(F.col("f_chunk").alias("chunk"), F.col("f_k").alias("k"))
-    posted = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(postings(n, cells), POSTINGS)
+    posted = chunks.groupBy("chunk").cogroup(firsts.groupBy("chunk")).applyInArrow(postings(n, cells), POSTINGS)
     pairs = Stored(posted.groupBy("p").applyInArrow(candidates, PAIR).distinct(), "lines-pairs").df
     shipped = chunks.groupBy("chunk").cogroup(pairs.groupBy("a_chunk")).applyInArrow(ship, SHIPPED)
-    similar = chunks.groupBy("chunk").cogroup(shipped.groupBy("b_chunk")).applyInArrow(verify, GONE)
-    gone = copies.union(similar).groupBy("chunk", "doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    told = shipped.unionByName(firsts.select(F.col("chunk").alias("b_chunk"), "ks"), allowMissingColumns=True)
+    gone = chunks.groupBy("chunk").cogroup(told.groupBy("b_chunk")).applyInArrow(verify, GONE)
+    gone = gone.groupBy("chunk", "doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     out = doc_rows(chunks).join(gone, ["chunk", "doc"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
