@@ -133,7 +133,8 @@ simple("codon_count", "orders", "o_orderkey", "o_orderkey", {"n": lambda c: F.fl
 
 @query(f"WITH dim(codon, label) AS (VALUES {', '.join(f'({c!r}, {x!r})' for x, cs in S.CODONS.items() for c in cs.split())}), c AS (SELECT o_orderkey, unnest(list_transform(range(0, length(r) - 2, 3), lambda i: substr(r, i + 1, 3))) AS codon FROM (SELECT o_orderkey, replace({DNA.format(k='o_orderkey')}, 'T', 'U') AS r FROM orders)) SELECT label, count(*)::BIGINT AS n FROM c LEFT JOIN dim USING (codon) GROUP BY label")
 def codon_translate(spark, sf_dir):
-    rna = sources.load(spark, sf_dir, "orders").select(F.explode(S.codons(S.transcribe(dna(F.col("o_orderkey"))))).alias("codon"))
+    rna = sources.load(spark, sf_dir, "orders").select(S.transcribe(dna(F.col("o_orderkey"))).alias("rna"))  # once a row, not once a codon
+    rna = rna.select(F.explode(S.codons(F.col("rna"))).alias("codon"))
     return rna.join(F.broadcast(S.codon_dim(spark)), "codon", "left").groupBy("label").agg(F.count("*").alias("n"))
 
 
