@@ -8,7 +8,8 @@ rest word by word. Lines of fewer than ``MIN_WORDS`` different words are left al
 
 Rarity is the frequency of a word's hash among 2**20 cells: any total order gives the exact join, this one has a fixed size.
 Words travel as 64-bit hashes. The corpus is encoded once into chunks in the shared folder; postings travel as sorted,
-compressed blocks from chunks to partitions of words.
+compressed blocks from chunks to partitions of words, and so do pairs and the lines to verify them, from chunk to chunk.
+The chunks are bucketed by their number and do not travel again.
 """
 
 from __future__ import annotations
@@ -187,7 +188,7 @@ def postings(n: int, cells):
     return run
 
 
-PAIR = "a_chunk long, a int, b_chunk long, b int"
+PAIRS_OF = "a_chunk long, a binary, b_chunk binary, b binary"
 
 
 def candidates(t: pa.Table) -> pa.Table:
@@ -227,55 +228,105 @@ def candidates(t: pa.Table) -> pa.Table:
         found.append(np.unique(pair, axis=0) if len(pair) else pair)
         start = stop
     pair = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 4), np.int64)
-    return pa.table({"a_chunk": pa.array(pair[:, 0]), "a": pa.array(pair[:, 1].astype(np.int32)), "b_chunk": pa.array(pair[:, 2]), "b": pa.array(pair[:, 3].astype(np.int32))})
+    rows = [(int(chunk), *(pack(pair[lo:hi, x]) for x in (1, 2, 3))) for chunk, lo, hi in _stretches(pair[:, 0])]
+    return _table(rows, ("a_chunk", "a", "b_chunk", "b"), (pa.int64(), *[pa.binary()] * 3))
+
+
+def _stretches(a: np.ndarray) -> Iterator[tuple]:
+    """Value, start and end of the stretches of equal values."""
+    starts = np.flatnonzero(np.diff(a, prepend=a[:1] - 1)) if len(a) else a
+    yield from zip(a[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(a)], strict=False)
+
+
+def _table(rows: list[tuple], names: tuple, kinds: tuple) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=list(names))
+
+
+def _expand(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and place of every element of the stretches."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) + (starts - (np.cumsum(sizes) - sizes))[owner]
+
+
+PACKED = ("sizes", "words", "dictionary", "doc", "line", "k", "id", "null", "which", "b")
+SHIPPED = "b_chunk long, chunk long, " + ", ".join(f"{c} binary" for c in PACKED)
 
 
 def ship(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Words and place of every line ``a`` to the chunk of each ``b`` it is to be held against."""
+    """For every chunk that holds lines ``b``, one row with the lines ``a`` to hold against them: words, place and the pairs."""
     rows = []
     if left.num_rows and right.num_rows:
         c = Chunk(left)
-        a, to, b = (right.column(x).to_numpy() for x in ("a", "b_chunk", "b"))
-        for k in np.unique(a).tolist():
-            rows.append((k, np.sort(c.hashes(k)).tobytes()))
-        order = np.argsort(a, kind="stable")
-        cuts = np.searchsorted(a[order], [r[0] for r in rows] + [1 << 31])
-        rows = [(int(to[i]), int(b[i]), blob, c.ids[c.doc[k]], int(c.line[k]), c.number, k, int(c.doc[k])) for x, (k, blob) in enumerate(rows) for i in order[cuts[x] : cuts[x + 1]]]
-    columns = list(zip(*rows, strict=True)) or [[]] * 8
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["b_chunk", "b", "words", "id", "line", "chunk", "k", "doc"])
-
-
-SHIPPED = "b_chunk long, b int, words binary, id long, line int, chunk long, k int, doc int"
+        a, to, b = (np.concatenate([unpack(x.as_py()) for x in right.column(n)]) for n in ("a", "b_chunk", "b"))
+        order = np.lexsort((b, a, to))
+        a, to, b = a[order], to[order], b[order]
+        new = (np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0) | (np.diff(to, prepend=to[:1] - 1) != 0)
+        a, to, b = a[new], to[new], b[new]
+        ids, null = np.array([i or 0 for i in c.ids], np.int64), np.array([i is None for i in c.ids], np.int8)
+        for chunk, lo, hi in _stretches(to):
+            k, which = np.unique(a[lo:hi], return_inverse=True)
+            _, at = _expand(c.starts[k], c.sizes[k])
+            known, words = np.unique(c.words[at], return_inverse=True)
+            doc = c.doc[k]
+            small = (x.astype(np.int32) for x in (doc, c.line[k], k))
+            rows.append((chunk, c.number, pack(c.sizes[k]), pack(words.astype(np.int32)), pack_sorted(c.dictionary[known]), *map(pack, small), pack(ids[doc]), pack(null[doc]), pack(which.astype(np.int32)), pack(b[lo:hi].astype(np.int32))))
+    return _table(rows, ("b_chunk", "chunk", *PACKED), (pa.int64(), pa.int64(), *[pa.binary()] * len(PACKED)))
+
+
 GONE = "chunk long, doc int, line int"
+#: Pairs verified at a time.
+VERIFIED = 1 << 15
+
+
+def _before(a: list, b: list) -> np.ndarray:
+    """Whether a comes before b, compared column by column."""
+    less, open_ = np.zeros(len(b[0]), bool), np.ones(len(b[0]), bool)
+    for x, y in zip(a, b, strict=True):
+        less |= open_ & (x < y)
+        open_ &= x == y
+    return less
 
 
 def verify(left: pa.Table, right: pa.Table) -> pa.Table:
     """Lines to remove: of each pair that is similar the later one, and the chunk's lines that are not a set's first."""
-    rows = set()
+    gone = []
     if left.num_rows:
         c = Chunk(left)
         copy = np.ones(len(c.sizes), bool)
         for ks in right.column("ks").to_pylist():
             if ks is not None:
                 copy[np.array(ks)] = False
-        rows.update(zip([c.number] * int(copy.sum()), c.doc[copy].tolist(), c.line[copy].tolist(), strict=True))
-        mine: dict[int, np.ndarray] = {}
-        for b, words, i, line, chunk, k, doc in zip(*(right.column(x).to_pylist() for x in ("b", "words", "id", "line", "chunk", "k", "doc")), strict=True):
-            if words is None:
+        add = lambda number, doc, line: gone.append(np.stack([np.full(len(doc), number), doc, line], axis=1).astype(np.int64))
+        add(c.number, c.doc[copy], c.line[copy])
+        ids, known = np.array([i or 0 for i in c.ids], np.int64), np.array([i is not None for i in c.ids], bool)
+        v = max(len(c.dictionary), 1)
+        for r in range(right.num_rows):
+            if right.column("words")[r].as_py() is None:
                 continue
-            own = mine.get(b)
-            if own is None:
-                own = mine[b] = c.hashes(b)
-            other = np.frombuffer(words, np.uint64)
-            shared = len(np.intersect1d(own, other, assume_unique=True))
-            if shared * _U >= (len(own) + len(other) - shared) * _T:
-                here, there = c.ids[c.doc[b]], i
-                at = ((here is not None, here or 0), int(c.line[b]), c.number, b)
-                far = ((there is not None, there or 0), line, chunk, k)
-                rows.add((c.number, int(c.doc[b]), int(c.line[b])) if far < at else (chunk, doc, line))
-    columns = list(zip(*sorted(rows), strict=True)) or [[]] * 3
-    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["chunk", "doc", "line"])
+            number = right.column("chunk")[r].as_py()
+            t = {x: unpack(right.column(x)[r].as_py()) for x in PACKED if x != "dictionary"}
+            told = unpack_sorted(right.column("dictionary")[r].as_py())
+            at = np.minimum(np.searchsorted(c.dictionary, told), v - 1)
+            here = np.where(c.dictionary[at] == told, at, -1)  # the shipped words by the numbers they have here
+            starts = np.cumsum(t["sizes"]) - t["sizes"]
+            for lo in range(0, len(t["b"]), VERIFIED):
+                a, b = t["which"][lo : lo + VERIFIED], t["b"][lo : lo + VERIFIED]
+                one, place = _expand(starts[a], t["sizes"][a])
+                word = here[t["words"][place]]
+                two, other = _expand(c.starts[b], c.sizes[b])
+                both = np.intersect1d((one * v + word)[word >= 0], two * v + c.words[other], assume_unique=True)
+                shared = np.bincount(both // v, minlength=len(b))
+                ok = shared * _U >= (t["sizes"][a].astype(np.int64) + c.sizes[b] - shared) * _T
+                a, b = a[ok], b[ok]
+                doc = c.doc[b]
+                mine = [known[doc], ids[doc], c.line[b], np.full(len(b), c.number), b]
+                far = [t["null"][a] == 0, t["id"][a], t["line"][a], np.full(len(b), number), t["k"][a]]
+                first = _before(far, mine)
+                add(c.number, doc[first], c.line[b[first]])
+                add(number, t["doc"][a[~first]], t["line"][a[~first]])
+    rows = np.unique(np.concatenate(gone), axis=0) if gone else np.empty((0, 3), np.int64)
+    return pa.table({"chunk": pa.array(rows[:, 0]), "doc": pa.array(rows[:, 1].astype(np.int32)), "line": pa.array(rows[:, 2].astype(np.int32))})
 
 
 DOCS = "chunk long, doc int, id long, n_lines int"
@@ -300,13 +351,13 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     n = tasks(spark)
     kind = docs.select(id_col).schema[0].dataType
-    chunks = Stored(encode(docs, id_col, text_col), "lines-chunks").df
+    chunks = Stored(encode(docs, id_col, text_col), "lines-chunks", key="chunk").df
     firsts = line_rows(chunks).groupBy("h1", "h2").agg(F.min(F.struct("id", "line", "chunk", "k")).alias("f"))
     firsts = Stored(firsts.groupBy(F.col("f.chunk").alias("chunk")).agg(F.collect_list("f.k").alias("ks")), "lines-firsts").df
 
     cells = spark.sparkContext.broadcast(cell_counts(chunks))
     posted = chunks.groupBy("chunk").cogroup(firsts.groupBy("chunk")).applyInArrow(postings(n, cells), POSTINGS)
-    pairs = Stored(posted.groupBy("p").applyInArrow(candidates, PAIR).distinct(), "lines-pairs").df
+    pairs = posted.groupBy("p").applyInArrow(candidates, PAIRS_OF)
     shipped = chunks.groupBy("chunk").cogroup(pairs.groupBy("a_chunk")).applyInArrow(ship, SHIPPED)
     told = shipped.unionByName(firsts.select(F.col("chunk").alias("b_chunk"), "ks"), allowMissingColumns=True)
     gone = chunks.groupBy("chunk").cogroup(told.groupBy("b_chunk")).applyInArrow(verify, GONE)

@@ -35,13 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stored:
-    """A DataFrame written to the shared folder; ``df`` reads it back."""
+    """A DataFrame written to the shared folder; ``df`` reads it back.
 
-    def __init__(self, df: DataFrame, name: str):
+    With ``key`` it is an external table in as many buckets of that column as a shuffle has partitions, so that grouping by
+    the column moves nothing.
+    """
+
+    def __init__(self, df: DataFrame, name: str, key: str | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.table = f"lodestone_{uuid.uuid4().hex}" if key else None
+        if key:
+            df.write.format("parquet").bucketBy(tasks(self.spark), key).option("path", self.path).saveAsTable(self.table)
+            self.df = self.spark.table(self.table)
+        else:
+            df.write.parquet(self.path)
+            self.df = self.spark.read.schema(df.schema).parquet(self.path)
         where, fs = self._fs()
         fs.deleteOnExit(where)
         _live[self.path] = self
@@ -56,6 +65,8 @@ class Stored:
         _live.pop(self.path, None)
 
     def drop(self) -> None:
+        if self.table:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         where, fs = self._fs()
         fs.delete(where, True)
         _live.pop(self.path, None)
