@@ -41,9 +41,8 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(words) - width + 1)
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """A bit is 1 if set in over half the hashes; no words: 0."""
-    h = shingle_hashes(text, width)
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if set in over half the hashes; no hashes: 0."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -52,6 +51,11 @@ def fingerprint(text: str | None, width: int) -> int:
     return int("".join("1" if b else "0" for b in 2 * ones > len(h)), 2)
 
 
+def fingerprint(text: str | None, width: int) -> int:
+    """The majority bits of the text's shingle hashes; no words: 0."""
+    return majority(shingle_hashes(text, width))
+
+
 def with_fingerprint(docs: DataFrame, text_col: str, out: str, width: int = 3, keep_columns: Sequence[str] | None = None) -> DataFrame:
     """``keep_columns`` (all by default) plus ``out``: the fingerprint as a signed long."""
     names = list(docs.columns if keep_columns is None else keep_columns)
@@ -127,15 +131,3 @@ def with_component(prints: DataFrame, id_col: str, fp_col: str, out: str) -> Dat
     key = fresh(prints, "simhash_fp")
     named = nodes.df.join(found.df, "node", "left").select(F.col("fp").alias(key), F.coalesce("component", F.col("least")).alias(out))
     return prints.join(named, F.col(fp_col) == F.col(key), "left").drop(key)
-
-
-def drop_copies(docs: DataFrame, *, text_col: str = "text", width: int = 5) -> DataFrame:
-    """``docs`` with one document of each group of near copies, columns unchanged.
-
-    Texts without words (null included) have fingerprint 0 and form one group with their likes. Of a group the row that
-    comes first in the input stays, so rows with equal or null ids are told apart; an empty table stays empty.
-    """
-    row, fp, least = fresh(docs, "simhash_row"), fresh(docs, "simhash_print"), fresh(docs, "simhash_least")
-    held = Stored(with_fingerprint(docs.withColumn(row, F.monotonically_increasing_id()), text_col, fp, width), "simhash-docs").df
-    first = with_component(held.select(row, fp), row, fp, least).filter(F.col(row) == F.col(least)).select(row)
-    return held.join(first, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, induced, katz, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_counts, url_filters, warc
+from lodestone.llm import decontamination, induced, katz, line_dedup, mixing, near_copies, quality_rules, simhash, suffix_dedup, token_counts, url_filters, warc
 
 WORDS = "the of and to in a is that it was for on are with as his they at be this from have or by one had not but what all were when we there can an your which their said if".split()
 EXTRA = "size string, copies int, line_row int, quality_votes int"
@@ -174,8 +174,42 @@ def test_simhash(spark, docs, texts):
                 parent[b] = a
     got = {r["doc_id"]: r["c"] for r in simhash.with_component(df, "doc_id", "fp", "c").collect()}
     assert got == {k: find(k) for k in range(len(prints))}
-    kept = simhash.drop_copies(docs)
-    assert kept.columns == docs.columns and kept.count() < docs.count() and simhash.drop_copies(empty(docs)).count() == 0
+
+
+def test_near_copies(spark, docs):
+    rnd = random.Random(8)
+    rows = []
+    for k in range(25):
+        base = prose(rnd, rnd.randint(3, 200)).split()
+        for _ in range(rnd.randint(1, 5)):
+            w = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                w[rnd.randrange(len(w))] = "changed" + str(rnd.randrange(9))
+            rows.append(" ".join(w))
+    base = prose(rnd, 150).split()  # a group larger than a bucket
+    rows += [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in range(120)]
+    rows += [None, "", " ", rows[0], rows[0].upper()]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    sets, parent = [shingles(t) for t in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if s == sets[j] or len(s & sets[j]) * 5 >= len(s | sets[j]) * 4:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    assert {r["doc_id"] for r in near_copies.drop_copies(df).collect()} == {find(k) for k in range(len(rows))}
+    kept = near_copies.drop_copies(docs)
+    assert kept.columns == docs.columns and kept.count() < docs.count() and near_copies.drop_copies(empty(docs)).count() == 0
 
 
 def test_warc(spark):
