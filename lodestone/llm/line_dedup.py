@@ -9,7 +9,8 @@ rest word by word. Lines of fewer than ``MIN_WORDS`` different words are left al
 Rarity is the frequency of a word's hash among 2**20 cells: any total order gives the exact join, this one has a fixed size.
 Words travel as 64-bit hashes. The corpus is encoded once into chunks in the shared folder; postings travel as sorted,
 compressed blocks from chunks to partitions of words, and so do pairs and the lines to verify them, from chunk to chunk.
-The chunks are bucketed by their number and do not travel again.
+The chunks are bucketed by their number and do not travel again. A line goes on one similar earlier line, so each is held against its
+closest candidate first, and only lines that this leaves are held against their other candidates.
 """
 
 from __future__ import annotations
@@ -152,7 +153,8 @@ def line_rows(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, LINES)
 
 
-POSTINGS = "p int, chunk long, keys binary, k binary, size binary, place binary, parity binary"
+POSTED = ("keys", "k", "size", "place", "parity", "id", "null", "line")
+POSTINGS = "p int, chunk long, " + ", ".join(f"{c} binary" for c in POSTED)
 
 
 def _ceil(a: np.ndarray, b: int) -> np.ndarray:
@@ -177,18 +179,20 @@ def postings(n: int, cells):
             words, place = c.words[order], np.arange(len(order)) - c.starts[owner]
             size = c.sizes[owner].astype(np.int64)
             take = first[owner] & (place < size - _ceil(size * _T, _U) + 1)
+            ids, null = np.array([i or 0 for i in c.ids], np.int64), np.array([i is None for i in c.ids], np.int8)
             h, k, size, place = c.dictionary[words[take]], owner[take], size[take], place[take]
             for p, at in by_part((mixed(h) % np.uint64(n)).astype(np.int64), n):
                 at = at[np.argsort(h[at], kind="stable")]
-                rows.append((p, c.number, pack_sorted(h[at]), pack(k[at].astype(np.int32)), pack(size[at].astype(np.int32)), pack(place[at].astype(np.int32)), pack(parity[k[at]])))
-        columns = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["p", "chunk", "keys", "k", "size", "place", "parity"])
+                doc = c.doc[k[at]]
+                small = (x.astype(np.int32) for x in (k[at], size[at], place[at]))
+                rows.append((p, c.number, pack_sorted(h[at]), *map(pack, small), pack(parity[k[at]]), pack(ids[doc]), pack(null[doc]), pack(c.line[k[at]].astype(np.int32))))
+        return _table(rows, ("p", "chunk", *POSTED), (pa.int32(), pa.int64(), *[pa.binary()] * len(POSTED)))
 
     return run
 
 
-PAIRS_OF = "a_chunk long, a binary, b_chunk binary, b binary"
+PAIRED = ("b", "a_chunk", "a", "best")
+PAIRS_OF = "b_chunk long, " + ", ".join(f"{c} binary" for c in PAIRED)
 
 
 def candidates(t: pa.Table) -> pa.Table:
@@ -196,16 +200,18 @@ def candidates(t: pa.Table) -> pa.Table:
 
     ``parity`` flips one of 64 bits a word; lines differ in at least as many words as their parities differ in bits.
 
-    ``a`` is the larger line. Lines of a word are taken in order of size, so the partners of one are a stretch behind it.
+    ``a`` is the earlier line, ``b`` the later one, and ``best`` marks the pair of a ``b`` with the closest parities. Lines of a word are taken in order of size, so the partners of one are a stretch behind it.
     """
     chunks = t.column("chunk").to_pylist()
     keys = [unpack_sorted(x.as_py()) for x in t.column("keys")]
-    k, size, place = (np.concatenate([unpack(x.as_py()) for x in t.column(c)]).astype(np.int64) for c in ("k", "size", "place"))
+    k, size, place, ids, null, line = (np.concatenate([unpack(x.as_py()) for x in t.column(c)]).astype(np.int64) for c in ("k", "size", "place", "id", "null", "line"))
     chunk = np.repeat(np.array(chunks, np.int64), [len(x) for x in keys])
     parity = np.concatenate([unpack(x.as_py()) for x in t.column("parity")])
     _, word = np.unique(np.concatenate(keys), return_inverse=True)
     order = np.lexsort((k, chunk, size, word))
-    word, size, place, chunk, k, parity = (x[order] for x in (word, size, place, chunk, k, parity))
+    word, size, place, chunk, k, parity, ids, null, line = (x[order] for x in (word, size, place, chunk, k, parity, ids, null, line))
+    rank = np.empty(len(order), np.int64)
+    rank[np.lexsort((k, chunk, line, ids, -null))] = np.arange(len(order))
     # Larger partners: same word, later in the order, size at most size * U / T.
     wide = int(size.max()) * _U // _T + 2 if len(size) else 1
     own = word * wide + size
@@ -223,15 +229,47 @@ def candidates(t: pa.Table) -> pa.Table:
         need = _ceil(both * _T, _T + _U)
         reach = 1 + np.minimum(size[small] - place[small] - 1, size[large] - place[large] - 1)
         ok = np.flatnonzero(reach >= need)
-        ok = ok[np.bitwise_count(parity[small[ok]] ^ parity[large[ok]]) <= both[ok] - 2 * need[ok]]
-        pair = np.stack([chunk[large[ok]], k[large[ok]], chunk[small[ok]], k[small[ok]]], axis=1)
+        apart = np.bitwise_count(parity[small[ok]] ^ parity[large[ok]]).astype(np.int64)
+        close = apart <= both[ok] - 2 * need[ok]
+        ok, apart = ok[close], apart[close]
+        small, large = small[ok], large[ok]
+        swap = rank[small] > rank[large]
+        early, late = np.where(swap, large, small), np.where(swap, small, large)
+        pair = np.stack([chunk[late], k[late], apart, chunk[early], k[early]], axis=1)
         found.append(np.unique(pair, axis=0) if len(pair) else pair)
         start = stop
-    pair = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 4), np.int64)
-    rows = [(int(chunk), *(pack(pair[lo:hi, x]) for x in (1, 2, 3))) for chunk, lo, hi in _stretches(pair[:, 0])]
+    pair = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 5), np.int64)
+    best = ((np.diff(pair[:, 0], prepend=pair[:1, 0] - 1) != 0) | (np.diff(pair[:, 1], prepend=-1) != 0)).astype(np.int8)
+    rows = [(chunk, pack(pair[lo:hi, 1]), pack(pair[lo:hi, 3]), pack(pair[lo:hi, 4]), pack(best[lo:hi])) for chunk, lo, hi in _stretches(pair[:, 0])]
+    return _table(rows, ("b_chunk", *PAIRED), (pa.int64(), *[pa.binary()] * len(PAIRED)))
+
+
+ROUTED = "a_chunk long, a binary, b_chunk binary, b binary"
+
+
+def _routed(t: pa.Table, best: int, gone: np.ndarray) -> pa.Table:
+    """The best pairs of a table of pairs, or the others whose ``b`` is not gone yet, by the chunk of ``a``."""
+    rows = []
+    if t.num_rows:
+        b, a_chunk, a, is_best = ([unpack(x.as_py()) for x in t.column(c)] for c in PAIRED)
+        b_chunk = np.repeat(t.column("b_chunk").to_numpy(), [len(x) for x in b])
+        b, a_chunk, a, is_best = map(np.concatenate, (b, a_chunk, a, is_best))
+        take = np.flatnonzero((is_best == best) & ~np.isin(b, gone))
+        take = take[np.argsort(a_chunk[take], kind="stable")]
+        rows = [(chunk, *(pack(x[take[lo:hi]]) for x in (a, b_chunk, b))) for chunk, lo, hi in _stretches(a_chunk[take])]
     return _table(rows, ("a_chunk", "a", "b_chunk", "b"), (pa.int64(), *[pa.binary()] * 3))
 
 
+def best_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from _routed(pa.Table.from_batches([b]), 1, np.empty(0, np.int32)).to_batches()
+
+
+def other_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+    gone = [unpack(x.as_py()) for x in right.column("gone")] if right.num_rows else []
+    return _routed(left, 0, np.concatenate([np.empty(0, np.int32), *gone]))
+
+
 def _stretches(a: np.ndarray) -> Iterator[tuple]:
     """Value, start and end of the stretches of equal values."""
     starts = np.flatnonzero(np.diff(a, prepend=a[:1] - 1)) if len(a) else a
@@ -249,12 +287,12 @@ def _expand(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner, np.arange(len(owner)) + (starts - (np.cumsum(sizes) - sizes))[owner]
 
 
-PACKED = ("sizes", "words", "dictionary", "doc", "line", "k", "id", "null", "which", "b")
-SHIPPED = "b_chunk long, chunk long, " + ", ".join(f"{c} binary" for c in PACKED)
+PACKED = ("sizes", "words", "dictionary", "which", "b")
+SHIPPED = "b_chunk long, " + ", ".join(f"{c} binary" for c in PACKED)
 
 
 def ship(left: pa.Table, right: pa.Table) -> pa.Table:
-    """For every chunk that holds lines ``b``, one row with the lines ``a`` to hold against them: words, place and the pairs."""
+    """For every chunk that holds lines ``b``, one row with the lines ``a`` to hold against them: words and the pairs."""
     rows = []
     if left.num_rows and right.num_rows:
         c = Chunk(left)
@@ -263,15 +301,12 @@ def ship(left: pa.Table, right: pa.Table) -> pa.Table:
         a, to, b = a[order], to[order], b[order]
         new = (np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0) | (np.diff(to, prepend=to[:1] - 1) != 0)
         a, to, b = a[new], to[new], b[new]
-        ids, null = np.array([i or 0 for i in c.ids], np.int64), np.array([i is None for i in c.ids], np.int8)
         for chunk, lo, hi in _stretches(to):
             k, which = np.unique(a[lo:hi], return_inverse=True)
             _, at = _expand(c.starts[k], c.sizes[k])
             known, words = np.unique(c.words[at], return_inverse=True)
-            doc = c.doc[k]
-            small = (x.astype(np.int32) for x in (doc, c.line[k], k))
-            rows.append((chunk, c.number, pack(c.sizes[k]), pack(words.astype(np.int32)), pack_sorted(c.dictionary[known]), *map(pack, small), pack(ids[doc]), pack(null[doc]), pack(which.astype(np.int32)), pack(b[lo:hi].astype(np.int32))))
-    return _table(rows, ("b_chunk", "chunk", *PACKED), (pa.int64(), pa.int64(), *[pa.binary()] * len(PACKED)))
+            rows.append((chunk, pack(c.sizes[k]), pack(words.astype(np.int32)), pack_sorted(c.dictionary[known]), pack(which.astype(np.int32)), pack(b[lo:hi].astype(np.int32))))
+    return _table(rows, ("b_chunk", *PACKED), (pa.int64(), *[pa.binary()] * len(PACKED)))
 
 
 GONE = "chunk long, doc int, line int"
@@ -279,53 +314,47 @@ GONE = "chunk long, doc int, line int"
 VERIFIED = 1 << 15
 
 
-def _before(a: list, b: list) -> np.ndarray:
-    """Whether a comes before b, compared column by column."""
-    less, open_ = np.zeros(len(b[0]), bool), np.ones(len(b[0]), bool)
-    for x, y in zip(a, b, strict=True):
-        less |= open_ & (x < y)
-        open_ &= x == y
-    return less
+def _similar(c: Chunk, right: pa.Table) -> np.ndarray:
+    """The lines ``b`` of the chunk that are similar to an earlier line they are told of."""
+    out, v = [np.empty(0, np.int32)], max(len(c.dictionary), 1)
+    for r in range(right.num_rows):
+        if right.column("words")[r].as_py() is None:
+            continue
+        t = {x: unpack(right.column(x)[r].as_py()) for x in PACKED if x != "dictionary"}
+        told = unpack_sorted(right.column("dictionary")[r].as_py())
+        at = np.minimum(np.searchsorted(c.dictionary, told), v - 1)
+        here = np.where(c.dictionary[at] == told, at, -1)  # the shipped words by the numbers they have here
+        starts = np.cumsum(t["sizes"]) - t["sizes"]
+        for lo in range(0, len(t["b"]), VERIFIED):
+            a, b = t["which"][lo : lo + VERIFIED], t["b"][lo : lo + VERIFIED]
+            one, place = _expand(starts[a], t["sizes"][a])
+            word = here[t["words"][place]]
+            two, other = _expand(c.starts[b], c.sizes[b])
+            both = np.intersect1d((one * v + word)[word >= 0], two * v + c.words[other], assume_unique=True)
+            shared = np.bincount(both // v, minlength=len(b))
+            out.append(b[shared * _U >= (t["sizes"][a].astype(np.int64) + c.sizes[b] - shared) * _T])
+    return np.unique(np.concatenate(out))
 
 
 def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Lines to remove: of each pair that is similar the later one, and the chunk's lines that are not a set's first."""
-    gone = []
+    found = _similar(c := Chunk(left), right) if left.num_rows else ()
+    return _table([(c.number, pack(found.astype(np.int32)))] if len(found) else [], ("chunk", "gone"), (pa.int64(), pa.binary()))
+
+
+def removed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Lines to remove: those found before, those similar to a line told now, and those that are not a set's first."""
+    rows = np.empty((0, 3), np.int64)
     if left.num_rows:
         c = Chunk(left)
-        copy = np.ones(len(c.sizes), bool)
+        gone = np.ones(len(c.sizes), bool)
         for ks in right.column("ks").to_pylist():
             if ks is not None:
-                copy[np.array(ks)] = False
-        add = lambda number, doc, line: gone.append(np.stack([np.full(len(doc), number), doc, line], axis=1).astype(np.int64))
-        add(c.number, c.doc[copy], c.line[copy])
-        ids, known = np.array([i or 0 for i in c.ids], np.int64), np.array([i is not None for i in c.ids], bool)
-        v = max(len(c.dictionary), 1)
-        for r in range(right.num_rows):
-            if right.column("words")[r].as_py() is None:
-                continue
-            number = right.column("chunk")[r].as_py()
-            t = {x: unpack(right.column(x)[r].as_py()) for x in PACKED if x != "dictionary"}
-            told = unpack_sorted(right.column("dictionary")[r].as_py())
-            at = np.minimum(np.searchsorted(c.dictionary, told), v - 1)
-            here = np.where(c.dictionary[at] == told, at, -1)  # the shipped words by the numbers they have here
-            starts = np.cumsum(t["sizes"]) - t["sizes"]
-            for lo in range(0, len(t["b"]), VERIFIED):
-                a, b = t["which"][lo : lo + VERIFIED], t["b"][lo : lo + VERIFIED]
-                one, place = _expand(starts[a], t["sizes"][a])
-                word = here[t["words"][place]]
-                two, other = _expand(c.starts[b], c.sizes[b])
-                both = np.intersect1d((one * v + word)[word >= 0], two * v + c.words[other], assume_unique=True)
-                shared = np.bincount(both // v, minlength=len(b))
-                ok = shared * _U >= (t["sizes"][a].astype(np.int64) + c.sizes[b] - shared) * _T
-                a, b = a[ok], b[ok]
-                doc = c.doc[b]
-                mine = [known[doc], ids[doc], c.line[b], np.full(len(b), c.number), b]
-                far = [t["null"][a] == 0, t["id"][a], t["line"][a], np.full(len(b), number), t["k"][a]]
-                first = _before(far, mine)
-                add(c.number, doc[first], c.line[b[first]])
-                add(number, t["doc"][a[~first]], t["line"][a[~first]])
-    rows = np.unique(np.concatenate(gone), axis=0) if gone else np.empty((0, 3), np.int64)
+                gone[np.array(ks)] = False
+        for x in right.column("gone").to_pylist():
+            if x is not None:
+                gone[unpack(x)] = True
+        gone[_similar(c, right)] = True
+        rows = np.stack([np.full(int(gone.sum()), c.number), c.doc[gone], c.line[gone]], axis=1)
     return pa.table({"chunk": pa.array(rows[:, 0]), "doc": pa.array(rows[:, 1].astype(np.int32)), "line": pa.array(rows[:, 2].astype(np.int32))})
 
 
@@ -357,14 +386,18 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     cells = spark.sparkContext.broadcast(cell_counts(chunks))
     posted = chunks.groupBy("chunk").cogroup(firsts.groupBy("chunk")).applyInArrow(postings(n, cells), POSTINGS)
-    pairs = posted.groupBy("p").applyInArrow(candidates, PAIRS_OF)
-    shipped = chunks.groupBy("chunk").cogroup(pairs.groupBy("a_chunk")).applyInArrow(ship, SHIPPED)
-    told = shipped.unionByName(firsts.select(F.col("chunk").alias("b_chunk"), "ks"), allowMissingColumns=True)
-    gone = chunks.groupBy("chunk").cogroup(told.groupBy("b_chunk")).applyInArrow(verify, GONE)
+    pairs = Stored(posted.groupBy("p").applyInArrow(candidates, PAIRS_OF), "lines-pairs").df
+    send = lambda routed: chunks.groupBy("chunk").cogroup(routed.groupBy("a_chunk")).applyInArrow(ship, SHIPPED)
+    best = send(pairs.mapInArrow(best_pairs, ROUTED))
+    found = Stored(chunks.groupBy("chunk").cogroup(best.groupBy("b_chunk")).applyInArrow(verify, "chunk long, gone binary"), "lines-found").df
+    told = send(pairs.groupBy("b_chunk").cogroup(found.groupBy("chunk")).applyInArrow(other_pairs, ROUTED))
+    for known in (firsts, found):
+        told = told.unionByName(known.withColumnRenamed("chunk", "b_chunk"), allowMissingColumns=True)
+    gone = chunks.groupBy("chunk").cogroup(told.groupBy("b_chunk")).applyInArrow(removed, GONE)
     gone = gone.groupBy("chunk", "doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     out = doc_rows(chunks).join(gone, ["chunk", "doc"], "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    lines = F.coalesce("removed", F.array().cast("array<int>"))
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), F.size(lines).cast("long").alias("n_removed"), lines.alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
