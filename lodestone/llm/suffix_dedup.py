@@ -28,7 +28,7 @@ from lodestone.llm.store import Stored, tasks
 
 LENGTH, GRAM = 200, 64
 #: Pieces a shard should hold.
-SHARD_PIECES = 8000
+SHARD_PIECES = 2000
 _BASE = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 _SEPARATOR = 0
 
@@ -122,7 +122,11 @@ def pieces(texts: DataFrame, shards: int) -> DataFrame:
 def repeats(t: pa.Table) -> pa.Table:
     """Of one shard: ``sha, start, stop`` of stretches that start at more than one place, runs of a piece merged."""
     t = t.sort_by([("mark", "ascending"), ("sha", "ascending"), ("start", "ascending")])
-    bodies, starts = t.column("body").to_pylist(), t.column("start").to_numpy().astype(np.int64)
+    starts, distinct = t.column("start").to_numpy().astype(np.int64), {}
+    of = np.array([distinct.setdefault(x, len(distinct)) for x in t.column("body").to_pylist()], np.int64)  # equal pieces are sorted once
+    bodies, holders = list(distinct), np.bincount(of)
+    held_by = np.split(np.argsort(of, kind="stable"), np.cumsum(holders)[:-1])
+    one = np.array([x[0] for x in held_by], np.int64)
     shas, owner = t.column("sha").to_pylist(), np.unique(np.array(t.column("sha").to_pylist(), object).astype("S32"), return_inverse=True)[1]
     sizes = np.array([len(x) for x in bodies], np.int64)
     joined = b"\0".join(bodies) + b"\0"
@@ -142,16 +146,18 @@ def repeats(t: pa.Table) -> pa.Table:
         same[live[~eq]] = False
         live = live[eq]
     group = np.concatenate([[0], np.cumsum(~same)]) if len(whole) else np.empty(0, np.int64)
-    where = owner[piece[whole]] * (1 << 32) + starts[piece[whole]] + offset[whole]
+    where = owner[one[piece[whole]]] * (1 << 32) + starts[one[piece[whole]]] + offset[whole]
     pair = np.unique(np.stack([group, where], axis=1), axis=0)  # a place once in its group
     many = np.bincount(pair[:, 0], minlength=group[-1] + 1 if len(group) else 0) > 1
+    many[group[holders[piece[whole]] > 1]] = True
     hit = whole[many[group]] if len(whole) else whole
     hit = np.sort(hit)
     rows: list[tuple] = []
     if len(hit):
         cut = np.flatnonzero((np.diff(hit) > LENGTH) | (piece[hit[1:]] != piece[hit[:-1]]))
         first, last = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(hit) - 1]])
-        rows = [(shas[piece[hit[i]]], int(starts[piece[hit[i]]] + offset[hit[i]]), int(starts[piece[hit[j]]] + offset[hit[j]]) + LENGTH) for i, j in zip(first, last, strict=True)]
+        ends = zip(piece[hit[first]].tolist(), offset[hit[first]].tolist(), offset[hit[last]].tolist(), strict=True)
+        rows = [(shas[q], int(starts[q]) + i, int(starts[q]) + j + LENGTH) for u, i, j in ends for q in held_by[u].tolist()]
     columns = list(zip(*rows, strict=True)) or [[]] * 3
     return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["sha", "start", "stop"])
 
