@@ -212,6 +212,38 @@ def test_near_copies(spark, docs):
     assert kept.columns == docs.columns and kept.count() < docs.count() and near_copies.drop_copies(empty(docs)).count() == 0
 
 
+def star(rnd, n):
+    """A text and ``n`` more that are similar to it, but hardly to each other."""
+    base, out = [f"w{rnd.randrange(10**6)}" for _ in range(100)], []
+    for k in range(n):
+        w = list(base)
+        for at in rnd.sample(range(4, 96), 2):
+            w[at] = f"x{k}y{at}"
+        out.append(" ".join(w))
+    return [" ".join(base), *out]
+
+
+def components_of(sets):
+    left, out = set(range(len(sets))), 0
+    while left:
+        out, todo = out + 1, [left.pop()]
+        while todo:
+            a = sets[todo.pop()]
+            near = {k for k in left if len(a & sets[k]) * 5 >= len(a | sets[k]) * 4}
+            left -= near
+            todo += near
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 100])
+def test_near_copies_of_one_original(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rows = star(random.Random(3), 520)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert near_copies.drop_copies(df).count() == components_of(sets) == 1
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(k, f"http://a/{k}" if k % 5 else None, "<p>" + "x" * k if k % 7 else None) for k in range(400)] + [(3, "http://a/3", "<p>xxx")] * 2 + [(None, None, None)], "page_id long, url string, html string")
     rec = warc.record(F.col("page_id"), F.col("url"), F.col("html"))
