@@ -244,6 +244,21 @@ def test_near_copies_of_one_original(spark, monkeypatch, block):
     assert near_copies.drop_copies(df).count() == components_of(sets) == 1
 
 
+def test_near_copies_with_repeats(spark):
+    """Pairs that share 200 of 210 shingles, of which one text repeats some often, and pairs of eight or nine words."""
+    rnd, rows = random.Random(12), []
+    for k in range(40):
+        w = [f"p{k}w{i}" for i in range(209)]
+        rows += [" ".join(w[:204]), " ".join(w[5:209] + w[30:50] * 12)]
+        few = [f"s{k}w{i}" for i in range(9)]
+        rows += [" ".join(few[:8]), " ".join(few)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
+    pairs = sum(len(a & b) * 5 >= len(a | b) * 4 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    shuffled = rnd.sample(rows, len(rows))
+    df = spark.createDataFrame(list(enumerate(shuffled)), "doc_id long, text string")
+    assert len(rows) - near_copies.drop_copies(df).count() == pairs == 80
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(k, f"http://a/{k}" if k % 5 else None, "<p>" + "x" * k if k % 7 else None) for k in range(400)] + [(3, "http://a/3", "<p>xxx")] * 2 + [(None, None, None)], "page_id long, url string, html string")
     rec = warc.record(F.col("page_id"), F.col("url"), F.col("html"))
