@@ -4,7 +4,9 @@ The items form the index, every passage of every training text is a query. Impac
 item's score against itself, so 1 means "all of the item's words" and one threshold serves all items. A passage is first
 held against the bound that its rarer words allow (an item's common words reach only part of the threshold, the rest must
 come from its rarer ones); for passages that remain, block-max WAND retrieves every item above the threshold. A retrieved item
-counts as leaked if enough 5-word shingles of its question part and of its answer part occur in the passage.
+counts as leaked if enough 5-word shingles of its question part and of its answer part occur in the passage; or if nearly all
+of the whole item's do, or all its words but for one place (an answer may be a word or two long, and one changed or glued word
+must not clear a passage that holds the rest). Words are compared without punctuation at their ends.
 
 Items are indexed in blocks of bounded bytes, one pass over the texts a block, so the benchmark may have any size.
 """
@@ -13,6 +15,8 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,6 +31,13 @@ K1, B = 1.2, 0.75
 #: Share of an item's own score from which it is retrieved; share of shingles that must occur in the passage.
 THRESHOLD, OVERLAP = 0.6, 0.8
 SHINGLE = 5
+#: Share of the whole item's shingles that is enough whatever its parts reach.
+WHOLE = 0.9
+#: Words of the item and of the passage at the one place where they may differ: changed, glued, split, lost, added.
+EDITS = ((1, 1), (2, 1), (1, 2), (1, 0), (0, 1))
+ASCII_MARKS = string.punctuation.encode()
+_MARK = rb"(?:\xc2[\xa1\xa7\xab\xb6\xb7\xbb\xbf]|\xe2\x80[\x90-\xbf]|\xe2\x81[\x80-\x9e]|\xe3\x80[\x81-\x9f]|[!-/:-@\[-`{-~])+"
+MARKS = re.compile(rb"\A" + _MARK + rb"|" + _MARK + rb"\Z")
 #: An item's commonest words count as common up to this share of the threshold; the rest are looked up for every passage.
 COMMON = 0.35
 POSTINGS_BLOCK = 16
@@ -39,6 +50,17 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def bare(w: list[bytes]) -> list[bytes]:
+    """The words without punctuation at their ends; a word of nothing else stays as it is."""
+    out = [x.strip(ASCII_MARKS) for x in w]
+    for k, x in enumerate(out):
+        if not x:
+            out[k] = w[k]
+        elif x[0] > 127 or x[-1] > 127:
+            out[k] = MARKS.sub(b"", x) or w[k]
+    return out
+
+
 def shingles(w: list[bytes]) -> set[tuple[bytes, ...]]:
     """Of five words; a shorter part is one shingle of all its words, an empty one has none."""
     return {tuple(w[k : k + SHINGLE]) for k in range(max(len(w) - SHINGLE + 1, 1))} if w else set()
@@ -57,7 +79,8 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
         self.threshold = threshold
-        self.items = [(i, w) for i, t in items if (w := words(t))]
+        raw_items = [(i, w) for i, t in items if (w := words(t))]
+        self.items = [(i, bare(w)) for i, w in raw_items]
         n = len(self.items)
         tf = [Counter(w) for _, w in self.items]
         df = Counter(t for c in tf for t in c)
@@ -85,8 +108,8 @@ class Index:
         self.rare_start = np.cumsum([0, *map(len, rare)])
         self.rare_item = np.array([j for p in rare for j, _ in p], np.int64)
         self.rare_impact = np.array([x for p in rare for _, x in p])
-        self.sides = [tuple(shingles(x) for x in parts(w)) for _, w in self.items]
-        self.window = max(WINDOW, 2 * max((len(w) for _, w in self.items), default=0))
+        self.sides = [tuple(shingles(bare(x)) for x in parts(w)) for _, w in raw_items]
+        self.window = max(WINDOW, 2 + 2 * max((len(w) for _, w in self.items), default=0))
 
     def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
         """Block-max WAND: every (item, score) with score >= threshold for the distinct ``terms`` of a passage."""
@@ -146,7 +169,7 @@ class Index:
         """(text, item, score, question overlap, answer overlap, first word of the passage): the best passage of every
         text and item that passes the checks."""
         known = self.terms.get
-        docs = [words(t) for t in texts]
+        docs = [bare(words(t)) for t in texts]
         starts = [(d, s) for d, w in enumerate(docs) for s in self.windows(len(w))]
         ids = [np.fromiter((known(x, -1) for x in w), np.int64, len(w)) for w in docs]
         rows, place = [], []
@@ -170,8 +193,9 @@ class Index:
         for k in np.unique(key[reach >= self.threshold - 1e-12] // n).tolist():
             d, s = starts[k]
             for j, score in self.retrieve(term[cuts[k] : cuts[k + 1]].tolist()):
-                have = shingles_in(docs[d][s : s + self.window], self.sides[j])
-                if min(have) >= OVERLAP and (score, -s) > best.get((d, j), (-1.0, 0))[:2]:
+                text = docs[d][s : s + self.window]
+                have = shingles_in(text, self.sides[j])
+                if (min(have) >= OVERLAP or holds(text, self.items[j][1])) and (score, -s) > best.get((d, j), (-1.0, 0))[:2]:
                     best[d, j] = (score, -s, *have)
         return [(d, self.items[j][0], score, q, a, -s) for (d, j), (score, s, q, a) in sorted(best.items())]
 
@@ -187,6 +211,26 @@ def shingles_in(passage: list[bytes], sides: tuple[set, set]) -> tuple[float, fl
     return out[0], out[1]
 
 
+def holds(passage: list[bytes], item: list[bytes]) -> bool:
+    """Whether the passage has ``WHOLE`` of the item's shingles, or the item with one edit; a word of fewer than five is too
+    much to miss."""
+    want = shingles(item)
+    share, _ = shingles_in(passage, (want, set()))
+    if share >= WHOLE:
+        return True
+    if len(item) < SHINGLE or round((1 - share) * len(want)) > SHINGLE + 1:
+        return False
+    for s in range(len(passage)):
+        i = 0
+        while i < len(item) and s + i < len(passage) and item[i] == passage[s + i]:
+            i += 1
+        for a, b in EDITS:
+            rest = item[i + a :]
+            if passage[s + i + b : s + i + b + len(rest)] == rest:
+                return True
+    return False
+
+
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about ``INDEX_BYTES``, dealt by hash of the text; equal items count once."""
     one = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).dropna().distinct()

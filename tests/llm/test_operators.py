@@ -143,6 +143,26 @@ def test_decontamination(spark, docs, texts):
     assert decontamination.leaked_passages(empty(docs), bench).count() == 0 and decontamination.drop_leaked(docs, empty(bench)).count() == docs.count()
 
 
+def test_decontamination_with_one_word_altered(spark):
+    rnd = random.Random(10)
+    items = [f"{' '.join(f'q{k}w{i}' for i in range(12 if k % 2 else 45))}. {' '.join(f'a{k}w{i}' for i in range(1 + k % 8))}." for k in range(24)]
+    prefix, suffix = prose(rnd, 30), prose(rnd, 30)
+    texts, want = [], set()
+    for k, item in enumerate(items):
+        w = item.split()
+        m = rnd.randrange(len(w) - 1)
+        altered = [[*w[:-1], w[-1] + "***"], [*w[:-1], "\u201c" + w[-1] + "\u201d"], [*w[:-1], w[-1] + "glued"], [*w[:-1], "changed"]]
+        altered += [[*w[:m], "changed", *w[m + 1 :]], [*w[:m], w[m] + w[m + 1], *w[m + 2 :]], [*w[:m], "added", *w[m:]]]
+        for a in altered:
+            want.add((len(texts), k))
+            texts.append(" ".join([prefix, *a, suffix]))
+        if k % 8 == 7:
+            texts.append(" ".join([prefix, *w[:-8], suffix]))  # the question alone
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaked_passages(docs, bench).collect()} == want
+
+
 def test_simhash(spark, docs, texts):
     def print_of(t):
         w = (t or "").encode().lower().split()
@@ -245,7 +265,7 @@ def test_near_copies_of_one_original(spark, monkeypatch, block):
 
 
 def test_near_copies_with_repeats(spark):
-    """Pairs that share 200 of 210 shingles, of which one text repeats some often, and pairs of eight or nine words."""
+    """Pairs that share 195 of 213 different shingles, of which one text repeats some often, and pairs of eight or nine words."""
     rnd, rows = random.Random(12), []
     for k in range(40):
         w = [f"p{k}w{i}" for i in range(209)]
