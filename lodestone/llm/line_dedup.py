@@ -4,7 +4,8 @@ A line is its set of words. Of lines with equal sets all but the first go (order
 the first ones, a line goes if an earlier line has Jaccard similarity ``SIMILARITY`` or more. The join orders every line's
 words by rarity and keeps the prefix that a similar line must touch (a shorter one for the smaller line of a pair), pairs
 lines of compatible sizes that share a prefix word, drops pairs whose positions leave too little overlap, and verifies the
-rest word by word. Lines of fewer than ``MIN_WORDS`` different words are left alone: most of them recur by chance.
+rest word by word. Sets of fewer than ``JOINED`` words are similar to their equals only (3 of 4 words are under 4 in 5), so the
+join leaves them out; only lines without a word are left alone.
 
 Rarity is the frequency of a word's hash among 2**20 cells: any total order gives the exact join, this one has a fixed size.
 Words travel as 64-bit hashes. The corpus is encoded once into chunks in the shared folder; postings travel as sorted,
@@ -30,7 +31,8 @@ from lodestone.llm.katz import by_part, mixed, pack, pack_sorted, unpack, unpack
 from lodestone.llm.store import Stored, fresh, tasks
 
 SIMILARITY = (4, 5)
-MIN_WORDS = 5
+#: Different words of a line that is looked at; of a line that can be similar to one with another set.
+MIN_WORDS, JOINED = 1, 4
 CHUNK_WORDS = 1 << 20
 CELL_BITS, CELL_PARTS = 20, 16
 #: Pairs a task forms at a time.
@@ -45,7 +47,7 @@ def _batch(row: dict, schema: list[tuple]) -> pa.RecordBatch:
 
 
 def encode(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per chunk: document ids and line counts; per line of enough words its document, number, size and word numbers."""
+    """Per chunk: document ids and line counts; per line with a word its document, number, size and word numbers."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +76,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for k, x in enumerate(lines):
                     w = x.split()
                     some += bool(w)
-                    if len(w) >= MIN_WORDS and len(w := set(w)) >= MIN_WORDS:
+                    if len(w := set(w)) >= MIN_WORDS:
                         doc.append(len(ids))
                         line.append(k)
                         seqs.append(np.fromiter(map(known.__getitem__, w), np.int32, len(w)))
@@ -138,7 +140,7 @@ LINES = "h1 long, h2 long, id long, line int, chunk long, k int, doc int"
 
 
 def line_rows(chunks: DataFrame) -> DataFrame:
-    """A row per line of enough words: 128 bits of its set, and its place."""
+    """A row per line with a word: 128 bits of its set, and its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _each(batches):
@@ -178,7 +180,7 @@ def postings(n: int, cells):
             order = np.argsort(owner * max(len(rank), 1) + rank[c.words], kind="stable")
             words, place = c.words[order], np.arange(len(order)) - c.starts[owner]
             size = c.sizes[owner].astype(np.int64)
-            take = first[owner] & (place < size - _ceil(size * _T, _U) + 1)
+            take = first[owner] & (size >= JOINED) & (place < size - _ceil(size * _T, _U) + 1)
             ids, null = np.array([i or 0 for i in c.ids], np.int64), np.array([i is None for i in c.ids], np.int8)
             h, k, size, place = c.dictionary[words[take]], owner[take], size[take], place[take]
             for p, at in by_part((mixed(h) % np.uint64(n)).astype(np.int64), n):

@@ -327,6 +327,15 @@ def test_line_dedup(docs, texts):
     assert left[0] == texts[0] and left[43] is None
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = ["All rights reserved.\none two three four\none", "All rights reserved.\nfour three two one", "one\nTwo", "a b a b c d c d a b", "d c b a", "one two three four five", "one two three", "one two\n \n", None, "two one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    lines = [(k, i, frozenset(x.split())) for k, t in enumerate(texts) for i, x in enumerate((t or "").split("\n")) if x.split()]
+    want = {(k, i) for n, (k, i, w) in enumerate(lines) if any(5 * len(w & v) >= 4 * len(w | v) for _, _, v in lines[:n])}
+    assert want == {(1, 0), (1, 1), (2, 0), (4, 0), (5, 0), (9, 0)}
+    assert {(r["doc_id"], i) for r in line_dedup.removed_lines(df).collect() for i in r["removed"]} == want
+
+
 def test_katz(docs, texts):
     toks = {k: (t or "").encode().lower().split() + [b"\n"] for k, t in enumerate(texts)} | {None: [b"null", b"id", b"\n"]}
     held = {k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2 for k in toks}
