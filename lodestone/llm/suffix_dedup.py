@@ -6,9 +6,12 @@ suffix in suffix order, so texts are cut for the shards such that no repeat is l
 * of the ``GRAM``-byte grams in a stretch of ``LENGTH`` bytes the one with the least hash is its mark. It depends on the
   stretch's content alone, so both places of a repeat have the same mark at the same offset; marks that occur once are left
   out, and so are texts without any other;
-* a shard gets, for its marks, the bytes around each occurrence that a stretch with that mark can reach, sorts their suffixes by
-  induced sorting (see :mod:`induced`) and compares neighbours byte by byte. Stretches at one place of one text, which overlapping pieces
-  show twice, count once.
+* neighbouring stretches with one mark make a piece. Equal pieces are one with a count, summed before they travel, so a passage that a
+  third of the documents share is one row. A mark with one piece only needs no sort: the piece is repeated as a whole if it
+  occurs twice;
+* the pieces of the other marks go to shards, which sort their suffixes by induced sorting (see :mod:`induced`) and take
+  neighbours with a carried common prefix of ``LENGTH`` or more as repeats. A mark with over ``SPLIT`` different pieces is too much for
+  one shard: its stretches are dealt by their content, and equal ones meet without a sort.
 
 Texts that occur several times are handled once; being copies they go whole if they are long enough.
 """
@@ -20,17 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.induced import suffix_array
+from lodestone.llm.induced import sort_suffixes
+from lodestone.llm.katz import pack, unpack
 from lodestone.llm.store import Stored, tasks
 
-LENGTH, GRAM = 200, 64
-#: Pieces a shard should hold.
-SHARD_PIECES = 2000
+LENGTH, GRAM = 200, 100
+#: Bytes of pieces a shard should hold, and different pieces of one mark that a shard takes.
+SHARD_BYTES, SPLIT = 4 << 20, 8192
+#: Pieces from which a batch goes out.
+STEP = 1 << 12
 _BASE = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-_SEPARATOR = 0
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -58,15 +64,16 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def marks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the marks of all stretches of a text; of equal hashes in a stretch the first is the mark."""
+def marks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, hash) of the runs of stretches, by their starts, that share a mark; of equal hashes in a stretch the first place is
+    the mark."""
     if len(text) < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     h = gram_hashes(np.frombuffer(text, np.uint8))
     w = LENGTH - GRAM + 1
     n = len(h)
     # Least element of every window of w: of two overlapping powers of two; ties go to the first place.
-    place, span, best = np.arange(n), 1, h
+    place, span, best = np.arange(n, dtype=np.int32), 1, h
     while span * 2 <= w:
         a, b = best[: len(best) - span], best[span:]
         right = b < a
@@ -76,20 +83,23 @@ def marks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     m, off = n - w + 1, w - span
     a, b = best[:m], best[off : off + m]
     at = np.where(b < a, place[off : off + m], place[:m])
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    return at, h[at]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return first, np.append(first[1:], m) - 1, h[at[first]]
 
 
 def _text(c: str) -> F.Column:
-    return F.coalesce(F.col(c), F.lit("")).cast("binary")
+    return F.coalesce(F.col(f"`{c}`"), F.lit("")).cast("binary")
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """``docs`` (sha, body) -> sha, marks."""
+    """``docs`` (sha, body) -> sha, marks: a mark that a text has often is listed twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [marks(t)[1].view(np.int64) for t in b.column(1).to_pylist()]
+            found = []
+            for t in b.column(1):
+                h, n = np.unique(marks(t.as_py())[2].view(np.int64), return_counts=True)
+                found.append(np.concatenate([h, h[n > 1]]))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["sha", "marks"])
@@ -97,88 +107,107 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "sha binary, marks array<long>")
 
 
-PIECES = "p int, mark long, sha binary, start int, body binary"
+PIECES = pa.schema([("sha", pa.binary()), ("piece", pa.binary()), ("starts", pa.binary()), ("mark", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
 
 
-def pieces(texts: DataFrame, shards: int) -> DataFrame:
-    """``texts`` (sha, body, shared: its repeated marks) -> what each shard needs."""
+def pieces(texts: DataFrame) -> DataFrame:
+    """``texts`` (sha, body, shared: its repeated marks) -> a row per text and different piece in it: name, starts, mark, count, bytes."""
+
+    def of(sha: bytes, text: bytes, shared: np.ndarray) -> list[tuple]:
+        first, last, h = marks(text)
+        h = h.view(np.int64)
+        wanted = np.flatnonzero(np.isin(h, shared))
+        held: dict[bytes, tuple[list, int, bytes]] = {}
+        for i, j, mark in zip(first[wanted].tolist(), last[wanted].tolist(), h[wanted].tolist(), strict=True):
+            name = xxhash.xxh3_128_digest(body := text[i : j + LENGTH])
+            if name in held:
+                held[name][0].append(i)
+            else:
+                held[name] = ([i], mark, body)
+        return [(sha, name, pack(np.array(at, np.int32)), mark, len(at), body) for name, (at, mark, body) in held.items()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for sha, body, shared in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at, h = marks(body)
-                h = h.view(np.int64)
-                for k in np.flatnonzero(np.isin(h, np.array(shared, np.int64))).tolist():
-                    start = max(int(at[k]) - (LENGTH - GRAM), 0)
-                    for col, v in zip(rows, (int(h[k] % shards), int(h[k]), sha, start, body[start : int(at[k]) + LENGTH]), strict=True):
-                        col.append(v)
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=["p", "mark", "sha", "start", "body"])
+            rows: list[tuple] = []
+            for sha, text, shared in zip(*b.columns, strict=True):
+                rows += of(sha.as_py(), text.as_py(), shared.values.to_numpy())
+                if len(rows) >= STEP:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
+
+    return texts.mapInArrow(run, "sha binary, piece binary, starts binary, mark long, n long, body binary")
+
 
-    return texts.mapInArrow(run, PIECES)
+FOUND = "piece binary, first int, last int"
+
+
+def _found(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["piece", "first", "last"])
 
 
 def repeats(t: pa.Table) -> pa.Table:
-    """Of one shard: ``sha, start, stop`` of stretches that start at more than one place, runs of a piece merged."""
-    t = t.sort_by([("mark", "ascending"), ("sha", "ascending"), ("start", "ascending")])
-    starts, distinct = t.column("start").to_numpy().astype(np.int64), {}
-    of = np.array([distinct.setdefault(x, len(distinct)) for x in t.column("body").to_pylist()], np.int64)  # equal pieces are sorted once
-    bodies, holders = list(distinct), np.bincount(of)
-    held_by = np.split(np.argsort(of, kind="stable"), np.cumsum(holders)[:-1])
-    one = np.array([x[0] for x in held_by], np.int64)
-    shas, owner = t.column("sha").to_pylist(), np.unique(np.array(t.column("sha").to_pylist(), object).astype("S32"), return_inverse=True)[1]
+    """Of one shard of different pieces: runs of stretches, by their starts in the piece, that start at more than one place."""
+    bodies = t.column("body").to_pylist()
     sizes = np.array([len(x) for x in bodies], np.int64)
-    joined = b"\0".join(bodies) + b"\0"
-    raw = np.frombuffer(joined, np.uint8)
+    raw = np.frombuffer(b"\0".join(bodies), np.uint8)
     begin = np.cumsum(sizes + 1) - sizes - 1
-    piece = np.repeat(np.arange(len(bodies)), sizes + 1)
-    offset = np.arange(len(raw)) - begin[piece]
-    order = suffix_array(raw.astype(np.int64), 256)
-    whole = order[offset[order] <= sizes[piece[order]] - LENGTH]  # suffixes with a full stretch in their piece
-    a, b = whole[:-1], whole[1:]
-    same = np.ones(len(a), bool)
-    live = np.arange(len(a))
-    for k in range(0, LENGTH, 8):
-        eq = np.ones(len(live), bool)
-        for d in range(k, min(k + 8, LENGTH)):
-            eq &= raw[a[live] + d] == raw[b[live] + d]
-        same[live[~eq]] = False
-        live = live[eq]
-    group = np.concatenate([[0], np.cumsum(~same)]) if len(whole) else np.empty(0, np.int64)
-    where = owner[one[piece[whole]]] * (1 << 32) + starts[one[piece[whole]]] + offset[whole]
-    pair = np.unique(np.stack([group, where], axis=1), axis=0)  # a place once in its group
-    many = np.bincount(pair[:, 0], minlength=group[-1] + 1 if len(group) else 0) > 1
-    many[group[holders[piece[whole]] > 1]] = True
-    hit = whole[many[group]] if len(whole) else whole
-    hit = np.sort(hit)
-    rows: list[tuple] = []
-    if len(hit):
-        cut = np.flatnonzero((np.diff(hit) > LENGTH) | (piece[hit[1:]] != piece[hit[:-1]]))
-        first, last = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(hit) - 1]])
-        ends = zip(piece[hit[first]].tolist(), offset[hit[first]].tolist(), offset[hit[last]].tolist(), strict=True)
-        rows = [(shas[q], int(starts[q]) + i, int(starts[q]) + j + LENGTH) for u, i, j in ends for q in held_by[u].tolist()]
-    columns = list(zip(*rows, strict=True)) or [[]] * 3
-    return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["sha", "start", "stop"])
+    piece = np.repeat(np.arange(len(bodies), dtype=np.int32), sizes + 1)[:-1]
+    order, common = sort_suffixes(raw, 256, LENGTH)
+    offset = order - begin[piece[order]]
+    at = np.flatnonzero(offset <= sizes[piece[order]] - LENGTH)  # suffixes with a full stretch in their piece
+    whole, of, offset = order[at], piece[order[at]], offset[at]
+    # Between two of them the common prefix is the least on the way.
+    same = np.minimum.reduceat(common[: at[-1] + 1], at[:-1] + 1) >= LENGTH if len(at) > 1 else np.empty(0, bool)
+    many = (t.column("n").to_numpy() > 1)[of]
+    many[1:] |= same
+    many[:-1] |= same
+    group = np.concatenate([[0], np.cumsum(~same)])
+    many = (np.bincount(group, weights=many, minlength=group[-1] + 1) > 0)[group]
+    hit = np.sort(whole[many])
+    if not len(hit):
+        return _found([])
+    cut = np.flatnonzero(np.diff(hit) > 1)
+    first, last = hit[np.concatenate([[0], cut + 1])], hit[np.concatenate([cut, [len(hit) - 1]])]
+    names, of = t.column("piece").to_pylist(), piece[first]
+    return _found(list(zip([names[k] for k in of.tolist()], (first - begin[of]).tolist(), (last - begin[of]).tolist(), strict=True)))
+
+
+def stretches(pieces: DataFrame) -> DataFrame:
+    """``pieces`` (piece, n, body) -> a row per stretch: its name, its piece, its start there and how often it occurs so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece, n, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                names = [xxhash.xxh3_128_digest(body[k : k + LENGTH]) for k in range(len(body) - LENGTH + 1)]
+                m = len(names)
+                yield pa.RecordBatch.from_pydict({"stretch": names, "piece": [piece] * m, "first": np.arange(m, dtype=np.int32), "n": [n] * m})
+
+    return pieces.mapInArrow(run, "stretch binary, piece binary, first int, n long")
 
 
 def cut(texts: DataFrame) -> DataFrame:
-    """``texts`` (sha, body, spans) -> sha, n_removed, n_spans, kept_sha256. Spans overlap; touching ones are one run."""
+    """``texts`` (sha, body, found: starts of pieces with runs of repeated stretches) -> sha, n_removed, n_spans, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for sha, body, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                digest, at, gone, runs = hashlib.sha256(), 0, 0, 0
-                for s, e in sorted((x["start"], x["stop"]) for x in spans):
-                    if s > at or runs == 0:
-                        digest.update(body[at:s])
-                        runs += 1
-                        at = s
-                    gone += max(e - at, 0)
-                    at = max(at, e)
-                digest.update(body[at:])
-                for col, v in zip(out, (sha, gone, runs, digest.hexdigest()), strict=True):
+            for sha, body, found in zip(*b.columns, strict=True):
+                sha, body = sha.as_py(), body.as_py()
+                edge = np.zeros(len(body) + 1, np.int32)
+                for x in found.as_py():
+                    at = unpack(x["starts"])
+                    np.add.at(edge, at + x["first"], 1)
+                    np.add.at(edge, at + (x["last"] + LENGTH), -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+                kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
+                for col, v in zip(out, (sha, len(body) - len(kept), runs, hashlib.sha256(kept).hexdigest()), strict=True):
                     col.append(v)
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["sha", "n_removed", "n_spans", "kept_sha256"])
@@ -186,12 +215,32 @@ def cut(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "sha binary, n_removed long, n_spans long, kept_sha256 string")
 
 
+def repeated_pieces(different: DataFrame) -> DataFrame:
+    """``different`` pieces (piece, mark, n, size, body) -> ``piece, first, last``: runs of repeated stretches."""
+    spark = different.sparkSession
+    of = different.groupBy("mark").agg(F.count("*").alias("pieces"), F.sum("size").alias("bytes"))
+    of = Stored(of, "suffix-piece-marks").df
+    alone = different.join(of.filter("pieces = 1").select("mark"), "mark", "left_semi").filter("n > 1")
+    whole = alone.select("piece", F.lit(0).alias("first"), (F.col("size") - LENGTH).cast("int").alias("last"))
+    few = of.filter(F.col("pieces").between(2, SPLIT))
+    total = few.agg(F.sum("bytes")).first()[0] or 0
+    shards = max(tasks(spark), -(-total // SHARD_BYTES))
+    sent = different.join(few.select("mark"), "mark").select("piece", "n", "body", F.pmod("mark", F.lit(shards)).cast("int").alias("shard"))
+    found = whole.union(sent.groupBy("shard").applyInArrow(repeats, FOUND))
+    many = of.filter(F.col("pieces") > SPLIT).select("mark")
+    if not many.isEmpty():
+        own = Stored(stretches(different.join(many, "mark").select("piece", "n", "body")), "suffix-stretches").df
+        twice = own.groupBy("stretch").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("stretch")
+        twice = Stored(twice, "suffix-repeated").df
+        found = found.union(own.join(twice, "stretch").select("piece", "first", F.col("first").alias("last")))
+    return found
+
+
 def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts, rows): ``texts`` has sha, body, spans (array of start, stop) of the different texts with a repeat inside or
+    """(texts, rows): ``texts`` has sha, body, found (see :func:`cut`) of the different texts with a repeat inside or
     to other texts; ``rows`` has id, sha, n_bytes, copies of every row."""
-    spark = docs.sparkSession
     body = _text(text_col)
-    held = docs.select(F.col(id_col).alias("id"), body.alias("body"), F.unhex(F.sha2(body, 256)).alias("sha"))
+    held = docs.select(F.col(f"`{id_col}`").alias("id"), body.alias("body"), F.unhex(F.sha2(body, 256)).alias("sha"))
     counted = held.groupBy("sha").agg(F.count("*").alias("copies"), F.min("id").alias("one"), F.first(F.length("body")).cast("long").alias("n_bytes"))
     counted = Stored(counted, "suffix-texts").df
     found = marked(held.select("sha", "body")).groupBy("sha").agg(F.first("marks").alias("marks"))
@@ -199,17 +248,19 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     each = found.df.select("sha", F.explode("marks").alias("mark"))
     # 64 bits name a text here: a clash only adds a candidate.
     each = each.select(F.xxhash64("sha").alias("text"), "mark")
-    twice = each.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark")
+    twice = Stored(each.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "suffix-shared-marks").df
     shared = Stored(each.join(twice, "mark").groupBy("text").agg(F.collect_set("mark").alias("shared")), "suffix-shared").df
     wanted = held.withColumn("text", F.xxhash64("sha")).join(shared, "text").join(counted.select("sha", "one"), "sha").filter(F.col("id").eqNullSafe(F.col("one")))
     # Equal rows with equal ids are one text: one of them goes on.
-    texts = Stored(wanted.select("sha", "body", "shared"), "suffix-candidates").df
-    total = texts.agg(F.sum(F.size("shared"))).first()[0] or 0
-    shards = max(tasks(spark), -(-total // SHARD_PIECES))
-    spans = pieces(texts, shards).groupBy("p").applyInArrow(repeats, "sha binary, start int, stop int")
-    spans = spans.groupBy("sha").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(body, 256)).alias("sha"))
-    return texts.select("sha", "body").join(spans, "sha").dropDuplicates(["sha"]), rows.join(counted.drop("one"), "sha")
+    texts = Stored(wanted.select("sha", "body", "shared").dropDuplicates(["sha"]), "suffix-candidates").df
+    made = Stored(pieces(texts), "suffix-pieces").df
+    different = made.groupBy("piece").agg(F.first("mark").alias("mark"), F.sum("n").alias("n"), F.first("body").alias("body"))
+    different = Stored(different.withColumn("size", F.length("body").cast("long")), "suffix-different").df
+    repeated = Stored(repeated_pieces(different), "suffix-found").df
+    places = made.select("sha", "piece", "starts").join(repeated, "piece")
+    spans = places.groupBy("sha").agg(F.collect_list(F.struct("starts", "first", "last")).alias("found"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.sha2(body, 256)).alias("sha"))
+    return texts.select("sha", "body").join(spans, "sha"), rows.join(counted.drop("one"), "sha")
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()

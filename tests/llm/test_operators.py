@@ -76,31 +76,62 @@ def test_mixing(docs):
 
 def test_suffix_array():
     rng = np.random.default_rng(2)
-    for _ in range(60):
-        x = rng.integers(0, 3, rng.integers(1, 50))
-        assert induced.suffix_array(x, 3).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
-
-
-def test_suffix_array_with_spilled_queues(monkeypatch):
+    for k in range(150):
+        x, cap = rng.integers(0, 3, rng.integers(0, 50)), (255, 4)[k % 2]
+        x = np.tile(x[:5], 7) if k % 3 == 0 else x
+        x = (x.astype(np.int32) * 200 + rng.integers(0, 2, len(x))) if k % 5 == 0 else x.astype(np.uint8)
+        order, common = induced.sort_suffixes(x, 601, cap)
+        assert order.tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
+        for a, b, c in zip(order[:-1], order[1:], common[1:], strict=True):
+            n = next((i for i in range(len(x) - max(a, b)) if x[a + i] != x[b + i]), len(x) - max(a, b))
+            assert c == min(n, cap)
+
+
+def test_suffix_array_with_tables_on_disk(monkeypatch):
     monkeypatch.setattr(induced, "MEMORY", 4)
     test_suffix_array()
 
 
-def test_repeated_bytes(docs, texts):
-    seen, data = Counter(), {k: (t or "").encode() for k, t in enumerate(texts)} | {None: b"null id"}
-    for b in data.values():
+def check_removals(df, data):
+    seen = Counter()
+    for _, b in data:
         seen.update(b[i : i + 200] for i in range(len(b) - 199))
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.removals(docs).collect()}
-    for k, b in data.items():
+    want = []
+    for k, b in data:
         gone = bytearray(len(b))
         for i in range(len(b) - 199):
             if seen[b[i : i + 200]] > 1:
                 gone[i : i + 200] = b"\1" * 200
         runs = sum(gone[i] and (i == 0 or not gone[i - 1]) for i in range(len(b)))
-        assert got[k] == (len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
+        want.append((k, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    assert sorted(map(repr, map(tuple, suffix_dedup.removals(df).collect()))) == sorted(map(repr, want))
+
+
+def test_repeated_bytes(docs, texts):
+    check_removals(docs, [*((k, (t or "").encode()) for k, t in enumerate(texts)), (None, b"null id")])
     assert suffix_dedup.removals(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("split", [8192, 3])
+def test_repeated_bytes_around_a_common_passage(spark, monkeypatch, split):
+    """Passages of many lengths in many texts, with all sorts of surroundings; with few pieces a mark stretches are dealt by content."""
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    rnd = random.Random(6)
+    passage, rows = prose(rnd, 90), []
+    for _ in range(60):
+        a = rnd.randrange(60)
+        rows.append(prose(rnd, rnd.randint(0, 40)) + passage[a : a + rnd.randint(150, 320)] + prose(rnd, rnd.randint(0, 40)))
+    rows += ["a" * 1500, "ab" * 700, "abcdefghij" * 90 + "x" + "abcdefghij" * 70, rows[0], "a" * 199, "b" * 200]
+    check_removals(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), list(enumerate(x.encode() for x in rows)))
+
+
+def test_repeated_bytes_of_very_long_texts(spark):
+    """Megabytes of one letter and of a short period: one piece each, however long."""
+    rows = [(0, "a" * 3_000_000), (1, "abcdefghij" * 300_000), (2, "unlike the others " * 3)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (3_000_000, 1), 1: (3_000_000, 1), 2: (0, 0)}
+
+
 def test_token_counts(docs, texts):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
