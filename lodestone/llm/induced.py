@@ -3,7 +3,8 @@
 Suffixes are classed S (less than the next suffix) or L. Once the leftmost S suffixes (S*) are in order, one sweep over the
 first characters from small to large induces all L suffixes and one back induces all S suffixes: reading a sorted suffix puts
 the suffix one character longer behind what its bucket holds. The S* suffixes are ordered by sorting the text of the names of
-their substrings the same way, recursively; that text is at most half as long.
+their substrings the same way, recursively; that text is at most half as long. The recursion ends where all names differ, or most do and
+what is equal differs soon after.
 
 A waiting suffix is a tuple of its place and the rank of the suffix that put it there. From the ranks of two neighbours in a
 bucket follows their common prefix: one more than the least common prefix between their sources (a range minimum over what
@@ -256,7 +257,7 @@ def sort_suffixes(text: np.ndarray, sigma: int, cap: int = 255) -> tuple[np.ndar
 def _stars(text: np.ndarray, s: np.ndarray, run: np.ndarray, sigma: int, star: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """S* places in the order of their suffixes, with common prefixes."""
     n, m = len(text), len(star)
-    # Substrings reach to the next S* place, that one included; the last to the end.
+    # Named with their classes, an L character before an S one. Substrings reach to the next S* place, that one included; the last to the end.
     size = np.append(star[1:] + 1, n) - star
     typed = text.astype(np.int64) * 2 + s + 1
     place, name = _names(typed, 2 * sigma + 1, star, size)
@@ -266,7 +267,7 @@ def _stars(text: np.ndarray, s: np.ndarray, run: np.ndarray, sigma: int, star: n
     if names == m:
         order, common = place, np.zeros(m, np.uint8)
     else:
-        order, common = sort_suffixes(name, names, cap)
+        order, common = _few_ties(name, names, cap) or sort_suffixes(name, names, cap)
     # A common prefix of names is one of characters up to where the names differ, and on as far as the different ones agree.
     least = Minima(names)
     least.extend(np.concatenate([[0], np.minimum(shared[~same], cap)]).astype(np.uint8))
@@ -288,14 +289,33 @@ def _stars(text: np.ndarray, s: np.ndarray, run: np.ndarray, sigma: int, star: n
     return star[order], out
 
 
-def _names(typed: np.ndarray, most: int, star: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, name) of the substrings at ``star``: of characters with their classes, an L one before an S one. Sorted by as many
-    as fit in 64 bits at a time, further ones only where those before are equal."""
+#: Distinct characters, as one in so many, from which a text's suffixes are compared directly, and the comparisons a suffix that
+#: may take on average.
+TIES, WORK = 3, 8
+
+
+def _few_ties(text: np.ndarray, sigma: int, cap: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """:func:`sort_suffixes` of a text of mostly different characters; none if it is not, or some stay equal for long."""
+    n = len(text)
+    if sigma * TIES < n:
+        return None
+    typed, starts = text.astype(np.int64) + 1, np.arange(n)
+    got = _names(typed, sigma, starts, n - starts, WORK * n)
+    return got and (got[0], np.concatenate([[0], _shared(typed, got[0], n - got[0], cap)]).astype(np.uint8))
+
+
+def _names(typed: np.ndarray, most: int, star: np.ndarray, size: np.ndarray, work: float = np.inf) -> tuple[np.ndarray, np.ndarray] | None:
+    """(order, name) of the substrings at ``star``, of characters over 0 and up to ``most``. Sorted by as many as fit in 64 bits at a
+    time, further ones only where those before are equal; none if that takes over ``work``
+    comparisons."""
     bits = most.bit_length()
     per = 64 // bits
     padded = np.append(typed, np.zeros(per, np.int64)).astype(np.uint64)
     rank, live, done = np.zeros(len(star), np.int64), np.arange(len(star)), 0
     while len(live):
+        work -= len(live)
+        if work < 0:
+            return None
         word = np.zeros(len(live), np.uint64)
         for k in range(done, done + per):
             at = np.minimum(star[live] + k, len(typed))
@@ -320,9 +340,11 @@ def _names(typed: np.ndarray, most: int, star: np.ndarray, size: np.ndarray) ->
     return order, np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])]).astype(np.int32)[np.argsort(order)]
 
 
-def _shared(typed: np.ndarray, places: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """How many characters, with their classes, neighbouring substrings share."""
+def _shared(typed: np.ndarray, places: np.ndarray, size: np.ndarray, cap: int | None = None) -> np.ndarray:
+    """How many characters neighbouring substrings share, up to ``cap``."""
     a, b, most = places[:-1], places[1:], np.minimum(size[:-1], size[1:])
+    if cap is not None:
+        most = np.minimum(most, cap)
     out = most.copy()
     live, k = np.arange(len(a)), 0
     while len(live):

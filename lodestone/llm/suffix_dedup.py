@@ -19,6 +19,7 @@ Texts that occur several times are handled once; being copies they go whole if t
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.induced import sort_suffixes
-from lodestone.llm.katz import pack, unpack
 from lodestone.llm.store import Stored, tasks
 
 LENGTH, GRAM = 200, 100
@@ -36,6 +36,8 @@ LENGTH, GRAM = 200, 100
 SHARD_BYTES, SPLIT = 4 << 20, 8192
 #: Pieces from which a batch goes out.
 STEP = 1 << 12
+#: Bytes of texts whose marks are found at once.
+GROUP = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
 
@@ -64,12 +66,14 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def marks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, hash) of the runs of stretches, by their starts, that share a mark; of equal hashes in a stretch the first place is
-    the mark."""
-    if len(text) < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = gram_hashes(np.frombuffer(text, np.uint8))
+def marks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first, last, hash) of the runs of stretches, by their starts, that share a mark; of equal hashes in a stretch the first
+    place is the mark."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    if len(joined) < LENGTH:
+        return (*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint64))
+    h = gram_hashes(joined)
     w = LENGTH - GRAM + 1
     n = len(h)
     # Least element of every window of w: of two overlapping powers of two; ties go to the first place.
@@ -83,8 +87,35 @@ def marks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m, off = n - w + 1, w - span
     a, b = best[:m], best[off : off + m]
     at = np.where(b < a, place[off : off + m], place[:m])
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return first, np.append(first[1:], m) - 1, h[at[first]]
+    begin = np.cumsum(sizes) - sizes
+    inside = np.zeros(m + 1, np.int8)  # stretches that lie in one text
+    long = sizes >= LENGTH
+    inside[begin[long]] = 1
+    inside[(begin + sizes)[long] - LENGTH + 1] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+    new = inside.copy()
+    new[1:] &= (at[1:] != at[:-1]) | ~inside[:-1]
+    new[begin[long]] = True
+    first = np.flatnonzero(new)
+    ends = inside.copy()
+    ends[:-1] &= new[1:] | ~inside[1:]
+    last = np.flatnonzero(ends)
+    text = np.searchsorted(begin, first, side="right") - 1
+    return text, first - begin[text], last - begin[text], h[at[first]]
+
+
+def grouped(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts) of neighbouring texts of about ``GROUP`` bytes, or of one longer text."""
+    start, held, size = 0, [], 0
+    for k, x in enumerate(texts):
+        t = x.as_py()
+        if held and size + len(t) > GROUP:
+            yield start, held
+            start, held, size = k, [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield start, held
 
 
 def _text(c: str) -> F.Column:
@@ -97,9 +128,16 @@ def marked(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for t in b.column(1):
-                h, n = np.unique(marks(t.as_py())[2].view(np.int64), return_counts=True)
-                found.append(np.concatenate([h, h[n > 1]]))
+            for _, texts in grouped(b.column(1)):
+                text, _, _, h = marks(texts)
+                order = np.lexsort((h, text))
+                text, h = text[order], h[order].view(np.int64)
+                same = (text[1:] == text[:-1]) & (h[1:] == h[:-1])
+                nth = np.ones(len(h), np.int64)  # a third occurrence tells no more than two
+                nth[1:] += same
+                nth[2:][same[1:] & same[:-1]] = 3
+                text, h = text[nth < 3], h[nth < 3]
+                found += np.split(h, np.searchsorted(text, np.arange(1, len(texts))))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["sha", "marks"])
@@ -113,9 +151,7 @@ PIECES = pa.schema([("sha", pa.binary()), ("piece", pa.binary()), ("starts", pa.
 def pieces(texts: DataFrame) -> DataFrame:
     """``texts`` (sha, body, shared: its repeated marks) -> a row per text and different piece in it: name, starts, mark, count, bytes."""
 
-    def of(sha: bytes, text: bytes, shared: np.ndarray) -> list[tuple]:
-        first, last, h = marks(text)
-        h = h.view(np.int64)
+    def of(sha: bytes, text: bytes, first: np.ndarray, last: np.ndarray, h: np.ndarray, shared: np.ndarray) -> list[tuple]:
         wanted = np.flatnonzero(np.isin(h, shared))
         held: dict[bytes, tuple[list, int, bytes]] = {}
         for i, j, mark in zip(first[wanted].tolist(), last[wanted].tolist(), h[wanted].tolist(), strict=True):
@@ -124,7 +160,7 @@ def pieces(texts: DataFrame) -> DataFrame:
                 held[name][0].append(i)
             else:
                 held[name] = ([i], mark, body)
-        return [(sha, name, pack(np.array(at, np.int32)), mark, len(at), body) for name, (at, mark, body) in held.items()]
+        return [(sha, name, array("i", at).tobytes(), mark, len(at), body) for name, (at, mark, body) in held.items()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
@@ -132,11 +168,15 @@ def pieces(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for sha, text, shared in zip(*b.columns, strict=True):
-                rows += of(sha.as_py(), text.as_py(), shared.values.to_numpy())
-                if len(rows) >= STEP:
-                    yield batch(rows)
-                    rows = []
+            for start, texts in grouped(b.column(1)):
+                text, first, last, h = marks(texts)
+                cuts, h = np.searchsorted(text, np.arange(len(texts) + 1)), h.view(np.int64)
+                for k, body in enumerate(texts):
+                    own = slice(cuts[k], cuts[k + 1])
+                    rows += of(b.column(0)[start + k].as_py(), body, first[own], last[own], h[own], b.column(2)[start + k].values.to_numpy())
+                    if len(rows) >= STEP:
+                        yield batch(rows)
+                        rows = []
             if rows:
                 yield batch(rows)
 
@@ -200,10 +240,12 @@ def cut(texts: DataFrame) -> DataFrame:
             for sha, body, found in zip(*b.columns, strict=True):
                 sha, body = sha.as_py(), body.as_py()
                 edge = np.zeros(len(body) + 1, np.int32)
-                for x in found.as_py():
-                    at = unpack(x["starts"])
-                    np.add.at(edge, at + x["first"], 1)
-                    np.add.at(edge, at + (x["last"] + LENGTH), -1)
+                found = found.values
+                starts = found.field("starts").to_pylist()
+                size = [len(x) // 4 for x in starts]
+                at = np.frombuffer(b"".join(starts), np.int32)
+                np.add.at(edge, at + np.repeat(found.field("first").to_numpy(), size), 1)
+                np.add.at(edge, at + np.repeat(found.field("last").to_numpy() + LENGTH, size), -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
