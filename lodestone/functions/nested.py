@@ -42,3 +42,25 @@ def symmetric_difference(a: Column, b: Column) -> Column:
 
 def is_subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
+
+
+def map_from_pairs(pairs: Column) -> Column:
+    """From structs (k, v); the last of equal keys holds."""
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(last)
+
+
+def map_from_two_characters(texts: Column) -> Column:
+    """From texts of two characters, key and value."""
+    return map_from_pairs(F.transform(texts, lambda t: F.struct(F.left(t, F.lit(1)).alias("k"), F.substr(t, F.lit(2), F.lit(1)).alias("v"))))
+
+
+def map_where(a: Column, keep, value) -> Column:
+    """{x: value(x) for x in a if keep(x)}."""
+    kept = F.array_distinct(F.filter(a, keep))
+    return F.map_from_arrays(kept, F.transform(kept, value))
+
+
+def truth(a: Column) -> Column:
+    """Whether an array has elements; null counts as empty."""
+    return F.coalesce(F.size(a) > 0, F.lit(False))

@@ -1 +1,21 @@
 """Operators over DataFrames: set algebra, grouped and windowed computations, matrices, regression."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+from functools import wraps
+
+
+def timed(f: Callable, tell: Callable[[str, float], None] = print) -> Callable:
+    """``f`` with a hook after every call: its name and the seconds it took. A lazy result is not computed for it."""
+
+    @wraps(f)
+    def run(*args, **kw):
+        start = time.perf_counter()
+        try:
+            return f(*args, **kw)
+        finally:
+            tell(f.__name__, time.perf_counter() - start)
+
+    return run

@@ -74,9 +74,18 @@ simple("text_length", "documents", "doc_id", "text", {"n": lambda c: F.length(c)
 simple("upper_lower", "part", "p_partkey", "p_name", {"u": F.upper, "l": F.lower}, {"u": "upper(p_name)", "l": "lower(p_name)"})
 simple("formatted", "part", "p_partkey", "p_size", {"s": lambda c: F.format_string("%05d", c)}, {"s": "printf('%05d', p_size)"})
 simple("split_date", "orders", "o_orderkey", "o_orderdate", {"m": lambda c: F.get(F.split(F.date_format(c, "M/d/yyyy"), "/"), F.lit(0))}, {"m": "month(o_orderdate)::VARCHAR"})
+simple("formatted_float", "lineitem", "l_orderkey", "l_extendedprice", {"s": lambda c: F.format_string("%.2f", c), "line": lambda c: F.format_string("%s of %s", F.col("l_linenumber"), F.col("l_orderkey"))}, {"s": "printf('%.2f', l_extendedprice)", "line": "concat(l_linenumber, ' of ', l_orderkey)"})
+simple("distinct_characters", "part", "p_partkey", "p_name", {"n": lambda c: F.size(F.array_distinct(T.chars(c))).cast(L)}, {"n": "len(list_distinct(string_split(p_name, '')))::BIGINT"})
 simple("contains_word", "part", "p_partkey", "p_type", {"b": lambda c: c.contains("ECO")}, {"b": "contains(p_type, 'ECO')"})
 
 
+@query("SELECT w[1] AS c, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w <> '' GROUP BY w[1]")
+def words_by_first_char(spark, sf_dir):
+    """How many words begin with each character; FLT3 asks for one of them."""
+    words = sources.load(spark, sf_dir, "part").select(F.explode(T.words(F.col("p_name"))).alias("w"))
+    return words.groupBy(T.first_char(F.col("w")).alias("c")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT n_nationkey, string_agg(c || n::VARCHAR, '' ORDER BY first) AS code FROM (SELECT n_nationkey, c, count(*) AS n, min(i) AS first FROM (SELECT n_nationkey, i, c, i - row_number() OVER (PARTITION BY n_nationkey, c ORDER BY i) AS g FROM (SELECT n_nationkey, unnest(range(1, length(s) + 1)) AS i, substr(s, unnest(range(1, length(s) + 1)), 1) AS c FROM (SELECT n_nationkey, concat(n_name, 'aabbb') AS s FROM nation))) GROUP BY n_nationkey, c, g) GROUP BY n_nationkey")
 def rle_encode(spark, sf_dir):
     return sources.load(spark, sf_dir, "nation").select("n_nationkey", T.run_lengths(F.concat("n_name", F.lit("aabbb"))).alias("code"))
@@ -125,6 +134,8 @@ def motif_positions(spark, sf_dir):
 
 simple("gc_content", "orders", "o_orderkey", "o_orderkey", {"gc": lambda c: F.round(S.share_of(dna(c), "GC"), 6)}, {"gc": f"round(100.0::DOUBLE * (length(d) - length(translate(d, 'GC', ''))) / length(d), 6)"})
 SQL["gc_content"] = SQL["gc_content"].replace("FROM orders", f"FROM (SELECT o_orderkey, {DNA.format(k='o_orderkey')} AS d FROM orders)")
+simple("base_shares", "orders", "o_orderkey", "o_orderkey", {x.lower(): lambda c, x=x: F.round(S.share_of(dna(c), x), 6) for x in ("G", "C", "GC")}, {x.lower(): f"round(100.0::DOUBLE * (length(d) - length(translate(d, '{x}', ''))) / length(d), 6)" for x in ("G", "C", "GC")})
+SQL["base_shares"] = SQL["base_shares"].replace("FROM orders", f"FROM (SELECT o_orderkey, {DNA.format(k='o_orderkey')} AS d FROM orders)")
 simple("transcribe", "orders", "o_orderkey", "o_orderkey", {"rna": lambda c: S.transcribe(dna(c))}, {"rna": f"replace({DNA.format(k='o_orderkey')}, 'T', 'U')"})
 simple("reverse_complement", "orders", "o_orderkey", "o_orderkey", {"rc": lambda c: S.reverse_complement(dna(c))}, {"rc": f"reverse(translate({DNA.format(k='o_orderkey')}, 'ACGT', 'TGCA'))"})
 simple("translate_complement", "part", "p_partkey", "p_partkey", {"c": lambda c: S.complement(dna(c))}, {"c": f"translate({DNA.format(k='p_partkey')}, 'ACGT', 'TGCA')"})
@@ -164,6 +175,7 @@ def hamming_pairs(spark, sf_dir):
 simple("prime_flag", "part", "p_partkey", "p_partkey", {"prime": M.is_prime}, {"prime": "p_partkey > 1 AND len(list_filter(range(2, greatest(2, floor(sqrt(p_partkey))::BIGINT) + 1), lambda i: i < p_partkey AND p_partkey % i = 0)) = 0"})
 simple("temp_convert", "part", "p_partkey", "p_size", {"up": lambda c: F.round(M.scaled_up(c.cast("double")), 6), "down": lambda c: F.round(M.scaled_down(c.cast("double")), 6)}, {"up": "round((p_size::DOUBLE - 32) * 9 / 5, 6)", "down": "round((p_size::DOUBLE - 32) * 5 / 9, 6)"})
 simple("power", "part", "p_partkey", "p_size", {"p": lambda c: F.pow(c, F.lit(3))}, {"p": "pow(p_size, 3)::DOUBLE"})
+simple("power_of_columns", "lineitem", "l_orderkey", "l_linenumber", {"p": lambda c: F.pow(c, F.pmod(F.col("l_suppkey"), F.lit(9)))}, {"p": "pow(l_linenumber, l_suppkey % 9)::DOUBLE"})
 simple("factorial_small", "part", "p_partkey", "p_size", {"f": lambda c: M.small_factorial(F.pmod(c, F.lit(15)))}, {"f": "factorial((p_size % 15)::INT)::BIGINT"})
 simple("price_with_tax", "part", "p_partkey", "p_retailprice", {"p": lambda c: F.round(M.price(c), 4)}, {"p": "round(p_retailprice + p_retailprice * 0.07::DOUBLE - 0.0::DOUBLE, 4)"})
 simple("derivative", "part", "p_partkey", "p_size", {"d": lambda c: (2 * c).cast(L)}, {"d": "(2 * p_size)::BIGINT"})
@@ -174,6 +186,11 @@ simple("isin_filter", "part", "p_partkey", "p_size", {"p_size": lambda c: c}, {"
 simple("comparison_logic", "part", "p_partkey", "p_size", {"b": lambda c: (c > 10) & ~(c >= 40) | (c == 1)}, {"b": "(p_size > 10 AND NOT p_size >= 40) OR p_size = 1"})
 simple("swap_columns", "lineitem", "l_orderkey", "l_quantity", {"a": lambda c: F.col("l_discount"), "b": lambda c: c}, {"a": "l_discount", "b": "l_quantity"})
 simple("tuple_arithmetic", "part", "p_partkey", "p_size", {"a": lambda c: F.struct((c + 3).alias("x"))["x"].cast(L), "b": lambda c: (c - 3).cast(L)}, {"a": "(p_size + 3)::BIGINT", "b": "(p_size - 3)::BIGINT"})
+simple(
+    "record_of_arguments", "part", "p_partkey", "p_name",
+    {f: lambda c, f=f: F.struct(c.alias("bat"), F.col("p_brand").alias("bowl"), F.col("p_type").alias("keep"), F.coalesce(F.when(F.col("p_size") % 2 == 0, F.col("p_type")), F.lit("none")).alias("last"))[f] for f in ("bat", "bowl", "keep", "last")},
+    {"bat": "p_name", "bowl": "p_brand", "keep": "p_type", "last": "CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'none' END"},
+)
 simple("record_default", "events", "event_id", "event_type", {"r": lambda c: F.coalesce(F.when(c == "click", c), F.lit("none"))}, {"r": "CASE WHEN event_type = 'click' THEN event_type ELSE 'none' END"})
 
 
@@ -340,8 +357,7 @@ def top_k(spark, sf_dir):
 
 @query("SELECT o_custkey, max(o_totalprice) >= 250000 AS any_large FROM orders GROUP BY o_custkey")
 def exists_predicate(spark, sf_dir):
-    per = sources.load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("prices"))
-    return per.select("o_custkey", F.exists("prices", lambda v: v >= 250000).alias("any_large"))
+    return sources.load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_totalprice") >= 250000).alias("any_large"))
 
 
 # Maps and arrays ----------------------------------------------------------------------------------------------------
@@ -359,6 +375,12 @@ def _entries(df, m):
 _K = "SELECT c_custkey, unnest([{k}]) AS k, unnest([{v}])::BIGINT AS v FROM customer"
 for _name, _f, _sql in (
     ("map_merge", lambda d: _entries(d, N.merge_maps(F.col("m"), F.col("o"))), _K.format(k="'a', 'b', 'c'", v="c_custkey, c_custkey * 2, c_custkey * 3")),
+    ("map_values_min_max", lambda d: d.select("c_custkey", F.array_min(F.map_values("m")).alias("lo"), F.array_max(F.map_values("m")).alias("hi")), "SELECT c_custkey, c_custkey AS lo, c_custkey + 1 AS hi FROM customer"),
+    ("map_from_pairs", lambda d: _entries(d, N.map_from_pairs(F.array(*[F.struct(F.lit(k).alias("k"), F.get("arr", F.lit(i)).alias("v")) for i, k in enumerate("pq")]))), _K.format(k="'p', 'q'", v="c_custkey, c_custkey + 1")),
+    ("map_from_two_characters", lambda d: d.select("c_custkey", F.explode(N.map_from_two_characters(F.array(F.lit("ab"), F.lit("cd")))).alias("k", "v")), "SELECT c_custkey, unnest(['a', 'c']) AS k, unnest(['b', 'd']) AS v FROM customer"),
+    ("map_comprehension", lambda d: _entries(d, N.map_where(F.col("arr"), lambda x: x % 2 == 0, lambda x: x * x)).withColumn("k", F.col("k").cast(L)), "SELECT c_custkey, k, k * k AS v FROM (SELECT c_custkey, unnest([c_custkey, c_custkey + 1, c_custkey + 2]) AS k FROM customer) WHERE k % 2 = 0"),
+    ("empty_collection", lambda d: d.select("c_custkey", N.truth(F.filter("arr", lambda x: x % 5 == 0)).alias("b")), "SELECT c_custkey, c_custkey % 5 IN (0, 3, 4) AS b FROM customer"),
+    ("nested_literal", lambda d: d.select("c_custkey", F.explode(F.array(F.struct(F.lit("a").alias("x"), F.array(F.lit(1), F.col("c_custkey")).alias("y")), F.struct(F.lit("b").alias("x"), F.array(F.lit(2), F.lit(3).cast(L)).alias("y")))).alias("z")).select("c_custkey", "z.x", F.element_at("z.y", -1).alias("last")), "SELECT c_custkey, unnest(['a', 'b']) AS x, unnest([c_custkey, 3]) AS last FROM customer"),
     ("map_delete", lambda d: _entries(d, N.without_key(F.col("m"), F.lit("a"))), _K.format(k="'b'", v="c_custkey + 1")),
     ("map_entries", lambda d: _entries(d, F.col("m")), _K.format(k="'a', 'b'", v="c_custkey, c_custkey + 1")),
     ("map_insert", lambda d: _entries(d, N.merge_maps(F.col("m"), F.create_map(F.lit("z"), F.lit(0).cast(L)))), _K.format(k="'a', 'b', 'z'", v="c_custkey, c_custkey + 1, 0")),
@@ -400,6 +422,13 @@ for _name, _f, _sql in (
     SQL[_name] = COO + _sql
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice AS label FROM orders")
+def positional_columns(spark, sf_dir):
+    """Columns by place: the first three, and one by its number."""
+    o = sources.load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return sources.by_position(o, slice(0, 3), 3)
+
+
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
 def linreg_simple(spark, sf_dir):
     x, y = "l_quantity", "l_extendedprice"

@@ -21,6 +21,11 @@ def features_and_target(df: DataFrame, features: list[str], target: str) -> Data
     return df.select(*[F.col(c).cast("double") for c in features], F.col(target).cast("double").alias("label"))
 
 
+def by_position(df: DataFrame, features: slice, target: int) -> DataFrame:
+    """Columns by place: a slice of them, and one renamed ``label``."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns[features]], F.col(f"`{df.columns[target]}`").alias("label"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
@@ -31,9 +36,9 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 
 def write_text(df: DataFrame, path: str, column: str = "value", exclusive: bool = False) -> int:
     """Characters written. ``exclusive`` fails if the path exists; else it is replaced."""
-    written = df.agg(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0]
     df.select(column).write.mode("errorifexists" if exclusive else "overwrite").text(path)
-    return written
+    lines = df.sparkSession.read.text(path)  # what was written, not the plan again
+    return lines.agg(F.coalesce(F.sum(F.length("value")), F.lit(0))).first()[0]
 
 
 def numbers(spark: SparkSession, start: int, stop: int, step: int = 1) -> DataFrame:

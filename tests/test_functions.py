@@ -9,7 +9,7 @@ from lodestone.functions import nested as N
 from lodestone.functions import numbers as M
 from lodestone.functions import sequences as S
 from lodestone.functions import text as T
-from lodestone.operators import matrix, regression, relational
+from lodestone.operators import matrix, regression, relational, timed
 
 
 def one(spark, column):
@@ -110,6 +110,53 @@ def test_sentinel(spark):
     assert [r["v"] for r in sources.until_sentinel(df, F.col("pos"), "v", "q").collect()] == ["a"]
 
 
+def test_csv_by_name_with_two_targets(spark, tmp_path):
+    """A table with a declared schema; features by name and by place; a fit of each of its two targets."""
+    rng = np.random.default_rng(3)
+    x = np.c_[rng.integers(20, 80, 60), rng.normal(22, 3, 60), rng.normal(80, 5, 60), rng.normal(90, 4, 60), rng.integers(0, 2, 60)]
+    clean = 30 + x @ [2, 1.8, 3.5, 4, 1]
+    noisy = clean + rng.normal(0, 20, 60)
+    names = ["age", "bmi", "bp", "sugar", "sex", "score", "score_noisy"]
+    path = tmp_path / "scores.csv"
+    path.write_text("\n".join([",".join(names), *(",".join(map(repr, map(float, r))) for r in np.c_[x, clean, noisy])]))
+    df = sources.read_csv(spark, str(path), ", ".join(f"{c} double" for c in names))
+    assert df.dtypes == [(c, "double") for c in names] and df.count() == 60
+    design = np.c_[x, np.ones(60)]
+    for target, y in (("score", clean), ("score_noisy", noisy)):
+        named = sources.features_and_target(df, names[:5], target)
+        assert sorted(map(tuple, named.collect())) == sorted(map(tuple, sources.by_position(df, slice(0, 5), names.index(target)).collect()))
+        model = regression.fit(named, names[:5], "label")
+        want = np.linalg.lstsq(design, y, rcond=None)[0]
+        assert np.allclose([*model.coefficients, model.intercept], want, rtol=1e-6, atol=1e-6)
+        r2 = 1 - ((y - design @ want) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+        assert abs(regression.r2(regression.predict(model, named, names[:5]), "label").first()[0] - r2) < 1e-9
+
+
+def test_whole_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    assert [r["value"] for r in sources.read_whole(spark, str(tmp_path / "a.txt")).collect()] == ["one\ntwo\n"]
+
+
+def test_maps_from_pairs(spark):
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in (("a", 1), ("b", 2), ("a", 3))])
+    assert one(spark, N.map_from_pairs(pairs)) == {"a": 3, "b": 2}
+    assert one(spark, N.map_from_two_characters(F.array(F.lit("ab"), F.lit("cd")))) == {"a": "b", "c": "d"}
+    assert one(spark, N.map_where(F.sequence(F.lit(1), F.lit(10)), lambda x: x % 2 == 0, lambda x: x * x)) == {k: k * k for k in range(2, 11, 2)}
+    assert [one(spark, N.truth(x)) for x in (F.array(), F.array(F.lit(0)), F.lit(None).cast("array<int>"))] == [False, True, False]
+
+
+def test_timed():
+    told = []
+    assert timed(lambda a, b=1: a + b, lambda name, s: told.append((name, s >= 0)))(2, b=3) == 5 and told == [("<lambda>", True)]
+
+
+def test_character_counts(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("aab\n")
+    q = streaming.character_counts(streaming.text_stream(spark, str(tmp_path))).writeStream.format("memory").queryName("chars").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert {tuple(r) for r in spark.table("chars").collect()} == {("a", 2), ("b", 1)}
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("age,score\n1,2.5\n")
     assert sources.read_csv(spark, str(tmp_path / "a.csv")).dtypes == [("age", "int"), ("score", "double")]
