@@ -16,6 +16,7 @@ closest candidate first, and only lines that this leaves are held against their
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -31,12 +32,12 @@ from lodestone.llm.katz import by_part, mixed, pack, pack_sorted, unpack, unpack
 from lodestone.llm.store import Stored, fresh, tasks
 
 SIMILARITY = (4, 5)
-#: Different words of a line that is looked at; of a line that can be similar to one with another set.
-MIN_WORDS, JOINED = 1, 4
+#: Different words of a line that can be similar to one with another set; of one whose parity takes 128 bits.
+JOINED, WIDE = 4, 64
 CHUNK_WORDS = 1 << 20
 CELL_BITS, CELL_PARTS = 20, 16
 #: Pairs a task forms at a time.
-PAIRS = 1 << 22
+PAIRS = 1 << 18
 
 CHUNK = "chunk long, ids array<long>, n_lines binary, doc binary, line binary, sizes binary, words binary, dictionary binary"
 _T, _U = SIMILARITY
@@ -48,45 +49,42 @@ def _batch(row: dict, schema: list[tuple]) -> pa.RecordBatch:
 
 def encode(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per chunk: document ids and line counts; per line with a word its document, number, size and word numbers."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
         fields = [("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("n_lines", "doc", "line", "sizes", "words", "dictionary")]]
 
         def start():
-            return [], [], [], [], [], defaultdict(count().__next__), 0
+            return [], [], array("i"), array("i"), array("i"), array("i"), defaultdict(count().__next__)
 
-        ids, n_lines, doc, line, seqs, known, size = start()
+        ids, n_lines, doc, line, sizes, words, known = start()
 
         def flush():
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
-            order = np.argsort(hashes, kind="stable")
+            order = np.argsort(hashes)
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
-            flat = np.concatenate(seqs) if seqs else np.empty(0, np.int32)
-            row = {"n_lines": n_lines, "doc": doc, "line": line, "sizes": [len(s) for s in seqs]}
+            row = {"n_lines": n_lines, "doc": doc, "line": line, "sizes": sizes}
             packed = {k: [pack(np.array(v, np.int32))] for k, v in row.items()}
-            return _batch({"chunk": [(part << 32) | serial], "ids": [ids], **packed, "words": [pack(place[flat])], "dictionary": [pack_sorted(hashes[order])]}, fields)
+            return _batch({"chunk": [(part << 32) | serial], "ids": [ids], **packed, "words": [pack(place[np.array(words, np.int32)])], "dictionary": [pack_sorted(hashes[order])]}, fields)
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = (t or "").encode("utf-8", "surrogatepass").split(b"\n")
                 some = 0
-                for k, x in enumerate(lines):
-                    w = x.split()
-                    some += bool(w)
-                    if len(w := set(w)) >= MIN_WORDS:
+                for k, x in enumerate((t or b"").split(b"\n")):
+                    if w := set(x.split()):
+                        some += 1
                         doc.append(len(ids))
                         line.append(k)
-                        seqs.append(np.fromiter(map(known.__getitem__, w), np.int32, len(w)))
-                        size += len(w)
+                        sizes.append(len(w))
+                        words.extend(map(known.__getitem__, w))
                 ids.append(i)
                 n_lines.append(some)
-                if size >= CHUNK_WORDS:
+                if len(words) >= CHUNK_WORDS:
                     yield flush()
                     serial += 1
-                    ids, n_lines, doc, line, seqs, known, size = start()
+                    ids, n_lines, doc, line, sizes, words, known = start()
         if ids:
             yield flush()
 
@@ -155,7 +153,7 @@ def line_rows(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, LINES)
 
 
-POSTED = ("keys", "k", "size", "place", "parity", "id", "null", "line")
+POSTED = ("keys", "k", "size", "place", "parity", "upper", "id", "null", "line")
 POSTINGS = "p int, chunk long, " + ", ".join(f"{c} binary" for c in POSTED)
 
 
@@ -172,7 +170,10 @@ def postings(n: int, cells):
             c = Chunk(left)
             first = np.zeros(len(c.sizes), bool)
             first[np.array(right.column("ks")[0].as_py())] = True
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(c.dictionary) >> np.uint64(58))[c.words], c.starts)
+            bit = (mixed(c.dictionary) >> np.uint64(57))[c.words]
+            flips = np.uint64(1) << (bit & np.uint64(63))
+            parity = np.bitwise_xor.reduceat(flips, c.starts)
+            upper = np.bitwise_xor.reduceat(np.where(bit > 63, flips, np.uint64(0)), c.starts)
             rarity = np.lexsort((c.dictionary, cells.value[cell(c.dictionary)]))
             rank = np.empty(len(rarity), np.int64)
             rank[rarity] = np.arange(len(rarity))
@@ -187,7 +188,7 @@ def postings(n: int, cells):
                 at = at[np.argsort(h[at], kind="stable")]
                 doc = c.doc[k[at]]
                 small = (x.astype(np.int32) for x in (k[at], size[at], place[at]))
-                rows.append((p, c.number, pack_sorted(h[at]), *map(pack, small), pack(parity[k[at]]), pack(ids[doc]), pack(null[doc]), pack(c.line[k[at]].astype(np.int32))))
+                rows.append((p, c.number, pack_sorted(h[at]), *map(pack, small), pack(parity[k[at]]), pack(upper[k[at][size[at] > WIDE]]), pack(ids[doc]), pack(null[doc]), pack(c.line[k[at]].astype(np.int32))))
         return _table(rows, ("p", "chunk", *POSTED), (pa.int32(), pa.int64(), *[pa.binary()] * len(POSTED)))
 
     return run
@@ -200,49 +201,68 @@ PAIRS_OF = "b_chunk long, " + ", ".join(f"{c} binary" for c in PAIRED)
 def candidates(t: pa.Table) -> pa.Table:
     """Pairs of a partition's lines that pass the prefix, length, positional and parity filters, each once a partition.
 
-    ``parity`` flips one of 64 bits a word; lines differ in at least as many words as their parities differ in bits.
+    ``parity`` flips one of 64 bits a word; lines differ in at least as many words as their parities differ in bits. Lines of over
+    ``WIDE`` words have 128: the ``upper`` half and, in ``parity``, both halves folded.
 
-    ``a`` is the earlier line, ``b`` the later one, and ``best`` marks the pair of a ``b`` with the closest parities. Lines of a word are taken in order of size, so the partners of one are a stretch behind it.
+    ``a`` is the earlier line, ``b`` the later one, and ``best`` marks the pair of a ``b`` with the closest parities. Lines of a word are
+    taken in order of size, so the partners of one are a stretch behind it.
     """
-    chunks = t.column("chunk").to_pylist()
     keys = [unpack_sorted(x.as_py()) for x in t.column("keys")]
     k, size, place, ids, null, line = (np.concatenate([unpack(x.as_py()) for x in t.column(c)]).astype(np.int64) for c in ("k", "size", "place", "id", "null", "line"))
-    chunk = np.repeat(np.array(chunks, np.int64), [len(x) for x in keys])
-    parity = np.concatenate([unpack(x.as_py()) for x in t.column("parity")])
+    chunk = np.repeat(t.column("chunk").to_numpy(), [len(x) for x in keys])
+    parity, some = (np.concatenate([unpack(x.as_py()) for x in t.column(c)]) for c in ("parity", "upper"))
+    upper = np.zeros(len(parity), np.uint64)
+    upper[size > WIDE] = some
+    # Lines in their order: number of each, and what is known of it.
+    order = np.lexsort((k, chunk, line, ids, -null))
+    new = np.ones(len(order), bool)
+    new[1:] = (k[order[1:]] != k[order[:-1]]) | (chunk[order[1:]] != chunk[order[:-1]])
+    own, one = np.empty(len(order), np.int64), order[new]
+    own[order] = np.cumsum(new) - 1
+    lines, of, number, wide = len(one), chunk[one], k[one], size[one] > WIDE
+    upper, parity = upper[one], parity[one]
+    lower = parity ^ upper
     _, word = np.unique(np.concatenate(keys), return_inverse=True)
-    order = np.lexsort((k, chunk, size, word))
-    word, size, place, chunk, k, parity, ids, null, line = (x[order] for x in (word, size, place, chunk, k, parity, ids, null, line))
-    rank = np.empty(len(order), np.int64)
-    rank[np.lexsort((k, chunk, line, ids, -null))] = np.arange(len(order))
+    order = np.lexsort((own, size, word))
+    word, size, place, own = word[order], size[order], place[order], own[order]
     # Larger partners: same word, later in the order, size at most size * U / T.
-    wide = int(size.max()) * _U // _T + 2 if len(size) else 1
-    own = word * wide + size
-    until = np.searchsorted(own, word * wide + size * _U // _T, side="right")
+    most = int(size.max()) * _U // _T + 2 if len(size) else 1
+    at = word * most
+    until = np.searchsorted(at + size, at + size * _U // _T, side="right")
     index = place < size - _ceil(size * 2 * _T, _T + _U) + 1  # the smaller line of a pair needs this shorter prefix only
     many = np.where(index, until - np.arange(len(word)) - 1, 0)
     ends = np.cumsum(many)
-    found, start = [], 0
+    left = size - place  # words from this one on
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        full = np.bitwise_count(lower[a] ^ lower[b]) + np.bitwise_count(upper[a] ^ upper[b])
+        return np.where(wide[a] & wide[b], full, np.bitwise_count(parity[a] ^ parity[b]))
+
+    def passed(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+        both = size[small] + size[large]
+        need = _ceil(both * _T, _T + _U)
+        ok = np.flatnonzero(np.minimum(left[small], left[large]) >= need)
+        a, b, most = own[small[ok]], own[large[ok]], (both - 2 * need)[ok]
+        ok = np.bitwise_count(parity[a] ^ parity[b]) <= most
+        a, b, most = a[ok], b[ok], most[ok]
+        ok = apart(a, b) <= most
+        return np.unique(np.maximum(a, b)[ok] * lines + np.minimum(a, b)[ok])
+
+    found, start = [np.empty(0, np.int64)], 0
     while start < len(many):
         stop = max(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")), start + 1)
         m = many[start:stop]
         small = np.repeat(np.arange(start, stop), m)
-        large = small + 1 + np.arange(len(small)) - np.repeat(np.cumsum(m) - m, m)
-        both = size[small] + size[large]
-        need = _ceil(both * _T, _T + _U)
-        reach = 1 + np.minimum(size[small] - place[small] - 1, size[large] - place[large] - 1)
-        ok = np.flatnonzero(reach >= need)
-        apart = np.bitwise_count(parity[small[ok]] ^ parity[large[ok]]).astype(np.int64)
-        close = apart <= both[ok] - 2 * need[ok]
-        ok, apart = ok[close], apart[close]
-        small, large = small[ok], large[ok]
-        swap = rank[small] > rank[large]
-        early, late = np.where(swap, large, small), np.where(swap, small, large)
-        pair = np.stack([chunk[late], k[late], apart, chunk[early], k[early]], axis=1)
-        found.append(np.unique(pair, axis=0) if len(pair) else pair)
+        found.append(passed(small, small + 1 + np.arange(len(small)) - np.repeat(np.cumsum(m) - m, m)))
         start = stop
-    pair = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 5), np.int64)
-    best = ((np.diff(pair[:, 0], prepend=pair[:1, 0] - 1) != 0) | (np.diff(pair[:, 1], prepend=-1) != 0)).astype(np.int8)
-    rows = [(chunk, pack(pair[lo:hi, 1]), pack(pair[lo:hi, 3]), pack(pair[lo:hi, 4]), pack(best[lo:hi])) for chunk, lo, hi in _stretches(pair[:, 0])]
+    pair = np.unique(np.concatenate(found))
+    late, early = pair // max(lines, 1), pair % max(lines, 1)
+    order = np.lexsort((apart(late, early), late))
+    late, early = late[order], early[order]
+    best = (np.diff(late, prepend=-1) != 0).astype(np.int8)
+    order = np.lexsort((early, late, of[late]))
+    late, early, best = late[order], early[order], best[order]
+    rows = [(c, pack(number[late[lo:hi]]), pack(of[early[lo:hi]]), pack(number[early[lo:hi]]), pack(best[lo:hi])) for c, lo, hi in _stretches(of[late])]
     return _table(rows, ("b_chunk", *PAIRED), (pa.int64(), *[pa.binary()] * len(PAIRED)))
 
 
