@@ -59,15 +59,16 @@ def fingerprint(text: str | None, width: int) -> int:
 def with_fingerprint(docs: DataFrame, text_col: str, out: str, width: int = 3, keep_columns: Sequence[str] | None = None) -> DataFrame:
     """``keep_columns`` (all by default) plus ``out``: the fingerprint as a signed long."""
     names = list(docs.columns if keep_columns is None else keep_columns)
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(fresh(docs, "simhash_text")))
-    schema = source.select(*[F.col(f"`{c}`") for c in names]).schema.add(out, "long")
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`"))
+    source = source.toDF(*[f"c{k}" for k in range(len(names) + 1)])  # Arrow functions take no names with dots, nor two of a name
+    schema = source.drop(f"c{len(names)}").schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = np.array([fingerprint(t, width) for t in b.column(len(names)).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(prints)], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(prints)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*names, out)
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -94,10 +95,9 @@ def bucket_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Edges (u, v) whose components are those of "at most 2 bits apart" among the distinct ``fp`` of ``prints`` (node, fp).
+    """Edges (u, v) between fingerprints whose components are those of "at most 2 bits apart" among the distinct ``fp`` of ``prints``.
 
-    Direct pairs carry both nodes; in large buckets members point to shared neighbours, which are folded to the least
-    member node, so every edge joins two real nodes.
+    In large buckets members point to shared neighbours, which are folded to the least member, so every edge joins two that occur.
     """
     masks = F.array(*[F.struct(F.lit(k).alias("which"), F.lit(m).alias("mask")) for k, m in enumerate(bucket_masks())])
     keyed = pivot_table(prints).withColumn("b", F.explode(masks))
@@ -110,24 +110,26 @@ def links(prints: DataFrame) -> DataFrame:
     near = F.greatest(*[F.abs(F.col(f"a.p{k}") - F.col(f"b.p{k}")) for k in range(PIVOTS)]) <= RADIUS
     same = (F.col("a.which") == F.col("b.which")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
     pairs = a.join(b, same & near & (_distance(F.col("a.fp"), F.col("b.fp")) <= RADIUS))
-    direct = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    direct = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k).cast("long") for k in range(64)])
-    star = large.select("node", "fp").distinct().withColumn("near", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))))
-    hub = star.groupBy("near").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").drop("top")
-    shared = star.join(hub, "near").filter("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    star = large.select("fp").distinct().withColumn("near", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))))
+    hub = star.groupBy("near").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).filter("hub < top").drop("top")
+    shared = star.join(hub, "near").filter("fp > hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
     return direct.union(shared)
 
 
 def with_component(prints: DataFrame, id_col: str, fp_col: str, out: str) -> DataFrame:
     """``prints`` (a row per document) plus ``out``: the least id reachable over links of at most 2 bits.
 
-    Documents with equal fingerprints are one node named by the least id; a null id cannot name a component and counts
-    only as a member (a class of null ids alone has a null component). Repeated ids share what their fingerprints get.
+    The graph's nodes are the fingerprints that occur, whatever ids they have. A null id cannot name a component and counts
+    only as a member, through which others are linked; a component of null ids alone is named null. Repeated ids share what their
+    fingerprints get; an empty table stays empty.
     """
-    classes = prints.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least")).withColumn("node", F.coalesce("least", F.col("fp")))
-    nodes = Stored(classes, "simhash-nodes")
-    found = components(links(nodes.df.select("node", "fp")))
+    nodes = Stored(prints.groupBy(F.col(f"`{fp_col}`").alias("fp")).agg(F.min(f"`{id_col}`").alias("least")), "simhash-nodes").df
+    found = components(links(nodes.select("fp"))).df.withColumnRenamed("node", "fp")
+    labelled = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
     key = fresh(prints, "simhash_fp")
-    named = nodes.df.join(found.df, "node", "left").select(F.col("fp").alias(key), F.coalesce("component", F.col("least")).alias(out))
-    return prints.join(named, F.col(fp_col) == F.col(key), "left").drop(key)
+    least = Stored(labelled.groupBy("label").agg(F.min("least").alias("name")), "simhash-names").df
+    named = labelled.join(least, "label").select(F.col("fp").alias(key), F.col("name").alias(out))
+    return prints.join(named, F.col(f"`{fp_col}`") == F.col(key), "left").drop(key)

@@ -7,6 +7,7 @@ recomputation of what came before it.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,20 +21,40 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 _own: list[str] = []
-_live: dict[str, "Stored"] = {}
+_scopes: list["Scope"] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset (local tests)."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own if driver and executors are one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="lodestone-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return "file://" + _own[0]
 
 
+class Scope:
+    """Owns the tables stored within a ``with`` block, until it is dropped."""
+
+    def __init__(self):
+        self.tables: list[Stored] = []
+
+    def __enter__(self) -> Scope:
+        _scopes.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scopes.remove(self)
+
+    def drop(self) -> None:
+        while self.tables:
+            self.tables.pop().drop()
+
+
 class Stored:
     """A DataFrame written to the shared folder; ``df`` reads it back.
 
@@ -53,29 +74,19 @@ class Stored:
             self.df = self.spark.read.schema(df.schema).parquet(self.path)
         where, fs = self._fs()
         fs.deleteOnExit(where)
-        _live[self.path] = self
+        if _scopes:
+            _scopes[-1].tables.append(self)
 
     def _fs(self):
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(self.path)
         return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def keep(self) -> None:
-        """Out of reach of :func:`sweep`."""
-        _live.pop(self.path, None)
-
     def drop(self) -> None:
         if self.table:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         where, fs = self._fs()
         fs.delete(where, True)
-        _live.pop(self.path, None)
-
-
-def sweep() -> None:
-    """Drops every table stored so far. For a stage that starts once all results of the one before are written."""
-    for stored in list(_live.values()):
-        stored.drop()
 
 
 def fresh(df: DataFrame, name: str) -> str:

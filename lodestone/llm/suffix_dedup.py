@@ -33,7 +33,7 @@ from lodestone.llm.store import Stored, tasks
 
 LENGTH, GRAM = 200, 100
 #: Bytes of pieces a shard should hold, and different pieces of one mark that a shard takes.
-SHARD_BYTES, SPLIT = 4 << 20, 8192
+SHARD_BYTES, SPLIT = 4 << 20, 512
 #: Pieces from which a batch goes out.
 STEP = 1 << 12
 #: Bytes of texts whose marks are found at once.

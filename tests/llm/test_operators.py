@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, induced, katz, line_dedup, mixing, near_copies, quality_rules, simhash, suffix_dedup, token_counts, url_filters, warc
+from lodestone.llm.store import Scope, Stored
 
 WORDS = "the of and to in a is that it was for on are with as his they at be this from have or by one had not but what all were when we there can an your which their said if".split()
 EXTRA = "size string, copies int, line_row int, quality_votes int"
@@ -112,7 +113,7 @@ def test_repeated_bytes(docs, texts):
     assert suffix_dedup.removals(empty(docs)).count() == 0
 
 
-@pytest.mark.parametrize("split", [8192, 3])
+@pytest.mark.parametrize("split", [512, 3])
 def test_repeated_bytes_around_a_common_passage(spark, monkeypatch, split):
     """Passages of many lengths in many texts, with all sorts of surroundings; with few pieces a mark stretches are dealt by content."""
     monkeypatch.setattr(suffix_dedup, "SPLIT", split)
@@ -227,6 +228,32 @@ def test_simhash(spark, docs, texts):
     assert got == {k: find(k) for k in range(len(prints))}
 
 
+def test_simhash_with_null_ids(spark):
+    """Rows without an id link others and name nothing; the fingerprint zero, that of texts without words, is linked like any other."""
+    rows = [(5, 0b1111 << 40), (None, 0b1100 << 40), (None, 0b1100 << 40 | 0b1), (7, 0b111 | 0b1100 << 40), (0, 0b11111 << 50), (None, 0), (9, 0b11), (None, -1), (3, 0b11111 << 50)]
+    df = spark.createDataFrame(rows, "doc_id long, fp long")
+    got = Counter((r["doc_id"], r["fp"], r["c"]) for r in simhash.with_component(df, "doc_id", "fp", "c").collect())
+    names = [5, 5, 5, 5, 0, 5, 5, None, 0]
+    assert got == Counter((i, f, c) for (i, f), c in zip(rows, names, strict=True))
+
+
+def test_dotted_column_names(spark, docs):
+    dotted = docs.withColumn("a.b", F.col("doc_id"))
+    for out in (near_copies.drop_copies(dotted), simhash.with_fingerprint(dotted, "text", "f.p").drop("f.p")):
+        assert out.columns == dotted.columns and out.count() > 0
+
+
+def test_shared_folder_and_scopes(spark):
+    with Scope() as one:
+        kept = Stored(spark.range(3), "kept")
+    with Scope() as two:
+        gone = Stored(spark.range(3), "gone")
+    two.drop()
+    assert kept.df.count() == 3 and one.tables == [kept]
+    with pytest.raises(Exception, match="(?i)not.exist|FILE_NOT_EXIST"):
+        gone.df.count()
+
+
 def test_near_copies(spark, docs):
     rnd = random.Random(8)
     rows = []
@@ -348,7 +375,7 @@ def test_url_filters(spark):
 
 def test_line_dedup(docs, texts):
     lines = [(k, i, frozenset(x.split())) for k, t in enumerate(texts) for i, x in enumerate((t or "").encode().split(b"\n"))]
-    lines = [x for x in lines if len(x[2]) >= line_dedup.MIN_WORDS]
+    lines = [x for x in lines if x[2]]
     want = {(k, i) for n, (k, i, w) in enumerate(lines) if any(5 * len(w & v) >= 4 * len(w | v) for _, _, v in lines[:n])}
     got = line_dedup.removed_lines(docs).collect()
     assert {(r["doc_id"], i) for r in got for i in r["removed"]} == want and want and len(got) == docs.count()
@@ -358,6 +385,23 @@ def test_line_dedup(docs, texts):
     assert left[0] == texts[0] and left[43] is None
 
 
+def test_line_dedup_of_long_lines(spark):
+    """Lines around the sizes where a parity takes 64 or 128 bits, and far beyond, at similarities around the threshold."""
+    rnd, rows = random.Random(15), []
+    for n in (30, 62, 66, 75, 110, 200, 450):
+        for _ in range(4):
+            base = [f"w{rnd.randrange(10**5)}" for _ in range(n)]
+            rows.append(" ".join(base))
+            for share in (0.02, 0.08, 0.1, 0.12, 0.2):
+                w = [x if rnd.random() > share else f"v{rnd.randrange(10**5)}" for x in base]
+                rows.append(" ".join(rnd.sample(w, len(w))))
+    rnd.shuffle(rows)
+    sets = [set(x.split()) for x in rows]
+    want = {n for n, w in enumerate(sets) if any(5 * len(w & v) >= 4 * len(w | v) for v in sets[:n])}
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.removed_lines(df).collect() if r["n_removed"]} == want and len(want) > 50
+
+
 def test_line_dedup_of_short_lines(spark):
     texts = ["All rights reserved.\none two three four\none", "All rights reserved.\nfour three two one", "one\nTwo", "a b a b c d c d a b", "d c b a", "one two three four five", "one two three", "one two\n \n", None, "two one"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
