@@ -140,6 +140,7 @@ def blocks(rows: list[tuple]) -> pa.Table:
 
 def by_part(parts: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, positions in their order) for every part that occurs."""
+    parts = parts.astype(np.uint16) if n <= 1 << 16 else parts  # small numbers are sorted by radix
     order = np.argsort(parts, kind="stable")
     cuts = np.searchsorted(parts[order], np.arange(n + 1))
     for p in range(n):

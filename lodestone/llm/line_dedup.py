@@ -17,9 +17,7 @@ closest candidate first, and only lines that this leaves are held against their
 from __future__ import annotations
 
 from array import array
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -56,18 +54,15 @@ def encode(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         fields = [("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("n_lines", "doc", "line", "sizes", "words", "dictionary")]]
 
         def start():
-            return [], [], array("i"), array("i"), array("i"), array("i"), defaultdict(count().__next__)
+            return [], [], array("i"), array("i"), array("i"), array("Q")
 
-        ids, n_lines, doc, line, sizes, words, known = start()
+        ids, n_lines, doc, line, sizes, words = start()
 
         def flush():
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
-            order = np.argsort(hashes)
-            place = np.empty(len(order), np.int32)
-            place[order] = np.arange(len(order), dtype=np.int32)
+            dictionary, place = np.unique(np.frombuffer(words, np.uint64), return_inverse=True)
             row = {"n_lines": n_lines, "doc": doc, "line": line, "sizes": sizes}
             packed = {k: [pack(np.array(v, np.int32))] for k, v in row.items()}
-            return _batch({"chunk": [(part << 32) | serial], "ids": [ids], **packed, "words": [pack(place[np.array(words, np.int32)])], "dictionary": [pack_sorted(hashes[order])]}, fields)
+            return _batch({"chunk": [(part << 32) | serial], "ids": [ids], **packed, "words": [pack(place.astype(np.int32))], "dictionary": [pack_sorted(dictionary)]}, fields)
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -78,13 +73,13 @@ def encode(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         doc.append(len(ids))
                         line.append(k)
                         sizes.append(len(w))
-                        words.extend(map(known.__getitem__, w))
+                        words.extend(map(xxhash.xxh64_intdigest, w))
                 ids.append(i)
                 n_lines.append(some)
                 if len(words) >= CHUNK_WORDS:
                     yield flush()
                     serial += 1
-                    ids, n_lines, doc, line, sizes, words, known = start()
+                    ids, n_lines, doc, line, sizes, words = start()
         if ids:
             yield flush()
 
@@ -174,11 +169,11 @@ def postings(n: int, cells):
             flips = np.uint64(1) << (bit & np.uint64(63))
             parity = np.bitwise_xor.reduceat(flips, c.starts)
             upper = np.bitwise_xor.reduceat(np.where(bit > 63, flips, np.uint64(0)), c.starts)
-            rarity = np.lexsort((c.dictionary, cells.value[cell(c.dictionary)]))
+            rarity = np.argsort(cells.value[cell(c.dictionary)] * len(c.dictionary) + np.arange(len(c.dictionary)))  # the dictionary is in order
             rank = np.empty(len(rarity), np.int64)
             rank[rarity] = np.arange(len(rarity))
             owner = np.repeat(np.arange(len(c.sizes)), c.sizes)
-            order = np.argsort(owner * max(len(rank), 1) + rank[c.words], kind="stable")
+            order = np.argsort(owner * max(len(rank), 1) + rank[c.words])
             words, place = c.words[order], np.arange(len(order)) - c.starts[owner]
             size = c.sizes[owner].astype(np.int64)
             take = first[owner] & (size >= JOINED) & (place < size - _ceil(size * _T, _U) + 1)
