@@ -1,9 +1,10 @@
 """Quality rules under weak supervision.
 
 Each rule votes good, bad or abstains. The corpus is reduced to a contingency table of vote patterns (at most 3 to the
-number of rules, whatever the corpus size), expectation-maximisation on that table estimates how each rule votes on good
-and on bad documents, and the posterior probability of "good" replaces all-must-pass filtering. Everything that touches
-documents is a DataFrame expression.
+number of rules, whatever the corpus size), expectation-maximisation on that table estimates how often each rule votes how on
+good and on bad documents, and the posterior probability of "good" replaces all-must-pass filtering: a rule that the others
+bear out counts much, one that they do not counts little, and a lone flag may be outvoted. Everything that touches documents is a
+DataFrame expression.
 """
 
 from __future__ import annotations
@@ -14,27 +15,32 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import BLANKS, GAP, fresh
+from lodestone.llm.store import BLANKS, GAP, Stored, fresh
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
-#: The share of good documents that a rule may flag at most.
-FALSE_ALARMS = 0.005
-#: The share of the documents with its fault that a rule flags at least; it keeps each class to its fault.
-DETECTION = 0.9
+#: What the model believes before it sees votes, as if it had seen documents to this share of the corpus: it tells the classes apart,
+#: and keeps a corpus without faults from being split by whatever else its votes agree on.
+PRIOR = 0.01
+GOOD_SHARE = 0.9
+#: Probabilities of the votes bad, abstain and good of any rule, on bad and on good documents.
+BELIEFS = ((0.4, 0.1, 0.5), (0.02, 0.05, 0.93))
 
 #: name, condition for "bad", condition for "good"; else the rule abstains. Columns are those of :func:`features`.
 RULES: list[tuple[str, str, str]] = [
     ("symbols", "n_symbols * 10 > n_words", "n_symbols * 50 <= n_words"),
+    ("symbol_chars", "n_symbols * 40 > word_chars", "n_symbols * 400 <= word_chars"),
     ("repeats", "n_repeat_words * 10 > n_words * 3", "n_repeat_words * 100 <= n_words"),
     ("dup_lines", "n_dup_lines * 2 > n_lines", "n_dup_lines * 50 <= n_lines"),
     ("capitals", "n_upper * 2 > n_letters", "n_upper * 5 <= n_letters"),
     ("exclaims", "n_exclaims * 5 > n_words", "n_exclaims * 50 <= n_words"),
-    ("variety", "n_distinct * 5 < n_words AND n_words < 5000", "n_distinct * 5 >= n_words * 2"),
+    # Different words grow with the square root of a text's words or faster, so the bound does too.
+    ("variety", "n_distinct * 5 < n_words * 2 AND n_distinct * n_distinct < n_words * 9", "n_distinct * 5 >= n_words * 2 OR n_distinct * n_distinct >= n_words * 25"),
     ("word_length", "word_chars < n_words * 3 OR word_chars > n_words * 12", "word_chars >= n_words * 4 AND word_chars <= n_words * 9"),
-    ("sentences", "n_stops * 200 < n_words", "n_stops * 60 >= n_words"),
+    ("sentences", "n_stops * 100 < n_words", "n_stops * 30 >= n_words"),
+    ("stops", "n_stops * 8 > n_words * 3", "n_stops * 4 <= n_words"),
     ("length", "n_words < 20", "n_words >= 50"),
 ]
 
@@ -54,7 +60,7 @@ def features(docs: DataFrame, text_col: str, at: str) -> DataFrame:
     Null and empty texts count 0 throughout. The repeated-window count hashes every 8-word window to 64 bits, stops
     there when all hashes differ, and otherwise sorts (hash, position) within the row: n log n, however repetitive.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     t, words, keys, ordered, places = (fresh(docs, f"{at}_{x}") for x in ("t", "words", "keys", "ordered", "places"))
     df = docs.withColumn(t, text).withColumn(words, F.array_remove(F.split(F.col(t), GAP), ""))
     n = F.size(words)
@@ -108,79 +114,62 @@ def _vote(at: str, bad: str, good: str) -> Column:
     return F.when(qualify(bad), BAD).when(qualify(good), GOOD).otherwise(ABSTAIN)
 
 
+def votes_of(pattern: int) -> list[int]:
+    return [pattern // 3**k % 3 for k in range(len(RULES))]
+
+
 @dataclass
 class LabelModel:
-    """Latent classes: 0 is good, k + 1 is "has the fault rule k looks for".
-
-    ``prior[class]``; ``table[rule][class][vote]``: probability of the vote given the class.
-    """
+    """``good``: share of good documents. ``table[rule][class][vote]``: probability of the vote on bad (0) and good (1) documents."""
 
-    prior: list[float]
+    good: float
     table: list[list[list[float]]]
     rounds: int
 
-    def accuracies(self) -> dict[str, float]:
-        """Of each rule, how often its vote is right when it votes."""
+    def accuracies(self) -> dict[str, tuple[float, float]]:
+        """Of each rule, how often its bad votes and its good votes are right."""
         out = {}
-        for (name, _, _), rule in zip(RULES, self.table, strict=True):
-            right = self.prior[0] * rule[0][GOOD] + sum(p * row[BAD] for p, row in zip(self.prior[1:], rule[1:], strict=True))
-            wrong = self.prior[0] * rule[0][BAD] + sum(p * row[GOOD] for p, row in zip(self.prior[1:], rule[1:], strict=True))
-            out[name] = right / (right + wrong) if right + wrong else 0.5
+        for (name, _, _), (bad, good) in zip(RULES, self.table, strict=True):
+            flags, passes = ([(1 - self.good) * bad[v], self.good * good[v]] for v in (BAD, GOOD))
+            out[name] = flags[0] / sum(flags), passes[1] / sum(passes)
+        return out
+
+    def log_odds(self, pattern: int) -> float:
+        """Of "good" against "bad"."""
+        out = math.log(self.good) - math.log(1 - self.good)
+        for (bad, good), v in zip(self.table, votes_of(pattern), strict=True):
+            out += math.log(good[v]) - math.log(bad[v])
         return out
 
     def posterior(self, pattern: int) -> float:
         """Probability of "good" for a vote pattern."""
-        odds = 0.0
-        for c in range(1, len(self.prior)):
-            score = math.log(self.prior[c]) - math.log(self.prior[0])
-            for k, rule in enumerate(self.table):
-                v = pattern // 3**k % 3
-                score += math.log(rule[c][v]) - math.log(rule[0][v])
-            odds += math.exp(score)
-        return 1 / (1 + odds)
-
-
-def expectation_maximisation(counts: dict[int, int], rounds: int = 100, tolerance: float = 1e-9) -> LabelModel:
-    """Fit on pattern -> documents.
-
-    Faults are of different kinds and a document with one passes most other rules, so one class of bad documents would
-    only learn the commonest fault; each rule gets a class of its own, started at "this rule flags, the others mostly
-    do not". Abstaining is as likely in every class and so says nothing. A smoothing count of 1 keeps every probability inside (0, 1). Good documents are flagged by a rule at a rate of
-    ``FALSE_ALARMS`` or less, else the rate of a rule that is alone in flagging would be learnt away. An empty table
-    leaves the start values.
+        return 1 / (1 + math.exp(min(-self.log_odds(pattern), 700)))
+
+
+def expectation_maximisation(counts: dict[int, int], rounds: int = 200, tolerance: float = 1e-10) -> LabelModel:
+    """Fit on pattern -> documents: two classes, every probability free. What a rule's votes, abstentions included, say about a document
+    comes out of its agreement with the other rules. Starts from ``BELIEFS``, which stay as ``PRIOR`` of the weight; an empty table leaves them.
     """
-    m = len(RULES)
-    prior = [0.8] + [0.2 / m] * m
-    other = [0.1, 0.1, 0.8]
-    table = [[[0.005, 0.1, 0.895]] + [[0.8, 0.1, 0.1] if c == k else list(other) for c in range(m)] for k in range(m)]
-    rows = [([c // 3**k % 3 for k in range(m)], n) for c, n in sorted(counts.items())]
-    total = sum(n for _, n in rows)
-    last, r = None, 0
+    total = sum(counts.values())
+    weight = 1 + PRIOR * total
+    rows = [(pattern, votes_of(pattern), n) for pattern, n in sorted(counts.items())]
+    model, last = LabelModel(GOOD_SHARE, [[list(b) for b in BELIEFS] for _ in RULES], 0), None
     for r in range(1, rounds + 1 if total else 1):
-        soft = [[[1.0] * 3 for _ in range(m + 1)] for _ in range(m)]
-        mass, likelihood = [1.0] * (m + 1), 0.0
-        for votes, n in rows:
-            logs = [math.log(p) + sum(math.log(table[k][c][v]) for k, v in enumerate(votes)) for c, p in enumerate(prior)]
-            top = max(logs)
-            each = [math.exp(x - top) for x in logs]
-            whole = sum(each)
-            likelihood += n * (top + math.log(whole))
-            for c, x in enumerate(each):
-                w = n * x / whole
+        mass = [weight * (1 - GOOD_SHARE), weight * GOOD_SHARE]
+        soft = [[[weight * x for x in b] for b in BELIEFS] for _ in RULES]
+        moved = 0.0
+        for pattern, votes, n in rows:
+            p = model.posterior(pattern)
+            moved += n * p
+            for c, w in ((0, n * (1 - p)), (1, n * p)):
                 mass[c] += w
-                for k, v in enumerate(votes):
-                    soft[k][c][v] += w
-        prior = [x / (total + m + 1) for x in mass]
-        for k, rule in enumerate(soft):
-            silent = sum(row[ABSTAIN] for row in rule) / sum(map(sum, rule))
-            for c, row in enumerate(rule):
-                flags = row[BAD] / (row[BAD] + row[GOOD])
-                flags = min(flags, FALSE_ALARMS) if c == 0 else max(flags, DETECTION) if c == k + 1 else flags
-                table[k][c] = [(1 - silent) * flags, silent, (1 - silent) * (1 - flags)]
-        if last is not None and abs(likelihood - last) <= tolerance * abs(last):
+                for rule, v in zip(soft, votes, strict=True):
+                    rule[c][v] += w
+        model = LabelModel(mass[1] / sum(mass), [[[x / sum(b) for x in b] for b in rule] for rule in soft], r)
+        if last is not None and abs(moved - last) <= tolerance * total:
             break
-        last = likelihood
-    return LabelModel(prior, table, r)
+        last = moved
+    return model
 
 
 def pattern_posteriors(patterns: DataFrame, pattern_col: str) -> DataFrame:
@@ -199,16 +188,11 @@ def keep(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5) ->
     """The rows of ``docs`` that pass the base checks and whose posterior of "good" is at least ``threshold``.
 
     Columns and rows come back unchanged; null, empty and very short texts fail the base check; equal rows fare alike;
-    an empty table stays empty. The corpus is read twice: once for the vote patterns, once to filter.
+    an empty table stays empty. Features are computed once a row and the rows stored with their votes: those are counted first, then
+    the rows are filtered.
     """
-    at, code = fresh(docs, "quality_features"), fresh(docs, "quality_votes")
-    pattern = fresh(docs, "quality_pattern")
-    alone = features(docs.select(text_col), text_col, at).select(vote_pattern(at).alias(code))
-    good = pattern_posteriors(alone, code).filter(F.col("p_good") >= threshold).select(F.col("pattern").alias(pattern))
-    # A predicate pushed below the features would spell them out again, lambdas within lambdas. It does not pass a
-    # projection with a column that depends on the task, so one is kept in the way and used.
-    task = fresh(docs, "quality_task")
-    code_or_none = F.when(base_failed(at), F.lit(-1)).otherwise(vote_pattern(at))
-    voted = features(docs, text_col, at).select(*[F.col(f"`{c}`") for c in docs.columns], code_or_none.alias(code), F.spark_partition_id().alias(task))
-    kept = voted.filter(F.col(task) >= 0).join(F.broadcast(good), F.col(code) == F.col(pattern), "left_semi")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    at, code, failed, pattern = (fresh(docs, f"quality_{x}") for x in ("features", "votes", "failed", "pattern"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    held = Stored(features(docs, text_col, at).select(*own, vote_pattern(at).alias(code), base_failed(at).alias(failed)), "quality-rows").df
+    good = pattern_posteriors(held, code).filter(F.col("p_good") >= threshold).select(F.col("pattern").alias(pattern))
+    return held.filter(~F.col(failed)).join(F.broadcast(good), F.col(code) == F.col(pattern), "left_semi").select(*own)
