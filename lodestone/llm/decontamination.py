@@ -8,7 +8,8 @@ counts as leaked if enough 5-word shingles of its question part and of its answe
 of the whole item's do, or all its words but for one place (an answer may be a word or two long, and one changed or glued word
 must not clear a passage that holds the rest). Words are compared without punctuation at their ends.
 
-Items are indexed in blocks of bounded bytes, one pass over the texts a block, so the benchmark may have any size.
+Items are indexed in blocks of bounded bytes, one pass over the texts a block, so the benchmark may have any size. What BM25 needs of
+all items (how many hold a word, how long they are on average) is counted over all of them first, so scores do not depend on the blocks.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import fresh
+from lodestone.llm.store import Stored
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which it is retrieved; share of shingles that must occur in the passage.
@@ -75,17 +76,18 @@ def parts(w: list[bytes]) -> tuple[list[bytes], list[bytes]]:
 
 
 class Index:
-    """``items``: (id, text). Items without a word cannot leak and are left out."""
+    """``items``: (id, text), of a block. Items without a word cannot leak and are left out. ``of_all``: number of items with a word in
+    all blocks, their words, and how many hold each of this block's words; without it the block is all there is."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, of_all: tuple[int, int, dict[bytes, int]] | None = None):
         self.threshold = threshold
         raw_items = [(i, w) for i, t in items if (w := words(t))]
         self.items = [(i, bare(w)) for i, w in raw_items]
         n = len(self.items)
         tf = [Counter(w) for _, w in self.items]
-        df = Counter(t for c in tf for t in c)
-        mean = sum(len(w) for _, w in self.items) / max(n, 1)
-        idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+        count, total, df = of_all or (n, sum(len(w) for _, w in self.items), Counter(t for c in tf for t in c))
+        mean = total / max(count, 1)
+        idf = {t: math.log(1 + (count - d + 0.5) / (d + 0.5)) for t, d in df.items()}
         self.terms = {t: k for k, t in enumerate(sorted(df))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         rare: list[list[tuple[int, float]]] = [[] for _ in self.terms]
@@ -231,31 +233,63 @@ def holds(passage: list[bytes], item: list[bytes]) -> bool:
     return False
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ``INDEX_BYTES``, dealt by hash of the text; equal items count once."""
-    one = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).dropna().distinct()
+Block = tuple[list[tuple[int, str]], tuple[int, int, dict[bytes, int]] | None]
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """``items`` (i, t) -> (term, holders, words): a row per different word of an item, and one without a term per item with a word, with its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms: list[bytes | None] = []
+            lengths: list[int] = []
+            for t in b.column(1).to_pylist():
+                if w := words(t):
+                    different = set(bare(w))
+                    terms += [None, *different]
+                    lengths += [len(w)] + [0] * len(different)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(lengths, pa.int64())], names=["term", "words"])
+
+    rows = items.mapInArrow(run, "term binary, words long")
+    return rows.groupBy("term").agg(F.count("*").alias("holders"), F.sum("words").alias("words"))
+
+
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
+    """The items in blocks of about ``INDEX_BYTES``, dealt by hash of the text, each with what :class:`Index` needs of all; equal items
+    count once. The driver holds a block and the counts of the block's words, no more."""
+    one = items.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t")).dropna().distinct()
     size = one.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // INDEX_BYTES)
+    if n == 1:
+        yield sorted((r[0], r[1]) for r in one.collect()), None
+        return
+    if n:
+        counts = Stored(item_words(one), "leak-terms").df
+        whole = counts.filter("term IS NULL").select("holders", "words").first() or (0, 0)
     for k in range(n):
-        block = one.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k) if n > 1 else one
-        yield sorted((r[0], r[1]) for r in block.collect())
+        block = one.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
+        own = counts.join(item_words(block).select("term"), "term", "left_semi").select("term", "holders")
+        yield sorted((r[0], r[1]) for r in block.collect()), (whole[0], whole[1], {bytes(r[0]): r[1] for r in own.collect()})
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, item_id, score, question_overlap, answer_overlap, first_word``: one row per row of ``docs`` and item leaked.
+    """``id_col, item_id, score, question_overlap, answer_overlap, first_word``: one row per row of ``docs`` and item leaked.
 
     Null and empty texts leak nothing, nor do null or empty items; repeated rows are reported each; no items or no
-    documents give no rows. Other columns are not read.
+    documents give no rows. Other columns are not read; ``id_col`` must not have the name of another column of the result.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    schema = source.select(id_col).schema.add("item_id", "long").add("score", "double").add("question_overlap", "double").add("answer_overlap", "double").add("first_word", "long")
+    names = [id_col, "item_id", "score", "question_overlap", "answer_overlap", "first_word"]
+    if id_col.lower() in names[1:]:
+        raise ValueError(f"id_col {id_col} is a column of the result; rename it")
+    source = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    schema = source.select("doc").schema.add("item_id", "long").add("score", "double").add("question_overlap", "double").add("answer_overlap", "double").add("first_word", "long")
     found = None
     for block in item_blocks(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            index = Index(shared.value[0], of_all=shared.value[1])
             for b in batches:
                 for k in range(0, b.num_rows, 256):
                     part = b.slice(k, 256)
@@ -267,27 +301,26 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
 
         part = source.mapInArrow(run, schema)
         found = part if found is None else found.union(part)
-    return found if found is not None else spark.createDataFrame([], schema)
+    return (found if found is not None else spark.createDataFrame([], schema)).toDF(*names)
 
 
 def drop_leaked(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item leaked, columns unchanged. Filters in one pass a block; see
     :func:`leaked_passages` for nulls, empty texts and empty tables."""
-    spark = docs.sparkSession
-    names = docs.columns
-    held = fresh(docs, "leak_text")
+    spark, names = docs.sparkSession, docs.columns
+    place = names.index(text_col)
+    kept = docs.toDF(*[f"c{k}" for k in range(len(names))])  # Arrow functions take no names with dots
+    schema = kept.schema
     for block in item_blocks(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(block)
-        schema = docs.schema
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            index = Index(shared.value[0], of_all=shared.value[1])
             for b in batches:
                 for k in range(0, b.num_rows, 256):
                     part = b.slice(k, 256)
-                    bad = {r[0] for r in index.leaks(part.column(len(names)).to_pylist())}
-                    keep = pa.array([x not in bad for x in range(part.num_rows)])
-                    yield pa.RecordBatch.from_arrays(part.columns[: len(names)], names=names).filter(keep)
+                    bad = {r[0] for r in index.leaks(part.column(place).to_pylist())}
+                    yield part.filter(pa.array([x not in bad for x in range(part.num_rows)]))
 
-        docs = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(held)).mapInArrow(run, schema)
-    return docs
+        kept = kept.mapInArrow(run, schema)
+    return kept.toDF(*names)
