@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import BLANKS, GAP, WORD, fresh
+from lodestone.llm.store import BLANKS, WORD, Stored, fresh
 
 #: More sources than this are joined by shuffle instead of broadcast (a row is a name and four numbers).
 BROADCAST_SOURCES = 20_000
@@ -80,18 +80,22 @@ def mix(
     """``docs`` plus the four columns ``out``: words, its source's words, its source's target, times to emit.
 
     Null text has size 0; null is a source of its own, ranked last; rows with equal ids draw alike; an empty table
-    gives an empty result. Columns are added under names that ``docs`` must not have; :func:`plan_names` finds free ones.
+    gives an empty result. Columns are added under names that ``docs`` must not have (an error); :func:`plan_names` finds free ones.
     """
+    if taken := {c.lower() for c in docs.columns} & {c.lower() for c in out}:
+        raise ValueError(f"docs has {', '.join(sorted(taken))} already; plan_names() finds free names")
     size, source_size, target, n = out
-    sized = docs.withColumn(size, word_count(F.col(text_col)))
-    per = source_targets(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), weights, budget, max_repeat)
+    text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
+    sized = docs.withColumn(size, word_count(text))
+    per = source_targets(docs.select(source.alias("source"), word_count(text).alias("size")), weights, budget, max_repeat)
     key = fresh(docs, "mix_source_key")
     per = per.select(F.col("source").alias(key), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    per = Stored(per, "mix-sources").df
     if per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
-    joined = sized.join(per, F.col(source_col).eqNullSafe(F.col(key)), "left").drop(key)
+    joined = sized.join(per, source.eqNullSafe(F.col(key)), "left").drop(key)
     rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(1.0))
-    return joined.withColumn(n, copies(F.col(id_col), rate, seed).cast("int"))
+    return joined.withColumn(n, copies(F.col(f"`{id_col}`"), rate, seed).cast("int"))
 
 
 def plan_names(docs: DataFrame) -> list[str]:

@@ -247,16 +247,8 @@ class Counter:
             return ChunkMap(a.head, a.count + self.plain(right.head) + right.count, right.tail)
         return ChunkMap(a.head, a.count + self.plain(a.tail + b.head) + b.count, b.tail)
 
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """Inclusive prefix scan in a logarithmic number of rounds."""
-        step = 1
-        while step < len(maps):
-            maps = [self.compose(maps[k - step], m) if k >= step else m for k, m in enumerate(maps)]
-            step *= 2
-        return maps
-
     def reduce(self, maps: list[ChunkMap]) -> ChunkMap:
-        """The last element of the scan, by a balanced tree."""
+        """All maps composed: the last element of their prefix scan, which is all that counting needs, by the scan's up-sweep."""
         while len(maps) > 1:
             pairs = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)]
             maps = pairs + maps[2 * len(pairs) :]
@@ -296,8 +288,11 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    source = docs.select(F.col(id_col), F.col(text_col).alias("text" if id_col != "text" else "text_"))
-    schema = source.select(id_col).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    names = ["n_bytes", "n_tokens", "over_limit"]
+    if id_col.lower() in names:
+        raise ValueError(f"id_col {id_col} is a column of the result; rename it")
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    schema = source.select("id").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(spec.value)
@@ -305,6 +300,6 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
             texts = b.column(1).to_pylist()
             n_bytes = np.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], np.int64)
             n = np.array([count.tokens(t) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes), pa.array(n), pa.array(n > limit)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(id_col, *names)

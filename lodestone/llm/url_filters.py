@@ -1,7 +1,8 @@
 """URL filters: explicit host/path rules first, gradient-boosted trees on lexical features for the rest.
 
 Features are DataFrame expressions over the url alone; the trees are Spark ML's (JVM), trained on a bounded sample of
-labelled urls; suffix statistics come from that sample too, so the table that is broadcast has at most ``MAX_TRAIN`` rows.
+labelled urls. Suffix statistics are counted over all labelled urls and joined, by broadcast or shuffle as their size allows; a training
+url does not count towards the rate it is fitted with.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import fresh
+from lodestone.llm.store import Stored, fresh
 
 #: Training rows at most, chosen by hash of the url.
 MAX_TRAIN = 15_000
@@ -104,33 +105,36 @@ class UrlModel:
         """Rows with a null url or label are left out; a url with several labels counts once with their mean, rounded
         up; with fewer than two classes the verdict is constant (none: allow)."""
         one = (
-            labelled.select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label"))
+            labelled.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{label_col}`").cast("double").alias("label"))
             .dropna()
             .groupBy("url")
             .agg(F.ceil(F.avg("label")).cast("double").alias("label"))
         )
-        train = one.orderBy(F.xxhash64("url"), "url").limit(MAX_TRAIN)
-        train = train.coalesce(1).cache()
+        one = Stored(one.withColumn("suffix", suffix(host(F.col("url")))), "url-labels").df
+        n = {float(r[0]): r[1] for r in one.groupBy("label").count().collect()}
+        if len(n) < 2:
+            return cls(None, None, next(iter(n), 0.0))
+        rate = n[1.0] / sum(n.values())
+        stats = one.groupBy("suffix").agg(F.count("*").cast("double").alias("suffix_rows"), F.sum("label").alias("suffix_blocks"))
+        self = cls(None, Stored(stats, "url-suffixes").df, rate)
+        sample = lexical(one.orderBy(F.xxhash64("url"), "url").limit(MAX_TRAIN).drop("suffix"), "url", "")
+        train = self._vectors(sample, "", own=F.col("label")).select("url", "features", "label")
+        train = train.coalesce(1).sortWithinPartitions("url").cache()  # one order, so reruns agree
         try:
-            n = {float(r[0]): r[1] for r in train.groupBy("label").count().collect()}
-            if len(n) < 2:
-                return cls(None, None, next(iter(n), 0.0))
-            rate = n.get(1.0, 0) / sum(n.values())
-            seen = lexical(train, "url", "")
-            stats = seen.groupBy("suffix").agg(F.count("*").cast("double").alias("suffix_rows"), ((F.sum("label") + 20 * rate) / (F.count("*") + 20)).alias("suffix_block_rate"))
-            rows = [(r[0], r[1], r[2]) for r in stats.collect()]  # at most MAX_TRAIN
-            suffixes = train.sparkSession.createDataFrame(rows, "suffix string, suffix_rows double, suffix_block_rate double")
-            self = cls(None, suffixes, rate)
             trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=20, seed=SEED)
-            self.model = trees.fit(self._vectors(seen, "").select("features", "label"))
+            self.model = trees.fit(train)
             return self
         finally:
             train.unpersist()
 
-    def _vectors(self, df: DataFrame, prefix: str, out: str = "features") -> DataFrame:
-        s = self.suffixes.select(*[F.col(c).alias(prefix + c + ("_key" if c == "suffix" else "")) for c in self.suffixes.columns])
-        df = df.join(F.broadcast(s), F.col(prefix + "suffix") == F.col(prefix + "suffix_key"), "left").drop(prefix + "suffix_key")
-        df = df.fillna({prefix + "suffix_rows": 0.0, prefix + "suffix_block_rate": self.constant})
+    def _vectors(self, df: DataFrame, prefix: str, out: str = "features", own: Column | None = None) -> DataFrame:
+        """``own``: the label of rows that are among those counted, each taken out of its own suffix's rate."""
+        rows, blocks, key = (prefix + c for c in ("suffix_rows", "suffix_blocks", "suffix_key"))
+        s = self.suffixes.select(F.col("suffix").alias(key), F.col("suffix_rows").alias(rows), F.col("suffix_blocks").alias(blocks))
+        df = df.join(s, F.col(prefix + "suffix") == F.col(key), "left").drop(key).fillna({rows: 0.0, blocks: 0.0})
+        if own is not None:
+            df = df.withColumns({rows: F.col(rows) - 1, blocks: F.col(blocks) - own})
+        df = df.withColumn(prefix + "suffix_block_rate", (F.col(blocks) + 20 * self.constant) / (F.col(rows) + 20))
         return VectorAssembler(inputCols=[prefix + c for c in FEATURES], outputCol=out).transform(df)
 
     def block_probability(self, df: DataFrame, url_col: str, out: str) -> DataFrame:
