@@ -70,7 +70,7 @@ def _count(text: Column, char: str) -> Column:
 
 
 def suffix(host_col: Column) -> Column:
-    """The last label of the host and the letter block in front of any digits of the one before it."""
+    """The last label of the host and the letters that the third from the end begins with."""
     return F.concat_ws(".", F.regexp_extract(host_col, r"([a-z]*)[^.]*\.[^.]*\.[^.]*\z", 1), F.regexp_extract(host_col, r"([^.]*)\z", 1))
 
 

@@ -492,7 +492,7 @@ def test_url_filters(spark):
     assert scored.filter((F.col("verdict") == "block") == (F.col("block") == 1)).count() > 290
     # Held out: suffixes tell in one half of the urls what holds in the other.
     rnd = random.Random(4)
-    urls = [(f"http://h{k}.{'shop' if k % 2 else 'news'}.net/{rnd.randrange(10**6)}{'?a=1&b=2' if rnd.random() < 0.5 else ''}", int((k % 2 == 1) == (rnd.random() < 0.95))) for k in range(800)]
+    urls = [(f"http://{'shop' if k % 2 else 'news'}{k}.site.net/{rnd.randrange(10**6)}{'?a=1&b=2' if rnd.random() < 0.5 else ''}", int((k % 2 == 1) == (rnd.random() < 0.95))) for k in range(800)]
     half = [spark.createDataFrame(urls[k::4] + urls[k + 1 :: 4], "url string, block int") for k in (0, 2)]
     held = url_filters.filter_urls(half[1], url_filters.UrlModel.fit(half[0]), rules=())
     assert held.filter((F.col("verdict") == "block") == (F.col("block") == 1)).count() > 0.9 * half[1].count()
