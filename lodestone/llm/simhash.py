@@ -94,23 +94,32 @@ def bucket_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in made]
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Edges (u, v) between fingerprints whose components are those of "at most 2 bits apart" among the distinct ``fp`` of ``prints``.
-
-    In large buckets members point to shared neighbours, which are folded to the least member, so every edge joins two that occur.
-    """
+def bucketed(prints: DataFrame) -> DataFrame:
+    """``prints`` (node, fp), a row per choice of blocks that it shares with others: ``which``, ``key``, pivot distances, members ``n``."""
     masks = F.array(*[F.struct(F.lit(k).alias("which"), F.lit(m).alias("mask")) for k, m in enumerate(bucket_masks())])
     keyed = pivot_table(prints).withColumn("b", F.explode(masks))
     keyed = keyed.withColumn("which", F.col("b.which")).withColumn("key", F.col("fp").bitwiseAND(F.col("b.mask"))).drop("b")
     sizes = keyed.groupBy("which", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = keyed.join(sizes, ["which", "key"])
-    small, large = sized.filter(F.col("n") <= BUCKET), sized.filter(F.col("n") > BUCKET)
+    return keyed.join(sizes, ["which", "key"])
 
-    a, b = small.alias("a"), small.alias("b")
+
+def close_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs (u < v) of nodes of a bucket at most ``RADIUS`` bits apart: pivot distances first, then the bits."""
+    a, b = buckets.alias("a"), buckets.alias("b")
     near = F.greatest(*[F.abs(F.col(f"a.p{k}") - F.col(f"b.p{k}")) for k in range(PIVOTS)]) <= RADIUS
-    same = (F.col("a.which") == F.col("b.which")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
+    same = (F.col("a.which") == F.col("b.which")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
     pairs = a.join(b, same & near & (_distance(F.col("a.fp"), F.col("b.fp")) <= RADIUS))
-    direct = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """Edges (u, v) between fingerprints whose components are those of "at most 2 bits apart" among the distinct ``fp`` of ``prints``.
+
+    In large buckets members point to shared neighbours, which are folded to the least member, so every edge joins two that occur.
+    """
+    sized = bucketed(prints.select(F.col("fp").alias("node"), "fp"))
+    small, large = sized.filter(F.col("n") <= BUCKET), sized.filter(F.col("n") > BUCKET)
+    direct = close_pairs(small)
 
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k).cast("long") for k in range(64)])
     star = large.select("fp").distinct().withColumn("near", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))))
