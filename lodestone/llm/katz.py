@@ -35,18 +35,19 @@ K = 5
 HOT = 20
 END = b"\n"  # no word holds a line feed
 FOLDS, HELD_OUT = 7, 2
+_TIGHT, _LOOSE = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(a: np.ndarray) -> bytes:
     """Integers or floats of 4 or 8 bytes, by byte planes, compressed."""
     a = np.ascontiguousarray(a)
     planes = a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b""
-    return a.dtype.char.encode() + zstandard.compress(planes, 1)
+    return a.dtype.char.encode() + _TIGHT.compress(planes)
 
 
 def unpack(b: bytes) -> np.ndarray:
     kind = np.dtype(b[:1].decode())
-    planes = np.frombuffer(zstandard.decompress(b[1:]), np.uint8)
+    planes = np.frombuffer(_LOOSE.decompress(b[1:]), np.uint8)
     return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).reshape(-1) if len(planes) else np.empty(0, kind)
 
 
