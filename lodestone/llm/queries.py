@@ -53,16 +53,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    """The archive of all pages against a replica with planted damage: one row per distinct record of either, with its place and what
+    became of it. Nulls make records with empty parts; repeated pages are copies of one record; no pages give no rows."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     rec = warc.record(F.col("page_id"), F.col("url"), F.col("html"))
-    leaves = pages.select(
-        "page_id",
-        F.octet_length(rec).cast("long").alias("n_bytes"),
-        warc.leaf_digest(rec).alias("digest"),
-        warc.leaf_digest(warc.damage(F.col("page_id"), rec)).alias("replica_digest"),
-    )
-    leaves = Stored(leaves, "warc-leaves")
-    return warc.audit(Stored(warc.layout(leaves.df, "page_id"), "warc-manifest").df)
+
+    def leaves(store: DataFrame) -> DataFrame:
+        return store.select("page_id", F.octet_length(rec).cast("long").alias("n_bytes"), warc.leaf_digest(rec).alias("digest"))
+
+    return warc.audit(leaves(pages), leaves(warc.damaged(pages)))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -458,24 +458,35 @@ def test_near_copies_with_repeats(spark):
     assert len(rows) - near_copies.drop_copies(df).count() == pairs == 80
 
 
-def test_warc(spark):
-    pages = spark.createDataFrame([(k, f"http://a/{k}" if k % 5 else None, "<p>" + "x" * k if k % 7 else None) for k in range(400)] + [(3, "http://a/3", "<p>xxx")] * 2 + [(None, None, None)], "page_id long, url string, html string")
-    rec = warc.record(F.col("page_id"), F.col("url"), F.col("html"))
-    rows = pages.select("page_id", F.octet_length(rec).cast("long").alias("n_bytes"), warc.leaf_digest(rec).alias("digest"), warc.leaf_digest(warc.damage(F.col("page_id"), rec, 13)).alias("replica_digest"))
-    manifest = warc.layout(rows, "page_id", 50).cache()
-    got = warc.audit(manifest).collect()
-    want = {r["digest"]: r["digest"] != r["replica_digest"] for r in rows.collect()}
-    assert {r["digest"]: r["corrupt"] for r in got} == want and any(want.values())
-    assert sum(r["copies"] for r in got) == pages.count()
+@pytest.mark.parametrize("shard_records", [1024, 20])
+def test_warc(spark, shard_records):
+    """Stores with lost, altered, extra and repeated records, null ids among them, against a comparison of all records."""
+    rnd = random.Random(7)
+    here = [(k % 290 if k % 11 else None, 10 + k % 5, hashlib.sha256(f"{k % 380}".encode()).hexdigest()) for k in range(400)]
+    there = [(i, n + 1, hashlib.sha256(d.encode()).hexdigest()) if rnd.random() < 0.05 else (i, n, d) for i, n, d in here if rnd.random() > 0.05]
+    there += [(1000 + k, 5, hashlib.sha256(f"new {k}".encode()).hexdigest()) for k in range(9)] + here[:3]
+    a, b = Counter(here), Counter(there)
+    delta = defaultdict(set)
+    for r in a | b:
+        delta[r[0]].add((a[r] > b[r]) - (a[r] < b[r]))
+    want = {r: "ok" if a[r] == b[r] else "altered" if r[0] is not None and {1, -1} <= delta[r[0]] else "lost" if a[r] > b[r] else "extra" for r in a | b}
+    schema = "page_id long, n_bytes long, digest string"
+    x, y = spark.createDataFrame(here, schema), spark.createDataFrame(there, schema)
+    got = warc.audit(x, y, shard_records=shard_records).collect()
+    assert {tuple(r)[:3]: r["status"] for r in got} == want and len(got) == len(want) and set(want.values()) == {"ok", "altered", "lost", "extra"}
+    assert all((r["copies"], r["copies_there"]) == (a[tuple(r)[:3]], b[tuple(r)[:3]]) for r in got)
     by_shard = defaultdict(list)
     for r in got:
-        by_shard[r["shard"]].append(r)
+        if r["copies"]:
+            assert r["digest"].startswith(r["shard"])
+            by_shard[r["shard"]].append(r)
     for rs in by_shard.values():
         at = 0
-        for r in sorted(rs, key=lambda r: r["seq"]):
-            assert r["start"] == at
+        for r in sorted(rs, key=lambda r: r["start"]):
+            assert r["start"] == at and r["end"] == at + r["copies"] * r["n_bytes"]
             at = r["end"]
-    assert warc.audit(warc.layout(empty(rows), "page_id")).count() == 0
+    assert {r["status"] for r in warc.audit(x, x).collect()} == {"ok"}
+    assert warc.audit(empty(x), empty(y)).count() == 0 and {r["status"] for r in warc.audit(x, empty(y)).collect()} == {"lost"}
 
 
 def test_url_filters(spark):
