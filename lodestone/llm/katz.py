@@ -25,10 +25,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lodestone.llm.store import Stored, tasks
 
 CHUNK_TOKENS = 1 << 21
+#: Chunks for which a partition of n-grams is made at least, so that its table stays small however large the corpus.
+PART_CHUNKS = 3
 #: Counts up to this are discounted by Good-Turing.
 K = 5
 #: A context with over 1 / (HOT * partitions) of all tokens is spread over all partitions.
@@ -65,12 +68,12 @@ def words(text: str | None) -> list[bytes]:
 
 def held_out(id_col: str) -> Column:
     """The fold of a document: crc32 of its id as text; a null id hashes as the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % FOLDS == HELD_OUT
+    return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))) % FOLDS == HELD_OUT
 
 
 def encode(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows ``chunk, ids, held, lengths, tokens, dictionary``; every document ends with the end token."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), held_out(id_col).alias("held"), F.col(f"`{text_col}`").alias("text"))
     schema = "chunk long, ids array<long>, held array<boolean>, lengths binary, tokens binary, dictionary binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,6 +334,19 @@ def bigram_table(w: Words):
     return run
 
 
+CELLS = [f"c{r}" for r in range(1, K + 2)]
+SHARES = "context long, " + ", ".join(f"{c} long" for c in CELLS) + ", seen double"
+
+
+def frequent_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per frequent context of a partition's share: cells and sum, to be added up over the partitions."""
+    for b in batches:
+        for keys, other in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+            cells, seen = map(unpack, apart(other))
+            columns = [unpack_sorted(keys).view(np.int64), *cells.reshape(-1, K + 1).T, seen]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["context", *CELLS, "seen"])
+
+
 def fit_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row, in no order.
 
@@ -338,9 +354,11 @@ def fit_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     token is unknown with probability 1; an empty table gives no row. The id must be an integer or null.
     """
     spark = docs.sparkSession
-    n = tasks(spark)
-    kind = docs.select(id_col).schema[0].dataType
+    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column")
     chunks = Stored(encode(docs, id_col, text_col), "katz-chunks")
+    n = max(tasks(spark), chunks.df.count() // PART_CHUNKS)
     asked = chunks.df.mapInArrow(word_requests(n), BLOCK)
     word = Stored(asked.groupBy("p").applyInArrow(word_table(n), BLOCK), "katz-words")
     each = [unpack(bytes(r[0])) for r in word.df.filter("chunk = -1").select("counts").collect()]  # one a partition
@@ -351,17 +369,13 @@ def fit_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     request = chunks.df.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(bigram_requests(n, hot_from), BLOCK)
     answer = Stored(request.groupBy("p").applyInArrow(bigram_table(w), BLOCK), "katz-bigrams")
-    shares = answer.df.filter("chunk = -1").select("keys", "counts", "other").collect()  # at most HOT * n contexts in each
-    factor = discounts(np.sum([unpack(bytes(r[1])) for r in shares], axis=0) if shares else np.zeros(K + 1, np.int64))
-    heavy: dict[int, np.ndarray] = {}
-    for r in shares:
-        a, b = apart(bytes(r[2]))
-        rows = np.concatenate([unpack(a).reshape(-1, K + 1), unpack(b).reshape(-1, 1)], axis=1)
-        for c, row in zip(unpack_sorted(bytes(r[0])).tolist(), rows, strict=True):
-            heavy[c] = heavy.get(c, 0) + row
-    at = np.array(sorted(heavy), np.uint64)
-    sums = np.array([heavy[c] for c in at.tolist()]).reshape(-1, K + 2)
-    frequent = (at, *backoff(sums[:, : K + 1], sums[:, K + 1], factor))
+    own = answer.df.filter("chunk = -1").select("keys", "counts", "other")  # of every partition
+    types = [unpack(bytes(r[0])) for r in own.select("counts").collect()]
+    factor = discounts(np.sum(types, axis=0) if types else np.zeros(K + 1, np.int64))
+    sums = own.mapInArrow(frequent_shares, SHARES).groupBy("context").agg(*[F.sum(c).alias(c) for c in CELLS], F.sum("seen").alias("seen"))
+    rows = sorted(tuple(r) for r in sums.collect())  # at most HOT * n contexts
+    at = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    frequent = (at, *backoff(np.array([r[1:-1] for r in rows], np.int64).reshape(-1, K + 1), np.array([r[-1] for r in rows], float), factor))
 
     both = told.withColumn("kind", F.lit(0)).union(answer.df.filter("chunk >= 0").withColumn("kind", F.lit(1)))
     out = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

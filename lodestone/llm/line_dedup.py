@@ -25,6 +25,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lodestone.llm.katz import by_part, mixed, pack, pack_sorted, unpack, unpack_sorted
 from lodestone.llm.store import Stored, fresh, tasks
@@ -396,7 +397,9 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     n = tasks(spark)
-    kind = docs.select(id_col).schema[0].dataType
+    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column")
     chunks = Stored(encode(docs, id_col, text_col), "lines-chunks", key="chunk").df
     firsts = line_rows(chunks).groupBy("h1", "h2").agg(F.min(F.struct("id", "line", "chunk", "k")).alias("f"))
     firsts = Stored(firsts.groupBy(F.col("f.chunk").alias("chunk")).agg(F.collect_list("f.k").alias("ks")), "lines-firsts").df

@@ -549,7 +549,16 @@ def test_line_dedup_of_short_lines(spark):
     assert {(r["doc_id"], i) for r in line_dedup.removed_lines(df).collect() for i in r["removed"]} == want
 
 
-def test_katz(docs, texts):
+def test_ids_that_are_no_integers(spark):
+    df = spark.createDataFrame([("x", "a b")], "doc_id string, text string")
+    for f in (katz.fit_and_score, line_dedup.removed_lines):
+        with pytest.raises(TypeError, match="integer"):
+            f(df)
+
+
+@pytest.mark.parametrize("hot", [20, 1])
+def test_katz(docs, texts, monkeypatch, hot):
+    monkeypatch.setattr(katz, "HOT", hot)
     toks = {k: (t or "").encode().lower().split() + [b"\n"] for k, t in enumerate(texts)} | {None: [b"null", b"id", b"\n"]}
     held = {k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2 for k in toks}
     one, two = Counter(), Counter()
