@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.relational import ranked
+
 
 def exact_split(df: DataFrame, id_col: str, test_share: float, seed: int) -> DataFrame:
-    """Adds ``is_test`` for exactly ceil(share * rows) rows, chosen by md5(seed:id). Ranks come from one task; for a corpus
-    use :func:`hash_split`."""
-    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), F.col(id_col))
-    n = F.count("*").over(Window.partitionBy())
-    return df.withColumn("is_test", F.row_number().over(order) <= F.ceil(n * test_share))
+    """Adds ``is_test`` for exactly ceil(share * rows) rows, chosen by md5(seed:id). Where about the share is enough,
+    :func:`hash_split` needs no shuffle."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    n = df.agg(F.ceil(F.count("*") * F.lit(test_share)).alias("__test"))
+    return ranked(df, [digest, F.col(id_col)], F.substring(digest, 1, 3), "__rank").crossJoin(F.broadcast(n)).withColumn("is_test", F.col("__rank") <= F.col("__test")).drop("__rank", "__test")
 
 
 def hash_split(df: DataFrame, id_col: str, test_share: float, seed: int) -> DataFrame:

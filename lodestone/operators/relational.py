@@ -9,32 +9,44 @@ from lodestone.functions import sequences as S
 
 
 def similar_pairs(a: DataFrame, b: DataFrame, threshold: int, blocks: bool = False) -> DataFrame:
-    """Pairs (seq_a, seq_b, score) of texts ``seq`` with more than ``threshold`` equal positions.
+    """Pairs (seq_a, seq_b, score) of texts ``seq`` with more than ``threshold`` equal positions, up to the shorter length.
 
-    With ``blocks`` only pairs of equal length are found, by an equi-join: texts of length n with over t equal positions
-    have at most n - t - 1 different ones, so of n - t blocks of positions one at least is equal. Lossless for them, and
-    the way to go at scale; without it every pair is compared.
+    With ``blocks`` every different pair once, by an equi-join: of n positions with over t equal ones at most n - t - 1 differ, so of
+    n - t blocks of them one at least is equal. n is the shorter length, so a text is cut to every shorter length that occurs on the other
+    side. Lossless, and the way to go at scale; without it every pair is compared.
     """
     left, right = a.select(F.col("seq").alias("seq_a")), b.select(F.col("seq").alias("seq_b"))
     score = S.matches(F.col("seq_a"), F.col("seq_b"))
     if not blocks:
         return left.join(right, score > threshold).withColumn("score", score)
 
-    def keyed(df: DataFrame, c: str, side: str) -> DataFrame:
-        n = F.length(c)
-        count = F.greatest(n - threshold, F.lit(1))
-        cut = lambda k: F.floor(k * n / count).cast("int")
+    def keyed(df: DataFrame, other: DataFrame, c: str, d: str) -> DataFrame:
+        own = df.distinct().withColumn(f"n_{c}", F.length(c)).filter(F.col(f"n_{c}") > threshold)
+        lengths = other.select(F.length(d).alias("n")).distinct()  # as many rows as there are lengths
+        shorter = own.join(lengths, F.col("n") < F.col(f"n_{c}")).select(c, f"n_{c}", "n").filter(F.col("n") > threshold)
+        own = own.withColumn("n", F.col(f"n_{c}")).select(c, f"n_{c}", "n").union(shorter)
+        count = F.col("n") - threshold
+        cut = lambda k: F.floor(k * F.col("n") / count).cast("int")
         block = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(k.alias("no"), F.substr(F.col(c), cut(k) + 1, cut(k + 1) - cut(k)).alias("text")))
-        return df.filter(n > threshold).withColumn(f"n_{side}", n).withColumn("block", F.explode(block))
+        return own.withColumn("block", F.explode(block))
 
-    joined = keyed(left, "seq_a", "a").join(keyed(right, "seq_b", "b").withColumnRenamed("block", "block_b"), (F.col("n_a") == F.col("n_b")) & (F.col("block") == F.col("block_b")))
+    joined = keyed(left, right, "seq_a", "seq_b").join(keyed(right, left, "seq_b", "seq_a"), ["n", "block"]).filter(F.col("n") == F.least("n_seq_a", "n_seq_b"))
     return joined.select("seq_a", "seq_b").distinct().withColumn("score", score).filter(F.col("score") > threshold)
 
 
-def zip_by_order(a: DataFrame, b: DataFrame, by_a: list[Column], by_b: list[Column]) -> DataFrame:
-    """Rows of equal rank side by side, to the shorter length. Ranks are global, so each side is ranked in one task."""
-    x = a.withColumn("pos", F.row_number().over(Window.orderBy(*by_a)))
-    y = b.withColumn("pos", F.row_number().over(Window.orderBy(*by_b)))
+def ranked(df: DataFrame, by: list[Column], bucket: Column, out: str) -> DataFrame:
+    """Adds the rank from 1 in the order ``by``. ``bucket`` never falls in that order, so rows are ranked bucket by bucket, in as many tasks as there
+    are buckets, and each is moved up by the sizes of those before it; only a row a bucket is ever in one task."""
+    held = df.withColumn("__bucket", bucket)
+    local = held.withColumn(out, F.row_number().over(Window.partitionBy("__bucket").orderBy(*by)).cast("long"))
+    sizes = held.groupBy("__bucket").agg(F.count("*").alias("__size"))
+    before = sizes.select(F.col("__bucket").alias("__key"), (F.sum("__size").over(Window.orderBy("__bucket")) - F.col("__size")).alias("__before"))
+    return local.join(before, F.col("__bucket").eqNullSafe(F.col("__key"))).withColumn(out, F.col(out) + F.col("__before")).drop("__bucket", "__key", "__before")
+
+
+def zip_by_order(a: DataFrame, b: DataFrame, by_a: list[Column], by_b: list[Column], bucket_a: Column | None = None, bucket_b: Column | None = None) -> DataFrame:
+    """Rows of equal rank side by side, to the shorter length. Buckets as in :func:`ranked`; a side without is ranked in one task."""
+    x, y = (ranked(df, by, F.lit(0) if bucket is None else bucket, "pos") for df, by, bucket in ((a, by_a, bucket_a), (b, by_b, bucket_b)))
     return x.join(y, "pos")
 
 

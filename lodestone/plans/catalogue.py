@@ -158,7 +158,7 @@ def similar_pairs(spark, sf_dir):
     return relational.similar_pairs(n, n, 4).withColumn("score", F.col("score").cast(L))
 
 
-@query(f"SELECT DISTINCT a.n_name AS seq_a, b.n_name AS seq_b, ({MATCHES})::BIGINT AS score FROM nation a, nation b WHERE length(a.n_name) = length(b.n_name) AND {MATCHES} > 4")
+@query(f"SELECT DISTINCT a.n_name AS seq_a, b.n_name AS seq_b, ({MATCHES})::BIGINT AS score FROM nation a, nation b WHERE {MATCHES} > 4")
 def similar_pairs_blocked(spark, sf_dir):
     n = sources.load(spark, sf_dir, "nation").select(F.col("n_name").alias("seq"))
     return relational.similar_pairs(n, n, 4, blocks=True).withColumn("score", F.col("score").cast(L))
@@ -347,7 +347,7 @@ def map_lookup_join(spark, sf_dir):
 @query("SELECT a.o_orderkey, b.c_custkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS p FROM orders) a JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS p FROM customer) b USING (p)")
 def positional_zip(spark, sf_dir):
     o, c = sources.load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), sources.load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    return relational.zip_by_order(o, c, [F.col("o_totalprice"), F.col("o_orderkey")], [F.col("c_acctbal"), F.col("c_custkey")]).select("o_orderkey", "c_custkey")
+    return relational.zip_by_order(o, c, [F.col("o_totalprice"), F.col("o_orderkey")], [F.col("c_acctbal"), F.col("c_custkey")], F.floor(F.col("o_totalprice") / 1000), F.floor(F.col("c_acctbal") / 10)).select("o_orderkey", "c_custkey")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

@@ -74,6 +74,23 @@ def test_similar_pairs(spark):
         assert [tuple(r) for r in relational.similar_pairs(a, b, 4, blocks).collect()] == [("ACGTTTCA", "AGCTTTGA", 5)]
 
 
+def test_similar_pairs_of_all_lengths(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("ACGT"), rng.integers(0, 14))) for _ in range(60)]
+    a, b = (spark.createDataFrame([(w,) for w in ws], "seq string") for ws in (words[:30], words[30:]))
+    every = {tuple(r) for r in relational.similar_pairs(a, b, 3).collect()}
+    got = [tuple(r) for r in relational.similar_pairs(a, b, 3, blocks=True).collect()]
+    assert set(got) == every and len(got) == len(every) and any(len(x) != len(y) for x, y, _ in every)
+
+
+def test_ranked(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(x), k) for k, x in enumerate(rng.integers(-50, 50, 300))]
+    df = spark.createDataFrame(rows, "v int, k int")
+    got = relational.ranked(df, [F.col("v"), F.col("k")], F.floor(F.col("v") / 7), "at").collect()
+    assert [(r["v"], r["k"]) for r in sorted(got, key=lambda r: r["at"])] == sorted(rows) and sorted(r["at"] for r in got) == list(range(1, 301))
+
+
 def test_matrix(spark):
     a = sources.coo(spark, [[1, 2, 3], [4, 5, 6]])
     assert [r["row"] for r in matrix.rows(matrix.gram(a)).orderBy("i").collect()] == [[17, 22, 27], [22, 29, 36], [27, 36, 45]]
