@@ -10,7 +10,8 @@ from lodestone.llm.store import Stored, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: base counts, base verdict, posterior probability of "good" and the verdict."""
+    """One row per document: base counts, base verdict, posterior probability of "good" and the verdict. Null and empty texts count 0
+    and fail; equal texts fare alike; no documents give no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     at = "f"
     rows = Stored(quality_rules.features(docs, "text", at).withColumn("pattern", quality_rules.vote_pattern(at)).drop("text"), "quality").df
@@ -25,27 +26,34 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its words, its source's, the source's target and the words the mix takes. A null text has no words, null is a
+    source of its own, rows with one id draw alike; no documents give no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     m = mixing.mix(docs)
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: bytes, bytes in strings of 200 that also start elsewhere, runs of them, digest of the rest. Null is empty;
+    equal texts of 200 bytes or more go whole; no documents give no rows."""
     return suffix_dedup.removals(table(spark, sf_dir, "documents"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: bytes, tokens, whether over 512. Null is empty; no documents give no rows."""
     import public_tokenizers
 
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document and benchmark item that leaked into it."""
+    """One row per document and benchmark item that leaked into it. Null and empty texts leak nothing, nor do such items."""
     return decontamination.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: fingerprint and least document id within reach of 2-bit links. Texts without words have fingerprint zero;
+    rows without an id link others, but name nothing; no documents give no rows."""
     docs = table(spark, sf_dir, "documents")
     prints = Stored(simhash.with_fingerprint(docs, "text", "fp", 3, ["doc_id"]), "simhash-prints").df
     out = simhash.with_component(prints, "doc_id", "fp", "component_id")
@@ -65,17 +73,22 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: host, path, rule, verdict, the trees' probability. Null urls have empty parts; without labels of both kinds the
+    trees say the same of all; no pages give no rows."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     model = url_filters.UrlModel.fit(url_filters.labelled_urls(pages, labels))
     return url_filters.filter_urls(pages.select("page_id", "url"), model).select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: lines with a word, lines removed, and which."""
+    """One row per document: lines with a word, lines removed, and which. Null and empty texts have none; of repeated documents the
+    first keeps its lines; no documents give no rows."""
     return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
 
 
 def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: tokens, known ones, base score and the model's. Null is the end token alone; rows with one id are scored each;
+    no documents give no rows."""
     return katz.fit_and_score(table(spark, sf_dir, "documents"))
 
 
