@@ -75,13 +75,15 @@ def junk(rnd):
 
 def test_quality_of_every_column(spark, texts):
     rnd = random.Random(2)
-    texts = texts + [prose(rnd, 60) + "." for _ in range(60)] + [junk(rnd) for _ in range(24)] + ["x # y " * 9 + prose(rnd, 400) + "."]
+    first = len(texts)
+    texts = texts + [prose(rnd, 60) + "." for _ in range(300)] + [junk(rnd) for _ in range(40)] + ["x # y " * 9 + prose(rnd, 400) + "."]
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], "doc_id long, text string, quality_votes int, `a.b` string")
     want = brute_quality(texts)
     got = {r["doc_id"]: r for r in quality_rules.features(df, "text", "f").collect()}
     assert [{n: got[k][f"f_{n}"] for n in quality_rules.NAMES} for k in range(len(texts))] == [f for f, _, _ in want]
     kept = quality_rules.keep(df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {k for k, (_, failed, p) in enumerate(want) if not failed and p >= 0.5}
+    assert {k for k in range(first, len(texts)) if want[k][2] >= 0.5} == {*range(first, first + 300), len(texts) - 1}  # prose stays, junk goes
     assert quality_rules.keep(empty(df)).count() == 0
 
 
