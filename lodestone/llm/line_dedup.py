@@ -7,6 +7,10 @@ lines of compatible sizes that share a prefix word, drops pairs whose positions
 rest word by word. Sets of fewer than ``JOINED`` words are similar to their equals only (3 of 4 words are under 4 in 5), so the
 join leaves them out; only lines without a word are left alone.
 
+Words whose frequency passes ``HOT_WORD`` are no keys of their own, for a group of all lines with one would grow with the corpus and its pairs
+with the square: similar lines share two words of a prefix that is one word longer, so if the rarest shared one is hot, all are, and
+lines meet at the pair of the two rarest.
+
 Rarity is the frequency of a word's hash among 2**20 cells: any total order gives the exact join, this one has a fixed size.
 Words travel as 64-bit hashes. The corpus is encoded once into chunks in the shared folder; postings travel as sorted,
 compressed blocks from chunks to partitions of words, and so do pairs and the lines to verify them, from chunk to chunk.
@@ -34,6 +38,8 @@ SIMILARITY = (4, 5)
 #: Different words of a line that can be similar to one with another set; of one whose parity takes 128 bits.
 JOINED, WIDE = 4, 64
 CHUNK_WORDS = 1 << 20
+#: Occurrences (of a word's cell) from which a word is a key only together with another.
+HOT_WORD = 1 << 14
 CELL_BITS, CELL_PARTS = 20, 16
 #: Pairs a task forms at a time.
 PAIRS = 1 << 18
@@ -177,9 +183,17 @@ def postings(n: int, cells):
             order = np.argsort(owner * max(len(rank), 1) + rank[c.words])
             words, place = c.words[order], np.arange(len(order)) - c.starts[owner]
             size = c.sizes[owner].astype(np.int64)
-            take = first[owner] & (size >= JOINED) & (place < size - _ceil(size * _T, _U) + 1)
+            prefix = size - _ceil(size * _T, _U) + 1
+            take = first[owner] & (size >= JOINED) & (place < prefix)
+            hot = take & (cells.value[cell(c.dictionary)] > HOT_WORD)[words]
+            single, at = np.flatnonzero(take & ~hot), np.flatnonzero(hot)
+            one, step = _expand(at + 1, (prefix - place)[at])  # with every later word of the longer prefix
+            pair = at[one]
+            hashes = c.dictionary[words]
+            h = np.concatenate([hashes[single], mixed(hashes[pair] ^ mixed(hashes[step]))])
+            at = np.concatenate([single, pair])
             ids, null = np.array([i or 0 for i in c.ids], np.int64), np.array([i is None for i in c.ids], np.int8)
-            h, k, size, place = c.dictionary[words[take]], owner[take], size[take], place[take]
+            k, size, place = owner[at], size[at], place[at]
             for p, at in by_part((mixed(h) % np.uint64(n)).astype(np.int64), n):
                 at = at[np.argsort(h[at], kind="stable")]
                 doc = c.doc[k[at]]

@@ -525,12 +525,14 @@ def test_line_dedup(docs, texts):
     assert left[0] == texts[0] and left[43] is None
 
 
-def test_line_dedup_of_long_lines(spark):
+@pytest.mark.parametrize("hot", [1 << 14, 5, 0])
+def test_line_dedup_of_long_lines(spark, monkeypatch, hot):
     """Lines around the sizes where a parity takes 64 or 128 bits, and far beyond, at similarities around the threshold."""
+    monkeypatch.setattr(line_dedup, "HOT_WORD", hot)  # at 5 and 0 some or all words are keys only in pairs
     rnd, rows = random.Random(15), []
-    for n in (30, 62, 66, 75, 110, 200, 450):
+    for n in (4, 5, 7, 9, 30, 62, 66, 75, 110, 200, 450):
         for _ in range(4):
-            base = [f"w{rnd.randrange(10**5)}" for _ in range(n)]
+            base = [f"w{rnd.randrange(10**(5 if n > 9 else 2))}" for _ in range(n)]
             rows.append(" ".join(base))
             for share in (0.02, 0.08, 0.1, 0.12, 0.2):
                 w = [x if rnd.random() > share else f"v{rnd.randrange(10**5)}" for x in base]
