@@ -1,15 +1,15 @@
-"""Language-model scoring: a Katz back-off bigram model with Good-Turing discounts, trained and evaluated in place.
+"""Language-model scoring: a Katz back-off model of n-grams with Good-Turing discounts, trained and evaluated in place.
 
 The corpus is encoded once into chunks (a dictionary of word hashes and token numbers), stored in the shared folder. Counts
 live in tables partitioned by n-gram. A chunk sends each partition its distinct n-grams with their training counts as one
 sorted, compressed block, and the partition answers in the block's order, so neither n-grams nor tokens travel as rows:
 
 1. words: totals and dense ids come back;
-2. bigrams, by context: totals, and the back-off weight of contexts that met an unseen successor, come back. Contexts too
-   frequent for one partition are spread over all by successor; there are at most ``HOT`` a partition of them, so their
-   sums are a bounded table;
-3. every token is evaluated: the discounted bigram if seen, else the context's weight times the discounted word, else
-   times the mass of unknown words. All three levels sum to one exactly by construction.
+2. for each order from two up, n-grams by context, with the probabilities of their last words one order lower: totals, and the back-off weight of contexts that
+   met an unseen successor, come back. Contexts too frequent for one partition are spread over all by successor; there are at most
+   ``HOT`` a partition of them, so their sums are a bounded table;
+3. every token is evaluated from the lowest order up: the discounted n-gram if seen, else the context's weight times the probability one order
+   lower; below bigrams the discounted word, or the mass of unknown words. All levels sum to one exactly by construction.
 """
 
 from __future__ import annotations
@@ -131,6 +131,9 @@ class Chunk:
         starts = np.cumsum(self.lengths) - self.lengths
         self.before = np.roll(self.tokens, 1)
         self.before[starts] = self.end  # a text begins after an end
+        self.before_that = np.roll(self.before, 1)
+        self.before_that[starts] = self.end
+        self.starts = starts
 
 
 BLOCK = "p int, chunk long, keys binary, counts binary, other binary"
@@ -234,7 +237,7 @@ def kept_mass(stats: np.ndarray) -> float:
     return float((low * f[1 : K + 1]).sum() + (stats[1] - low.sum()) * f[K + 1])
 
 
-def bigram_part(context: np.ndarray, word: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+def gram_part(context: np.ndarray, word: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
     one = mixed(context.astype(np.uint64))
     return ((np.where(hot, mixed(one ^ word.astype(np.uint64)), one)) % np.uint64(n)).astype(np.int64)
 
@@ -248,36 +251,84 @@ def answers(t: pa.Table, c: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     return totals, ids
 
 
-def bigrams(c: Chunk, totals: np.ndarray, ids: np.ndarray, n: int, hot_from: int):
-    """Distinct bigrams of a chunk: sorted keys, a token each occurs at, every token's bigram, frequent contexts, partitions. Key: ids in 32 bits each, both
-    plus 1, so unknown is 0."""
-    if len(ids) and ids.max() >= (1 << 32) - 2:
-        raise OverflowError("over 2**32 distinct words")
-    w = (ids + 1).astype(np.uint64)
-    key = (w[c.before] << np.uint64(32)) | w[c.tokens]
-    keys, first, where = np.unique(key, return_index=True, return_inverse=True)
-    hot = totals[c.before[first]] > hot_from
-    return keys, first, where, hot, bigram_part(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), hot, n)
+LOW = np.uint64(0xFFFFFFFF)
 
 
-def bigram_requests(n: int, hot_from: int):
+def keyed(level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """(64-bit keys in the order of context and word, contexts by the number that the keys hold; none if they hold the contexts)."""
+    if level == 2:
+        return (context << np.uint64(32)) | word, None
+    contexts, number = np.unique(context, return_inverse=True)
+    return (number.astype(np.uint64) << np.uint64(32)) | word, contexts
+
+
+class Grams:
+    """Distinct n-grams of a chunk: contexts and words, each by their ids plus 1 in 32 bits (unknown is 0), a token each occurs at, every token's
+    n-gram, partitions. ``followers``: total of the context; ``hot``: too frequent for one partition. ``below``: of every token, the total
+    of the n-gram one word shorter."""
+
+    def __init__(self, level: int, c: Chunk, totals: np.ndarray, ids: np.ndarray, n: int, hot_from: int, below: np.ndarray | None):
+        if len(ids) and ids.max() >= (1 << 32) - 2:
+            raise OverflowError("over 2**32 distinct words")
+        w = (ids + 1).astype(np.uint64)
+        context, followers = w[c.before], totals[c.before]
+        if level == 3:
+            context = (w[c.before_that] << np.uint64(32)) | context
+            followers = np.roll(below, 1)  # what ends a text is no context
+            followers[c.starts] = totals[c.end]
+        keys, contexts = keyed(level, context, w[c.tokens])
+        keys, self.first, self.where = np.unique(keys, return_index=True, return_inverse=True)
+        self.word, self.context = keys & LOW, context[self.first]
+        self.followers = followers[self.first]
+        self.hot = self.followers > hot_from
+        self.part = gram_part(self.context, self.word, self.hot, n)
+        self.n = n
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        return by_part(self.part, self.n)
+
+
+def pack_grams(level: int, context: np.ndarray, word: np.ndarray) -> bytes:
+    if level == 2:
+        return pack_sorted((context << np.uint64(32)) | word)
+    each, size = np.unique(context, return_counts=True)
+    return join(pack_sorted(each), join(pack(size.astype(np.int32)), pack(word.astype(np.uint32))))
+
+
+def unpack_grams(level: int, b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if level == 2:
+        keys = unpack_sorted(b)
+        return keys >> np.uint64(32), keys & LOW
+    each, rest = apart(b)
+    size, word = apart(rest)
+    return np.repeat(unpack_sorted(each), unpack(size)), unpack(word).astype(np.uint64)
+
+
+def requests(level: int, n: int, hot_from: int, w: Words, models: list[tuple]):
+    """n-grams of ``level`` words to their partitions; ``models``: what is fitted of the levels below."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return blocks([])
         c = Chunk(left)
-        totals, ids = answers(right, c, n)
-        keys, first, where, hot, part = bigrams(c, totals, ids, n, hot_from)
-        counts = np.bincount(where[c.train], minlength=len(keys)).astype(np.int32)
-        word_total = totals[c.tokens[first]]
+        totals, ids = answers(of_kind(right, 0), c, n)
+        below, lower = descend(c, right, totals, ids, n, hot_from, w, models)
+        g = Grams(level, c, totals, ids, n, hot_from, below)
+        counts = np.bincount(g.where[c.train], minlength=len(g.word)).astype(np.int32)
+        told = totals[c.tokens[g.first]] if level == 2 else lower[g.first]  # words travel as totals, they are shorter
         rows = []
-        for p, at in by_part(part, n):
-            frequent = np.unique(keys[at][hot[at]] >> np.uint64(32))
-            rows.append((p, c.number, pack_sorted(keys[at]), pack(counts[at]), join(pack(word_total[at]), pack_sorted(frequent))))
+        for p, at in g.parts():
+            frequent = np.unique(g.context[at][g.hot[at]])
+            rows.append((p, c.number, pack_grams(level, g.context[at], g.word[at]), pack(counts[at]), join(pack(told[at]), pack_sorted(frequent))))
         return blocks(rows)
 
     return run
 
 
+def of_kind(t: pa.Table, kind: int) -> pa.Table:
+    return t.filter(pa.array(np.array(t.column("kind").to_pylist()) == kind))
+
+
 def join(a: bytes, b: bytes) -> bytes:
     return len(a).to_bytes(8, "big") + a + b
 
@@ -301,31 +352,34 @@ def backoff(cells: np.ndarray, seen: np.ndarray, factor: np.ndarray) -> tuple[np
     return np.where(total > 0, 1 - scale * kept / t, 1.0) / np.maximum(1 - seen, 1e-300), scale
 
 
-def bigram_table(w: Words):
+def gram_table(level: int, w: Words):
     """Of one partition, to every chunk: ``counts``, totals in the block's order; ``other``, cells and sums (see
     :func:`backoff`) of the block's contexts in order, zero where the chunk cannot need them. Chunk -1: counts of counts, and
     this partition's share of the cells and sums of frequent contexts, which no block gets."""
 
     def run(t: pa.Table) -> pa.Table:
         p = t.column("p")[0].as_py()
-        keys = [unpack_sorted(x.as_py()) for x in t.column("keys")]
+        grams = [unpack_grams(level, x.as_py()) for x in t.column("keys")]
         counts = np.concatenate([unpack(x.as_py()) for x in t.column("counts")])
         other = [apart(x.as_py()) for x in t.column("other")]
-        table, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        keys, contexts = keyed(level, *(np.concatenate(x) for x in zip(*grams, strict=True)))
+        table, first, where = np.unique(keys, return_index=True, return_inverse=True)
         total = np.bincount(where, weights=counts, minlength=len(table)).astype(np.int64)
-        word_p = np.where(total > 0, w.p(np.concatenate([unpack(a) for a, _ in other])[first]), 0.0)
+        lower = np.concatenate([unpack(a) for a, _ in other])[first]
+        lower = np.where(total > 0, w.p(lower) if level == 2 else lower, 0.0)
         frequent = np.unique(np.concatenate([unpack_sorted(b) for _, b in other]))
 
         context, group = np.unique(table >> np.uint64(32), return_inverse=True)
-        seen = np.bincount(group, weights=word_p, minlength=len(context))
+        context = context if contexts is None else contexts[context]
+        seen = np.bincount(group, weights=lower, minlength=len(context))
         cells = np.stack([np.bincount(group[total == r], minlength=len(context)) for r in range(1, K + 1)] + [np.bincount(group, weights=np.where(total > K, total, 0), minlength=len(context)).astype(np.int64)], axis=1).astype(np.int64)
         hot = np.isin(context, frequent)
         rows = [(p, -1, pack_sorted(context[hot]), pack(count_of_counts(total)), join(pack(cells[hot].reshape(-1)), pack(seen[hot])))]
         whole = (cells[:, :K].sum(axis=1) == 0) & (cells[:, K] > 0)
         at = 0
         for k, chunk in enumerate(t.column("chunk").to_pylist()):
-            own = where[at : at + len(keys[k])]
-            at += len(keys[k])
+            own = where[at : at + len(grams[k][1])]
+            at += len(own)
             mine = np.unique(group[own])
             send = (np.isin(mine, group[own[total[own] == 0]]) | whole[mine]) & ~hot[mine]
             rows.append((p, chunk, b"", pack(total[own]), join(pack((cells[mine] * send[:, None]).reshape(-1)), pack(seen[mine] * send))))
@@ -334,6 +388,32 @@ def bigram_table(w: Words):
     return run
 
 
+def descend(c: Chunk, right: pa.Table, totals: np.ndarray, ids: np.ndarray, n: int, hot_from: int, w: Words, models: list[tuple]) -> tuple[np.ndarray | None, np.ndarray]:
+    """Of every token of a chunk: the total of its longest n-gram (none for words alone) and its probability by the levels in ``models``."""
+    below, p = None, w.p(totals[c.tokens])
+    for level, (factor, frequent) in enumerate(models, 2):
+        g = Grams(level, c, totals, ids, n, hot_from, below)
+        seen = np.zeros(len(g.word), np.int64)
+        weight, scale = np.ones(len(seen)), np.ones(len(seen))
+        told = of_kind(right, level)
+        got = {x: k for k, x in enumerate(told.column("p").to_pylist())}
+        for x, at in g.parts():
+            seen[at] = unpack(told.column("counts")[got[x]].as_py())
+            cells, sums = apart(told.column("other")[got[x]].as_py())
+            _, group = np.unique(g.context[at], return_inverse=True)
+            each = backoff(unpack(cells).reshape(-1, K + 1), unpack(sums), factor)
+            weight[at], scale[at] = each[0][group], each[1][group]
+        hot_context, hot_weight, hot_scale = frequent
+        if len(hot_context):
+            place = np.minimum(np.searchsorted(hot_context, g.context), len(hot_context) - 1)
+            is_hot = hot_context[place] == g.context
+            weight[is_hot], scale[is_hot] = hot_weight[place[is_hot]], hot_scale[place[is_hot]]
+        known = scale * factor[np.minimum(seen, K + 1)] * seen / np.maximum(g.followers, 1)
+        p = np.where(seen > 0, known, weight * p[g.first])[g.where]
+        below = seen[g.where]
+    return below, p
+
+
 CELLS = [f"c{r}" for r in range(1, K + 2)]
 SHARES = "context long, " + ", ".join(f"{c} long" for c in CELLS) + ", seen double"
 
@@ -347,12 +427,15 @@ def frequent_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["context", *CELLS, "seen"])
 
 
-def fit_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row, in no order.
+def fit_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+    """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row, in no order. ``order``: words of the longest
+    n-grams, two or three.
 
     Null and empty texts hold the end token alone; rows with one id are scored each; without a training document every
     token is unknown with probability 1; an empty table gives no row. The id must be an integer or null.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType
     if not isinstance(kind, IntegralType):
@@ -365,51 +448,32 @@ def fit_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     stats = np.sum(each, axis=0) if each else np.zeros(K + 3, np.int64)
     w = Words(stats)
     hot_from = max(1, w.total // (HOT * n))
-    told = word.df.filter("chunk >= 0")
-
-    request = chunks.df.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(bigram_requests(n, hot_from), BLOCK)
-    answer = Stored(request.groupBy("p").applyInArrow(bigram_table(w), BLOCK), "katz-bigrams")
-    own = answer.df.filter("chunk = -1").select("keys", "counts", "other")  # of every partition
-    types = [unpack(bytes(r[0])) for r in own.select("counts").collect()]
-    factor = discounts(np.sum(types, axis=0) if types else np.zeros(K + 1, np.int64))
-    sums = own.mapInArrow(frequent_shares, SHARES).groupBy("context").agg(*[F.sum(c).alias(c) for c in CELLS], F.sum("seen").alias("seen"))
-    rows = sorted(tuple(r) for r in sums.collect())  # at most HOT * n contexts
-    at = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    frequent = (at, *backoff(np.array([r[1:-1] for r in rows], np.int64).reshape(-1, K + 1), np.array([r[-1] for r in rows], float), factor))
-
-    both = told.withColumn("kind", F.lit(0)).union(answer.df.filter("chunk >= 0").withColumn("kind", F.lit(1)))
+    told = word.df.filter("chunk >= 0").withColumn("kind", F.lit(0))
+
+    models: list[tuple] = []
+    for level in range(2, order + 1):
+        request = chunks.df.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(requests(level, n, hot_from, w, list(models)), BLOCK)
+        answer = Stored(request.groupBy("p").applyInArrow(gram_table(level, w), BLOCK), f"katz-level-{level}")
+        own = answer.df.filter("chunk = -1").select("keys", "counts", "other")  # of every partition
+        types = [unpack(bytes(r[0])) for r in own.select("counts").collect()]
+        factor = discounts(np.sum(types, axis=0) if types else np.zeros(K + 1, np.int64))
+        sums = own.mapInArrow(frequent_shares, SHARES).groupBy("context").agg(*[F.sum(c).alias(c) for c in CELLS], F.sum("seen").alias("seen"))
+        rows = [tuple(r) for r in sums.collect()]  # at most HOT * n contexts
+        at = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+        rows = [rows[k] for k in np.argsort(at)]
+        models.append((factor, (np.sort(at), *backoff(np.array([r[1:-1] for r in rows], np.int64).reshape(-1, K + 1), np.array([r[-1] for r in rows], float), factor))))
+        told = told.union(answer.df.filter("chunk >= 0").withColumn("kind", F.lit(level)))
+
     out = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = chunks.df.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(evaluate(n, hot_from, w, factor, frequent), out)
+    scored = chunks.df.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(evaluate(n, hot_from, w, models), out)
     return scored.select(F.col("id").cast(kind).alias(id_col), *[c.split()[0] for c in out.split(", ")[1:]])
 
 
-def evaluate(n: int, hot_from: int, w: Words, factor: np.ndarray, frequent: tuple):
-    hot_context, hot_weight, hot_scale = frequent
-
+def evaluate(n: int, hot_from: int, w: Words, models: list[tuple]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         c = Chunk(left)
-        kinds = np.array(right.column("kind").to_pylist())
-        totals, ids = answers(right.filter(pa.array(kinds == 0)), c, n)
-        keys, first, where, _, part = bigrams(c, totals, ids, n, hot_from)
-        context = keys >> np.uint64(32)
-        seen = np.zeros(len(keys), np.int64)
-        weight, scale = np.ones(len(keys)), np.ones(len(keys))
-        told = right.filter(pa.array(kinds == 1))
-        got = {p: k for k, p in enumerate(told.column("p").to_pylist())}
-        for p, at in by_part(part, n):
-            seen[at] = unpack(told.column("counts")[got[p]].as_py())
-            a, b = apart(told.column("other")[got[p]].as_py())
-            _, group = np.unique(context[at], return_inverse=True)
-            each = backoff(unpack(a).reshape(-1, K + 1), unpack(b), factor)
-            weight[at], scale[at] = each[0][group], each[1][group]
-        if len(hot_context):
-            place = np.minimum(np.searchsorted(hot_context, context), len(hot_context) - 1)
-            is_hot = hot_context[place] == context
-            weight[is_hot], scale[is_hot] = hot_weight[place[is_hot]], hot_scale[place[is_hot]]
-        word_p = w.p(totals[c.tokens[first]])
-        followers = np.maximum(totals[c.before[first]], 1)
-        known = scale * factor[np.minimum(seen, K + 1)] * seen / followers
-        p = np.where(seen > 0, known, weight * word_p)
+        totals, ids = answers(of_kind(right, 0), c, n)
+        _, p = descend(c, right, totals, ids, n, hot_from, w, models)
         docs = len(c.lengths)
         add = lambda x: np.bincount(c.doc, weights=x, minlength=docs)
         base = np.log10((totals + 1) / (w.total + w.types + 1))
@@ -421,7 +485,7 @@ def evaluate(n: int, hot_from: int, w: Words, factor: np.ndarray, frequent: tupl
                 "n_known": pa.array(add((totals > 0)[c.tokens]).astype(np.int64)),
                 "train_tokens": pa.array(np.full(docs, w.total)),
                 "base_score": pa.array(add(base[c.tokens])),
-                "score": pa.array(add(np.log10(p)[where])),
+                "score": pa.array(add(np.log10(p))),
             }
         )
 

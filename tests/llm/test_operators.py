@@ -560,40 +560,45 @@ def test_ids_that_are_no_integers(spark):
             f(df)
 
 
-@pytest.mark.parametrize("hot", [20, 1])
-def test_katz(docs, texts, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "order"), [(20, 2), (1, 2), (20, 3), (1, 3)])
+def test_katz(docs, texts, monkeypatch, hot, order):
     monkeypatch.setattr(katz, "HOT", hot)
     toks = {k: (t or "").encode().lower().split() + [b"\n"] for k, t in enumerate(texts)} | {None: [b"null", b"id", b"\n"]}
     held = {k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2 for k in toks}
-    one, two = Counter(), Counter()
-    for k, t in toks.items():
-        if not held[k]:
-            one.update(t)
-            two.update(zip([b"\n", *t[:-1]], t, strict=True))
+    past = lambda t, i, m: tuple(([b"\n"] * m + t)[i : i + m])  # noqa: E731 - the m tokens before place i; a text begins after ends
+    grams = [Counter((past(t, i, m), t[i]) for k, t in toks.items() if not held[k] for i in range(len(t))) for m in range(order)]
+    one = Counter({w: c for (_, w), c in grams[0].items()})
     total = sum(one.values())
     cells = lambda c: np.array([sum(v == r for v in c.values()) for r in range(1, katz.K + 2)])
-    d1, d2 = katz.discounts(cells(one)), katz.discounts(cells(two))
+    factors = [katz.discounts(cells(g)) for g in grams]
     cut = lambda d, c: d[min(c, katz.K + 1)] * c
-    unknown = 1 - sum(cut(d1, c) for c in one.values()) / total
-    p1 = lambda w: cut(d1, one[w]) / total if one[w] else unknown
-    kept, seen, size = Counter(), Counter(), Counter()
-    for (a, b), c in two.items():
-        kept[a] += cut(d2, c)
-        seen[a] += p1(b)
-        size[a] += c
-
-    def p2(a, b):
-        if not size[a]:
-            return p1(b)
-        s = size[a] / (size[a] + 1) if kept[a] > size[a] * (1 - 1e-12) else 1.0
-        c = two.get((a, b), 0)
-        return s * cut(d2, c) / size[a] if c else (1 - s * kept[a] / size[a]) / (1 - seen[a]) * p1(b)
-
-    for a in (b"\n", b"the", b"never seen"):
-        assert abs(sum(p2(a, b) for b in one) + p2(a, b"<unknown>") - 1) < 1e-9
-    for r in katz.fit_and_score(docs).collect():
+    unknown = 1 - sum(cut(factors[0], c) for c in one.values()) / total
+    sums = [defaultdict(lambda: [0.0, 0.0, 0]) for _ in grams]  # of every context: discounted counts, seen words one order lower, all
+
+    def p(m, context, w):
+        if m == 0:
+            return cut(factors[0], one[w]) / total if one[w] else unknown
+        kept, seen, size = sums[m][context] if context in sums[m] else (0.0, 0.0, 0)
+        if not size:
+            return p(m - 1, context[1:], w)
+        s = size / (size + 1) if kept > size * (1 - 1e-12) else 1.0
+        c = grams[m].get((context, w), 0)
+        return s * cut(factors[m], c) / size if c else (1 - s * kept / size) / (1 - seen) * p(m - 1, context[1:], w)
+
+    for m in range(1, order):
+        for (context, w), c in grams[m].items():
+            x = sums[m][context]
+            x[0], x[1], x[2] = x[0] + cut(factors[m], c), x[1] + p(m - 1, context[1:], w), x[2] + c
+    for context in [(b"\n", b"\n"), (b"the", b"of"), (b"never seen", b"the"), (b"the", b"never seen"), *rnd_contexts(grams[-1])]:
+        context = context[-(order - 1) :]
+        assert abs(sum(p(order - 1, context, w) for w in one) + p(order - 1, context, b"<unknown>") - 1) < 1e-9
+    for r in katz.fit_and_score(docs, order=order).collect():
         t = toks[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(one[w] > 0 for w in t), total)
-        assert r["score"] == pytest.approx(sum(np.log10(p2(a, b)) for a, b in zip([b"\n", *t[:-1]], t, strict=True)))
+        assert r["score"] == pytest.approx(sum(np.log10(p(order - 1, past(t, i, order - 1), w)) for i, w in enumerate(t)))
         assert r["base_score"] == pytest.approx(sum(np.log10((one[w] + 1) / (total + len(one) + 1)) for w in t))
-    assert katz.fit_and_score(empty(docs)).count() == 0
+    assert katz.fit_and_score(empty(docs), order=order).count() == 0
+
+
+def rnd_contexts(grams):
+    return random.Random(3).sample(sorted({c for c, _ in grams}), 20)
