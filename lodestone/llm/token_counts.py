@@ -286,20 +286,54 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     ``vocabulary``: path of the vocabulary file on the driver; its text is broadcast (a file's size, whatever the corpus).
     Null and empty texts count 0; special tokens' strings inside a text count as one token each.
     """
-    with open(vocabulary, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
     names = ["n_bytes", "n_tokens", "over_limit"]
     if id_col.lower() in names:
         raise ValueError(f"id_col {id_col} is a column of the result; rename it")
+    with open(vocabulary, encoding="utf-8") as f:
+        text = f.read()
+    spec = docs.sparkSession.sparkContext.broadcast(text)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     schema = source.select("id").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def result(ids: pa.Array, n_bytes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array(n_bytes), pa.array(n), pa.array(n > limit)], names=schema.names)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(spec.value)
         for b in batches:
             texts = b.column(1).to_pylist()
             n_bytes = np.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], np.int64)
-            n = np.array([count.tokens(t) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes), pa.array(n), pa.array(n > limit)], names=schema.names)
+            yield result(b.column(0), n_bytes, np.array([count.tokens(t) for t in texts], np.int64))
+
+    # Long texts are counted in chunks, by many tasks; those with special tokens, which a cut could split, are not.
+    cut = F.length("text") > CHUNK
+    for x in special_strings(text):
+        cut &= ~F.contains("text", F.lit(x))
+    cut = F.coalesce(cut, F.lit(False))
+    short = source.filter(~cut).mapInArrow(whole, schema)
+    kind = source.schema["id"].dataType.simpleString()
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / CHUNK).cast("int")), lambda i: F.substring("text", i * CHUNK + 1, F.lit(CHUNK)))
+    long = source.filter(cut).withColumn("row", F.monotonically_increasing_id())
+    long = long.select("id", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.posexplode(pieces).alias("place", "piece"))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(spec.value)
+        for b in batches:
+            maps = [count.chunk_map(x) for x in b.column(4).to_pylist()]
+            made = [pa.array([m.head for m in maps], pa.string()), pa.array([m.count for m in maps], pa.int64()), pa.array([m.tail for m in maps], pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *made], names=["id", "row", "n_bytes", "place", "head", "count", "tail"])
+
+    def composed(t: pa.Table) -> pa.Table:
+        count = counter(spec.value)
+        rows = t.sort_by("place").to_pylist()
+        m = count.reduce([ChunkMap(r["head"], r["count"], r["tail"]) for r in rows])
+        n = count.plain(m.head) + m.count + (count.plain(m.tail) if m.tail else 0)
+        return pa.Table.from_batches([result(t.column("id").slice(0, 1).combine_chunks(), np.array([rows[0]["n_bytes"]], np.int64), np.array([n], np.int64))])
+
+    maps = long.mapInArrow(mapped, f"id {kind}, row long, n_bytes long, place int, head string, count long, tail string")
+    return short.union(maps.groupBy("row").applyInArrow(composed, schema)).toDF(id_col, *names)
+
 
-    return source.mapInArrow(run, schema).toDF(id_col, *names)
+def special_strings(spec: str) -> list[str]:
+    """The strings of a vocabulary's special tokens."""
+    return [x["content"] for x in json.loads(spec).get("added_tokens", [])]

@@ -211,6 +211,21 @@ def test_token_counts(docs, texts):
     assert got == {k: len(reference.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)} | {None: len(reference.encode("null id").ids)}
 
 
+@pytest.mark.parametrize("chunk", [7, 40])
+def test_token_counts_of_long_texts_in_chunks(spark, monkeypatch, chunk):
+    """Chunks counted by different tasks and put together, with repeated and null ids and special tokens on the cuts."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "CHUNK", chunk)
+    path, rnd = P.path("byte_bpe_50k.json"), random.Random(11)
+    texts = [None, "", "short"] + ["".join(rnd.choice(" \n\t'sdtABC12½é中😀<|>!?._ the of") for _ in range(rnd.randint(0, 400))) for _ in range(60)] + ["ab" * 300, " " * 300, "x " * 200 + "<|endoftext|>" + " y" * 90]
+    df = spark.createDataFrame([(None if k % 9 == 0 else k // 2, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    library = Tokenizer.from_file(path)
+    want = Counter((None if k % 9 == 0 else k // 2, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for k, t in enumerate(texts))
+    assert Counter(tuple(r)[:3] for r in token_counts.token_counts(df, path).collect()) == want
+
+
 def test_token_counts_of_ids_named_like_a_result(spark):
     P = pytest.importorskip("public_tokenizers")
     df = spark.createDataFrame([("a b",)], "text string")
