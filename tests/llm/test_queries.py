@@ -185,3 +185,43 @@ def test_pipeline(spark, folder, tmp_path):
         assert after == kept, name
         seen[name] = (len(before), len(after))
     assert all(a > b for k, (a, b) in seen.items() if k != "near_copies"), seen
+
+
+@pytest.fixture(scope="module")
+def long_folder(tmp_path_factory):
+    """A text of over a megabyte, one like it but for a word, and one that is a line of one word, many times."""
+    rnd, out = random.Random(31), tmp_path_factory.mktemp("long")
+    item = "which of these words did nobody say before today? " + " ".join(f"rare{k}" for k in range(12)) + "."
+    words = [rnd.choice(("alpha", "beta", "gamma", "delta")) + str(rnd.randrange(4000)) for _ in range(120_000)]
+    text = "\n".join(" ".join(words[k : k + 40]) for k in range(0, len(words), 40)) + "\n" + item
+    texts = [text, text.replace(words[70_000], "changed", 1), "again " * 200_000]
+    pq.write_table(pa.table({"doc_id": [0, 1, 2], "text": texts, "lang": ["en"] * 3, "source": ["a", "b", "a"], "n_chars": list(map(len, texts))}), out / "documents.parquet")
+    pq.write_table(pa.table({"item_id": [5], "text": [item]}), out / "benchmark.parquet")
+    return str(out), texts, words
+
+
+def test_very_long_texts(spark, long_folder):
+    _, texts, words = long_folder
+    sizes = [len(t.split()) for t in texts]
+    quality = {r["doc_id"]: r for r in run(spark, long_folder, "op1_quality_rules")}
+    assert [quality[k]["n_words"] for k in range(3)] == sizes and [quality[k]["base_failed"] for k in range(3)] == [False, False, True]
+    assert [r["size"] for r in sorted(run(spark, long_folder, "op2_mixing"), key=lambda r: r["doc_id"])] == sizes
+    removed = {r["doc_id"]: r["n_removed"] for r in run(spark, long_folder, "op3_suffix_array_dedup")}
+    at = texts[0].index(words[70_000])
+    assert removed[2] == len(texts[2]) and len(texts[0]) - removed[0] <= len(words[70_000]) and at > 0
+    assert [(r["doc_id"], r["item_id"]) for r in sorted(run(spark, long_folder, "op5_decontamination"), key=lambda r: r["doc_id"])] == [(0, 5), (1, 5)]
+    assert {r["doc_id"]: r["component_id"] for r in run(spark, long_folder, "op6_simhash")} == {0: 0, 1: 0, 2: 2}
+    lines = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in run(spark, long_folder, "op9_line_dedup")}
+    assert lines == {0: (3001, 0), 1: (3001, 3001), 2: (1, 0)}
+    assert {r["doc_id"]: r["n_tokens"] for r in run(spark, long_folder, "op10_katz_scores")} == {k: n + 1 for k, n in enumerate(sizes)}
+    docs = spark.read.parquet(long_folder[0] + "/documents.parquet")
+    assert [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, long_folder[0]).collect()] == [0, 2]
+
+
+def test_very_long_texts_are_tokenized_like_the_library(spark, long_folder):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r["n_tokens"] for r in run(spark, long_folder, "op4_token_counts")}
+    assert got == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(long_folder[1])}
