@@ -28,9 +28,9 @@ MEMORY = 1 << 24
 
 
 def _table(shape: int | tuple[int, int], kind: type) -> np.ndarray:
-    if np.prod(shape) <= MEMORY:
+    scratch = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]  # Spark sets it for its Python workers
+    if np.prod(shape) <= MEMORY or not scratch:
         return np.empty(shape, kind)
-    scratch = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
     with tempfile.TemporaryFile(dir=scratch) as f:  # the mapping outlives the name and the handle
         return np.asarray(np.memmap(f, kind, "w+", shape=shape))
 

@@ -7,6 +7,7 @@ recomputation of what came before it.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -22,6 +23,14 @@ GAP = r"[\x20\x09-\x0D]+"
 
 _own: list[str] = []
 _scopes: list["Scope"] = []
+_named: set[str] = set()
+
+
+def _forget(spark: SparkSession) -> None:
+    """At the end of the driver no name of a table stays in the catalog."""
+    for name in list(_named):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,6 +78,9 @@ class Stored:
         if key:
             df.write.format("parquet").bucketBy(tasks(self.spark), key).option("path", self.path).saveAsTable(self.table)
             self.df = self.spark.table(self.table)
+            if not _named:
+                atexit.register(_forget, self.spark)
+            _named.add(self.table)
         else:
             df.write.parquet(self.path)
             self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -85,6 +97,7 @@ class Stored:
     def drop(self) -> None:
         if self.table:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+            _named.discard(self.table)
         where, fs = self._fs()
         fs.delete(where, True)
 

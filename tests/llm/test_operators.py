@@ -144,8 +144,9 @@ def test_suffix_array():
             assert c == min(n, cap)
 
 
-def test_suffix_array_with_tables_on_disk(monkeypatch):
+def test_suffix_array_with_tables_on_disk(monkeypatch, tmp_path):
     monkeypatch.setattr(induced, "MEMORY", 4)
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
     test_suffix_array()
 
 
