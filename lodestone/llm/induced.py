@@ -115,6 +115,9 @@ class Sweep:
             lo, hi = int(self.start[b]), int(self.fill[b])
             f = slice(int(cuts[b]), int(cuts[b + 1]))
             self._stretch(b, self.place[lo:hi], self.source[lo:hi], fixed[f], first[f], common[f] if self.carries else None)
+        del self.place, self.source, self.last_source, self.last_place
+        if self.carries:
+            del self.minima
 
     def _inside(self, b: int, pos: np.ndarray) -> np.ndarray:
         """The characters of what suffixes put into the stretch they are in; of the others, one past all."""
