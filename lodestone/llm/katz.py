@@ -131,10 +131,13 @@ class Chunk:
         starts = np.cumsum(self.lengths) - self.lengths
         self.before = np.roll(self.tokens, 1)
         self.before[starts] = self.end  # a text begins after an end
-        self.before_that = np.roll(self.before, 1)
-        self.before_that[starts] = self.end
         self.starts = starts
 
+    def before_that(self) -> np.ndarray:
+        out = np.roll(self.before, 1)
+        out[self.starts] = self.end
+        return out
+
 
 BLOCK = "p int, chunk long, keys binary, counts binary, other binary"
 BLOCKS = pa.schema([("p", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("other", pa.binary())])
@@ -271,15 +274,16 @@ class Grams:
         if len(ids) and ids.max() >= (1 << 32) - 2:
             raise OverflowError("over 2**32 distinct words")
         w = (ids + 1).astype(np.uint64)
-        context, followers = w[c.before], totals[c.before]
+        context = w[c.before]
         if level == 3:
-            context = (w[c.before_that] << np.uint64(32)) | context
-            followers = np.roll(below, 1)  # what ends a text is no context
-            followers[c.starts] = totals[c.end]
-        keys, contexts = keyed(level, context, w[c.tokens])
+            context |= w[c.before_that()] << np.uint64(32)
+        keys, _ = keyed(level, context, w[c.tokens])
         keys, self.first, self.where = np.unique(keys, return_index=True, return_inverse=True)
         self.word, self.context = keys & LOW, context[self.first]
-        self.followers = followers[self.first]
+        self.followers = totals[c.before[self.first]]
+        if level == 3:  # a text's first word follows the end, and what ends a text is no context
+            before = below[np.maximum(self.first - 1, 0)]
+            self.followers = np.where(np.isin(self.first, c.starts), self.followers, before)
         self.hot = self.followers > hot_from
         self.part = gram_part(self.context, self.word, self.hot, n)
         self.n = n
@@ -312,7 +316,7 @@ def requests(level: int, n: int, hot_from: int, w: Words, models: list[tuple]):
             return blocks([])
         c = Chunk(left)
         totals, ids = answers(of_kind(right, 0), c, n)
-        below, lower = descend(c, right, totals, ids, n, hot_from, w, models)
+        below, lower = descend(c, right, totals, ids, n, hot_from, w, models) if models else (None, None)
         g = Grams(level, c, totals, ids, n, hot_from, below)
         counts = np.bincount(g.where[c.train], minlength=len(g.word)).astype(np.int32)
         told = totals[c.tokens[g.first]] if level == 2 else lower[g.first]  # words travel as totals, they are shorter
