@@ -36,8 +36,10 @@ LENGTH, GRAM = 200, 100
 SHARD_BYTES, SPLIT = 4 << 20, 512
 #: Pieces from which a batch goes out.
 STEP = 1 << 12
-#: Bytes of texts whose marks are found at once.
-GROUP = 1 << 17
+#: Bytes of texts whose marks are found at once; stretches of a longer text.
+GROUP, SEGMENT = 1 << 17, 1 << 20
+#: Different pieces of a text that are held before they go out; a piece found again later is one more row.
+HELD = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
 
@@ -68,7 +70,12 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 def marks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first, last, hash) of the runs of stretches, by their starts, that share a mark; of equal hashes in a stretch the first
-    place is the mark."""
+    place is the mark. A text alone may have any length: it is read ``SEGMENT`` stretches at a time, where a run may end early."""
+    if len(texts) == 1 and len(texts[0]) > SEGMENT + LENGTH:
+        cuts = range(0, len(texts[0]) - LENGTH + 1, SEGMENT)
+        found = [marks([texts[0][s : s + SEGMENT + LENGTH - 1]]) for s in cuts]
+        text, first, last, h = (np.concatenate(x) for x in zip(*((t, a + s, b + s, h) for s, (t, a, b, h) in zip(cuts, found, strict=True)), strict=True))
+        return text, first, last, h
     sizes = np.array([len(x) for x in texts], np.int64)
     joined = np.frombuffer(b"".join(texts), np.uint8)
     if len(joined) < LENGTH:
@@ -151,16 +158,19 @@ PIECES = pa.schema([("sha", pa.binary()), ("piece", pa.binary()), ("starts", pa.
 def pieces(texts: DataFrame) -> DataFrame:
     """``texts`` (sha, body, shared: its repeated marks) -> a row per text and different piece in it: name, starts, mark, count, bytes."""
 
-    def of(sha: bytes, text: bytes, first: np.ndarray, last: np.ndarray, h: np.ndarray, shared: np.ndarray) -> list[tuple]:
+    def of(sha: bytes, text: bytes, first: np.ndarray, last: np.ndarray, h: np.ndarray, shared: np.ndarray) -> Iterator[tuple]:
         wanted = np.flatnonzero(np.isin(h, shared))
-        held: dict[bytes, tuple[list, int, bytes]] = {}
-        for i, j, mark in zip(first[wanted].tolist(), last[wanted].tolist(), h[wanted].tolist(), strict=True):
-            name = xxhash.xxh3_128_digest(body := text[i : j + LENGTH])
-            if name in held:
-                held[name][0].append(i)
-            else:
-                held[name] = ([i], mark, body)
-        return [(sha, name, array("i", at).tobytes(), mark, len(at), body) for name, (at, mark, body) in held.items()]
+        for lo in range(0, len(wanted), HELD):
+            k = wanted[lo : lo + HELD]
+            held: dict[bytes, tuple[list, int, bytes]] = {}
+            for i, j, mark in zip(first[k].tolist(), last[k].tolist(), h[k].tolist(), strict=True):
+                name = xxhash.xxh3_128_digest(body := text[i : j + LENGTH])
+                if name in held:
+                    held[name][0].append(i)
+                else:
+                    held[name] = ([i], mark, body)
+            for name, (at, mark, body) in held.items():
+                yield sha, name, array("i", at).tobytes(), mark, len(at), body
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
@@ -173,10 +183,11 @@ def pieces(texts: DataFrame) -> DataFrame:
                 cuts, h = np.searchsorted(text, np.arange(len(texts) + 1)), h.view(np.int64)
                 for k, body in enumerate(texts):
                     own = slice(cuts[k], cuts[k + 1])
-                    rows += of(b.column(0)[start + k].as_py(), body, first[own], last[own], h[own], b.column(2)[start + k].values.to_numpy())
-                    if len(rows) >= STEP:
-                        yield batch(rows)
-                        rows = []
+                    for row in of(b.column(0)[start + k].as_py(), body, first[own], last[own], h[own], b.column(2)[start + k].values.to_numpy()):
+                        rows.append(row)
+                        if len(rows) >= STEP:
+                            yield batch(rows)
+                            rows = []
             if rows:
                 yield batch(rows)
 

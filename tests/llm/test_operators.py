@@ -170,6 +170,25 @@ def test_repeated_bytes(docs, texts):
     assert suffix_dedup.removals(empty(docs)).count() == 0
 
 
+def test_marks_of_long_texts_read_in_parts(monkeypatch):
+    """Every stretch has the same mark, whether texts are read together, alone or in segments."""
+    rnd = random.Random(6)
+    texts = [prose(rnd, n).encode() for n in (3, 60, 200, 90)] + [b"ab" * 300, b"a" * 450, b"z" * 199, b"z" * 200]
+
+    def of_stretches(groups):
+        out = {}
+        for base, group in groups:
+            for t, i, j, h in zip(*suffix_dedup.marks(group), strict=True):
+                out.update({(base + int(t), k): int(h) for k in range(i, j + 1)})
+        return out
+
+    together = of_stretches([(0, texts)])
+    assert set(together) == {(t, k) for t, x in enumerate(texts) for k in range(len(x) - 199)}
+    assert of_stretches(((t, [x]) for t, x in enumerate(texts))) == together
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 70)
+    assert of_stretches(((t, [x]) for t, x in enumerate(texts))) == together
+
+
 @pytest.mark.parametrize("split", [512, 3])
 def test_repeated_bytes_around_a_common_passage(spark, monkeypatch, split):
     """Passages of many lengths in many texts, with all sorts of surroundings; with few pieces a mark stretches are dealt by content."""
