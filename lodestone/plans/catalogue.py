@@ -293,6 +293,7 @@ def running_max(spark, sf_dir):
 
 @query("SELECT event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), ',') AS seen FROM events")
 def running_collect(spark, sf_dir):
+    """Every row with all up to it, as the survey's accumulating state has it: by its form the output grows with the square of a user's events."""
     return sources.load(spark, sf_dir, "events").select("event_id", F.array_join(F.collect_list("event_type").over(_by_time()), ",").alias("seen"))
 
 

@@ -52,7 +52,8 @@ def grid(spark: SparkSession, a: float, b: float, n: int) -> DataFrame:
 
 
 def until_sentinel(df: DataFrame, order: Column, value: str, sentinel: str) -> DataFrame:
-    """Rows before the first one that holds the sentinel, by a total order."""
+    """Rows before the first one that holds the sentinel, by a total order. Two passes over ``df``: one finds that row, of which only the order
+    travels, so no rows are gathered."""
     stop = df.filter(F.col(value) == sentinel).agg(F.min(order).alias("__stop"))
     return df.join(F.broadcast(stop), F.col("__stop").isNull() | (order < F.col("__stop"))).drop("__stop")
 
