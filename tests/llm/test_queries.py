@@ -225,3 +225,28 @@ def test_very_long_texts_are_tokenized_like_the_library(spark, long_folder):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     got = {r["doc_id"]: r["n_tokens"] for r in run(spark, long_folder, "op4_token_counts")}
     assert got == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(long_folder[1])}
+
+
+def test_pipeline_with_odd_columns_and_without_rows(spark, folder, tmp_path):
+    """Columns with dots and with names of results, null and repeated ids, null texts; and no documents at all."""
+    docs = spark.read.parquet(folder[0] + "/documents.parquet")
+    odd = docs.selectExpr("CASE WHEN doc_id % 7 > 0 THEN doc_id % 20 END AS doc_id", "text", "lang", "source", "n_chars", "doc_id AS `a.b`", "1 AS size", "2 AS copies", "'x' AS shingles", "3 AS line_row", "4 AS Target")
+    for name, start in (("odd", odd), ("none", odd.limit(0))):
+        now = start
+        for stage, f in corpus_pipeline.STAGES:
+            out = f(spark, now, folder[0])
+            out.write.parquet(str(tmp_path / name / stage))
+            out = spark.read.parquet(str(tmp_path / name / stage))
+            assert out.columns[: len(odd.columns)] == odd.columns and (stage == "mix" or out.columns == odd.columns)
+            assert (out.count() > 0) == (name == "odd")
+            now = out
+        assert now.filter("`a.b` IS NULL OR size <> 1 OR copies <> 2").count() == 0
+
+
+def test_queries_of_empty_tables(spark, folder, tmp_path):
+    for t in ("documents", "pages", "labels", "benchmark"):
+        spark.read.parquet(f"{folder[0]}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    pytest.importorskip("public_tokenizers")
+    for name, f in queries.QUERIES.items():
+        assert f(spark, str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
