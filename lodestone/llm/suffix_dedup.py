@@ -289,12 +289,12 @@ def repeated_pieces(different: DataFrame) -> DataFrame:
     return found
 
 
-def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts, rows): ``texts`` has sha, body, found (see :func:`cut`) of the different texts with a repeat inside or
-    to other texts; ``rows`` has id, sha, n_bytes, copies of every row."""
+def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, counted, rows): ``texts`` has sha, body, found (see :func:`cut`) of the different texts with a repeat inside or
+    to other texts; ``counted`` has sha, n_bytes, copies of all different texts; ``rows`` has id, sha of every row."""
     body = _text(text_col)
     held = docs.select(F.col(f"`{id_col}`").alias("id"), body.alias("body"), F.unhex(F.sha2(body, 256)).alias("sha"))
-    counted = held.groupBy("sha").agg(F.count("*").alias("copies"), F.min("id").alias("one"), F.first(F.length("body")).cast("long").alias("n_bytes"))
+    counted = held.groupBy("sha").agg(F.count("*").alias("copies"), F.first(F.length("body")).cast("long").alias("n_bytes"))
     counted = Stored(counted, "suffix-texts").df
     found = marked(held.select("sha", "body")).groupBy("sha").agg(F.first("marks").alias("marks"))
     found = Stored(found, "suffix-marks")
@@ -303,9 +303,9 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     each = each.select(F.xxhash64("sha").alias("text"), "mark")
     twice = Stored(each.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "suffix-shared-marks").df
     shared = Stored(each.join(twice, "mark").groupBy("text").agg(F.collect_set("mark").alias("shared")), "suffix-shared").df
-    wanted = held.withColumn("text", F.xxhash64("sha")).join(shared, "text").join(counted.select("sha", "one"), "sha").filter(F.col("id").eqNullSafe(F.col("one")))
-    # Equal rows with equal ids are one text: one of them goes on.
-    texts = Stored(wanted.select("sha", "body", "shared").dropDuplicates(["sha"]), "suffix-candidates").df
+    # Of equal rows one goes on, picked before they meet.
+    wanted = held.select("sha", "body", F.xxhash64("sha").alias("text")).join(shared, "text").groupBy("sha")
+    texts = Stored(wanted.agg(F.first("body").alias("body"), F.first("shared").alias("shared")), "suffix-candidates").df
     made = Stored(pieces(texts), "suffix-pieces").df
     different = made.groupBy("piece").agg(F.first("mark").alias("mark"), F.sum("n").alias("n"), F.first("body").alias("body"))
     different = Stored(different.withColumn("size", F.length("body").cast("long")), "suffix-different").df
@@ -313,7 +313,7 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     places = made.select("sha", "piece", "starts").join(repeated, "piece")
     spans = places.groupBy("sha").agg(F.collect_list(F.struct("starts", "first", "last")).alias("found"))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.sha2(body, 256)).alias("sha"))
-    return texts.select("sha", "body").join(spans, "sha"), rows.join(counted.drop("one"), "sha")
+    return texts.select("sha", "body").join(spans, "sha"), counted, rows
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -325,10 +325,10 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts have 0 bytes; rows with equal ids and texts are two documents, so from ``LENGTH`` bytes on both go
     whole; texts shorter than that lose nothing; an empty table gives no row. Other columns are not read.
     """
-    texts, rows = removed_spans(docs, id_col=id_col, text_col=text_col)
-    after = Stored(cut(texts), "suffix-cut").df
+    texts, counted, rows = removed_spans(docs, id_col=id_col, text_col=text_col)
+    after = Stored(counted.join(cut(texts), "sha", "left"), "suffix-cut").df  # a row a text, so that many copies of one join in many tasks
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    out = rows.join(after, "sha", "left")
+    out = rows.join(after, "sha")
     return out.select(
         F.col("id").alias(id_col),
         "n_bytes",
