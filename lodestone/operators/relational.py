@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import sequences as S
+from lodestone.store import Stored, fresh, tasks
 
 
 def similar_pairs(a: DataFrame, b: DataFrame, threshold: int, blocks: bool = False) -> DataFrame:
@@ -34,20 +35,31 @@ def similar_pairs(a: DataFrame, b: DataFrame, threshold: int, blocks: bool = Fal
     return joined.select("seq_a", "seq_b").distinct().withColumn("score", score).filter(F.col("score") > threshold)
 
 
-def ranked(df: DataFrame, by: list[Column], bucket: Column, out: str) -> DataFrame:
-    """Adds the rank from 1 in the order ``by``. ``bucket`` never falls in that order, so rows are ranked bucket by bucket, in as many tasks as there
-    are buckets, and each is moved up by the sizes of those before it; only a row a bucket is ever in one task."""
-    held = df.withColumn("__bucket", bucket)
-    local = held.withColumn(out, F.row_number().over(Window.partitionBy("__bucket").orderBy(*by)).cast("long"))
-    sizes = held.groupBy("__bucket").agg(F.count("*").alias("__size"))
-    before = sizes.select(F.col("__bucket").alias("__key"), (F.sum("__size").over(Window.orderBy("__bucket")) - F.col("__size")).alias("__before"))
-    return local.join(before, F.col("__bucket").eqNullSafe(F.col("__key"))).withColumn(out, F.col(out) + F.col("__before")).drop("__bucket", "__key", "__before")
+def ranked(df: DataFrame, by: list[Column], out: str) -> DataFrame:
+    """Adds the rank from 1 in the order ``by`` (long). Ties take an order of their own, so that copies of one key do not share a task; end
+    ``by`` with a unique column where reruns must agree.
 
-
-def zip_by_order(a: DataFrame, b: DataFrame, by_a: list[Column], by_b: list[Column], bucket_a: Column | None = None, bucket_b: Column | None = None) -> DataFrame:
-    """Rows of equal rank side by side, to the shorter length. Buckets as in :func:`ranked`; a side without is ranked in one task."""
-    x, y = (ranked(df, by, F.lit(0) if bucket is None else bucket, "pos") for df, by, bucket in ((a, by_a, bucket_a), (b, by_b, bucket_b)))
-    return x.join(y, "pos")
+    Rows are dealt to ranges whose bounds Spark samples, sorted there and stored with their place. Ranges ascend, so a rank is the place in
+    the range plus the sizes of the ranges before it: no task sees more than its range, and the driver one number a range.
+    """
+    spark, tie, at = df.sparkSession, fresh(df, "ranked_tie"), fresh(df, "ranked_at")
+    order = [*by, F.col(tie)]
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order)
+    held = Stored(dealt.withColumn(at, F.monotonically_increasing_id()).drop(tie), "ranked").df
+    part = F.shiftright(at, 33)  # the range's number; the lower 33 bits are the place in it
+    sizes = sorted(map(tuple, held.groupBy(part.alias("part")).agg(F.count("*")).collect()))
+    before, moves = 0, []
+    for k, n in sizes:
+        moves.append((k, before - (k << 33) + 1))
+        before += n
+    ranges = spark.createDataFrame(moves, "ranked_part long, ranked_move long")
+    moved = held.join(F.broadcast(ranges), part == F.col("ranked_part")).withColumn(out, F.col(at) + F.col("ranked_move"))
+    return moved.drop(at, "ranked_part", "ranked_move")
+
+
+def zip_by_order(a: DataFrame, b: DataFrame, by_a: list[Column], by_b: list[Column]) -> DataFrame:
+    """Rows of equal rank side by side, to the shorter length. See :func:`ranked`."""
+    return ranked(a, by_a, "pos").join(ranked(b, by_b, "pos"), "pos")
 
 
 def duplicated(df: DataFrame, key: str, at_least: int = 2) -> DataFrame:

@@ -1,5 +1,8 @@
 """Literal goldens and invariants."""
 
+import hashlib
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +66,22 @@ def test_primes(spark):
     assert got == [n for n in range(2, 200) if all(n % k for k in range(2, n))]
 
 
+def test_wide_primes(spark):
+    """Strong pseudoprimes to few bases, Carmichael numbers, squares of primes, products of two primes and primes up to 2**63 - 25."""
+    primes = [2, 41, 1681 + 12, 2147483647, 3037000493, 3037000507, 4294967291, 999999999989, 1000000000000000003, 9223372036854775783]
+    others = [-7, 0, 1, 1681, 2047, 561, 1373653, 25326001, 3215031751, 3474749660383, 341550071728321, 3825123056546413051, 2147483647 * 2147483629, 3037000493**2, 2**62, 9223372036854775807]
+    got = {r["n"]: r["p"] for r in spark.createDataFrame([(n,) for n in primes + others], "n long").select("n", M.is_prime(F.col("n")).alias("p")).collect()}
+    assert got == dict.fromkeys(primes, True) | dict.fromkeys(others, False)
+    assert one(spark, M.is_prime(F.lit(None).cast("long"))) is None
+
+
+def test_large_factorials(spark):
+    ks = [-1, 0, 1, 2, 17, 18, 20, 21, 33, 34, 100, 200, 1000, 9001, None]
+    got = {r["k"]: r["f"] for r in spark.createDataFrame([(k,) for k in ks], "k int").select("k", M.factorial_text(F.col("k")).alias("f")).collect()}
+    assert got == {k: str(math.factorial(k)) if k is not None and 0 <= k <= 9000 else None for k in ks}
+    assert got[21] == "51090942171709440000"
+
+
 def test_all_codons(spark):
     assert S.codon_dim(spark).select("codon").distinct().count() == 64
 
@@ -85,10 +104,38 @@ def test_similar_pairs_of_all_lengths(spark):
 
 def test_ranked(spark):
     rng = np.random.default_rng(6)
-    rows = [(int(x), k) for k, x in enumerate(rng.integers(-50, 50, 300))]
+    rows = [(None if x > 45 else int(x), k) for k, x in enumerate(rng.integers(-50, 50, 300))]
     df = spark.createDataFrame(rows, "v int, k int")
-    got = relational.ranked(df, [F.col("v"), F.col("k")], F.floor(F.col("v") / 7), "at").collect()
-    assert [(r["v"], r["k"]) for r in sorted(got, key=lambda r: r["at"])] == sorted(rows) and sorted(r["at"] for r in got) == list(range(1, 301))
+    got = relational.ranked(df, [F.col("v").desc_nulls_first(), F.col("k")], "at").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, -(r[0] or 0), r[1]))
+    assert [(r["v"], r["k"]) for r in sorted(got, key=lambda r: r["at"])] == want and sorted(r["at"] for r in got) == list(range(1, 301))
+    assert relational.ranked(df.limit(0), [F.col("v")], "at").count() == 0
+
+
+def test_ranges_of_skewed_keys_are_even(spark):
+    """A third of the rows has one key, the others crowd near it; columns may have the names in use inside."""
+    rng = np.random.default_rng(7)
+    prices = np.r_[np.full(4000, 10.0), 10 + rng.exponential(0.01, 8000)]
+    df = spark.createDataFrame([(float(p), k) for k, p in enumerate(prices)], "price double, ranked_at int")
+    got = relational.ranked(df, [F.col("price")], "pos")
+    assert sorted(r["pos"] for r in got.collect()) == list(range(1, 12001))
+    files = got.groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 4 and max(r["count"] for r in files) <= 2 * 12000 / len(files)
+    assert [r["price"] for r in got.orderBy("pos").select("price").collect()] == sorted(prices)
+
+
+def test_exact_split(spark):
+    """As many rows as asked for, the same as by sorting; copies of one row, ids of many rows and null ids among them."""
+    ids = [*range(900), *[7] * 600, *[None] * 60]
+    df = spark.createDataFrame([(i, k % 100) for k, i in enumerate(ids)], "id int, v int")
+    for share in (0.0, 0.013, 0.2, 0.5, 1.0):
+        assert regression.exact_split(df, "id", share, 5).filter("is_test").count() == math.ceil(len(ids) * share)
+    first = sorted(range(900), key=lambda i: hashlib.md5(f"5:{i}".encode()).hexdigest())[:180]
+    got = regression.exact_split(spark.range(900), "id", 0.2, 5)
+    assert {r["id"] for r in got.filter("is_test").collect()} == set(first) and got.columns == ["id", "is_test"]
+    plan = got._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Exchange", "Window", "Sort"))
+    assert regression.exact_split(spark.range(0), "id", 0.2, 5).count() == 0
 
 
 def test_matrix(spark):
@@ -106,10 +153,46 @@ def test_regression(spark):
     model = regression.fit(df, ["a", "b"], "y")
     want = np.linalg.lstsq(np.c_[x, np.ones(300)], y, rcond=None)[0]
     assert np.allclose([*model.coefficients, model.intercept], want)
-    assert np.allclose(regression.two_feature_least_squares(df, "a", "b", "y").first(), want)
+    row = regression.least_squares(df, ["a", "b"], "y").first()
+    assert np.allclose([*row["coefficients"], row["intercept"]], want)
     assert regression.r2(regression.predict(model, df, ["a", "b"]), "y").first()[0] > 0.99
 
 
+def test_least_squares_of_many_features(spark):
+    """Against a solver, with nulls, names with dots and clashing ones; dependent columns and no rows have no solution."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 9)) @ rng.normal(size=(9, 9)) + rng.normal(50, 20, 9)
+    y = 5 + x @ rng.normal(size=9) + rng.normal(scale=0.5, size=500)
+    names = [*(f"f.{k}" for k in range(8)), "intercept"]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in np.c_[x, y]], ", ".join(f"`{c}` double" for c in [*names, "y"]))
+    odd = df.union(df.limit(3).withColumn("f.3", F.lit(None).cast("double"))).union(df.limit(2).withColumn("y", F.lit(float("nan"))))
+    model = regression.least_squares(odd, names, "y")
+    want = np.linalg.lstsq(np.c_[x, np.ones(500)], y, rcond=None)[0]
+    assert np.allclose([*model.first()["coefficients"], model.first()["intercept"]], want, rtol=1e-7)
+    said = regression.apply_row(df, model, names)
+    assert np.allclose([r["prediction"] for r in said.collect()], np.c_[x, np.ones(500)] @ want) and said.columns == [*df.columns, "prediction"]
+    twice = df.withColumn("z", F.col("`f.0`") * 2)
+    for bad in (regression.least_squares(twice, [*names, "z"], "y"), regression.least_squares(df.limit(0), names, "y")):
+        assert tuple(bad.first()) == (None, None)
+
+
+def test_scores_file(spark, scores_csv):
+    """Both targets of a file of simulated scores, by name and by place (``--scores-csv``; values fixed by the file)."""
+    df = sources.read_csv(spark, scores_csv)
+    names = df.columns
+    want = {
+        "disease_score": ([2.000003, 1.799989, 3.500002, 4.000005, 1.000091], 29.999383, 0.9999999999757),
+        "disease_score_fluct": ([2.056408, 2.237787, 4.419046, 4.350225, -19.158318], -86.831289, 0.690443714),
+    }
+    assert df.count() == 60
+    for target, (coefficients, intercept, r2) in want.items():
+        for data in (sources.features_and_target(df, names[:5], target), sources.by_position(df, slice(0, 5), names.index(target))):
+            model = regression.least_squares(data, names[:5], "label")
+            row = model.first()
+            assert np.allclose(row["coefficients"], coefficients, atol=1e-6) and abs(row["intercept"] - intercept) < 1e-6
+            assert abs(regression.r2(regression.apply_row(data, model, names[:5]), "label").first()[0] - r2) < 1e-9
+
+
 def test_text_files_and_streams(spark, tmp_path):
     df = spark.createDataFrame([("1",), ("2",), ("x",), ("3",)], "value string")
     assert sources.write_text(df, str(tmp_path / "t")) == 4
