@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, katz, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_counts, url_filters, warc
+from lodestone.llm import decontamination, katz, line_dedup, manifest, mixing, quality_rules, simhash, suffix_dedup, token_counts, url_filters, warc
 from lodestone.llm.store import Stored, table
 
 
@@ -92,6 +92,12 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.fit_and_score(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: leaf, roots, digest of its proof, and whether the document as it is found later still leads to the root. Null
+    values have their own mark, equal rows are leaves of their own; no documents give no rows."""
+    return manifest.verified_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,6 +111,7 @@ QUERIES = {
         op8_url_filters,
         op9_line_dedup,
         op10_katz_scores,
+        op13_merkle_manifest,
     )
 }
-ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op7_warc_fixity": warc.ORACLE}
+ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op7_warc_fixity": warc.ORACLE, "op13_merkle_manifest": manifest.ORACLE}
