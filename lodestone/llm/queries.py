@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, katz, line_dedup, manifest, mixing, quality_rules, simhash, suffix_dedup, token_counts, url_filters, warc
+from lodestone.llm import centroids, decontamination, katz, line_dedup, manifest, mixing, quality_rules, simhash, suffix_dedup, token_counts, url_filters, warc
 from lodestone.llm.store import Stored, table
 
 
@@ -92,6 +92,16 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.fit_and_score(table(spark, sf_dir, "documents"))
 
 
+#: Clusters and rounds of op11.
+CLUSTERS, ROUNDS = 40, 5
+
+
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector of 64 finite components: cluster, squared distance, inertias, digest of the centroid. Other vectors are left out; a
+    null id starts no cluster; no vectors give no rows."""
+    return centroids.clusters(table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: leaf, roots, digest of its proof, and whether the document as it is found later still leads to the root. Null
     values have their own mark, equal rows are leaves of their own; no documents give no rows."""
@@ -111,7 +121,13 @@ QUERIES = {
         op8_url_filters,
         op9_line_dedup,
         op10_katz_scores,
+        op11_centroid_clusters,
         op13_merkle_manifest,
     )
 }
-ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op7_warc_fixity": warc.ORACLE, "op13_merkle_manifest": manifest.ORACLE}
+ORACLE_SQL = {
+    "op2_mixing": mixing.ORACLE,
+    "op7_warc_fixity": warc.ORACLE,
+    "op11_centroid_clusters": centroids.oracle(CLUSTERS, ROUNDS),
+    "op13_merkle_manifest": manifest.ORACLE,
+}
