@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import centroids, decontamination, katz, line_dedup, manifest, mixing, quality_rules, simhash, suffix_dedup, token_counts, url_filters, warc
+from lodestone.llm import centroids, decontamination, embedding_dedup, katz, line_dedup, manifest, mixing, quality_rules, simhash, suffix_dedup, token_counts, url_filters, warc
 from lodestone.llm.store import Stored, table
 
 
@@ -102,6 +102,12 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS)
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector: direct links, least id within reach, whether that is its own. Vectors without a direction link with nothing; equal
+    ones link; no vectors give no rows."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: leaf, roots, digest of its proof, and whether the document as it is found later still leads to the root. Null
     values have their own mark, equal rows are leaves of their own; no documents give no rows."""
@@ -122,6 +128,7 @@ QUERIES = {
         op9_line_dedup,
         op10_katz_scores,
         op11_centroid_clusters,
+        op12_embedding_dedup,
         op13_merkle_manifest,
     )
 }
@@ -129,5 +136,6 @@ ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE,
     "op7_warc_fixity": warc.ORACLE,
     "op11_centroid_clusters": centroids.oracle(CLUSTERS, ROUNDS),
+    "op12_embedding_dedup": embedding_dedup.ORACLE,
     "op13_merkle_manifest": manifest.ORACLE,
 }
