@@ -14,6 +14,7 @@ from lodestone.functions import numbers as M
 from lodestone.functions import sequences as S
 from lodestone.functions import text as T
 from lodestone.operators import matrix, regression, relational
+from lodestone.streaming import sentinel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -321,6 +322,26 @@ def pricing_summary(spark, sf_dir):
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
+UNTIL = "SELECT event_id, user_id, event_type FROM events e WHERE NOT EXISTS (FROM events s WHERE s.event_type = 'error' AND s.user_id IS NOT DISTINCT FROM e.user_id AND (s.ts < e.ts OR s.ts = e.ts AND s.event_id <= e.event_id))"
+
+
+@query(UNTIL)
+def until_sentinel(spark, sf_dir):
+    """Every user's events before the first error."""
+    e = sources.load(spark, sf_dir, "events")
+    return sources.until_sentinel(e, F.struct("ts", "event_id"), "event_type", "error", "user_id").select("event_id", "user_id", "event_type")
+
+
+@query(UNTIL)
+def stream_until_sentinel(spark, sf_dir):
+    """The same of the events as a stream, which is stopped once and started again."""
+    e = sources.load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    stream = sources.load_stream(spark, sf_dir, "events", e.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    tick = e.agg(F.lit(None).cast(L).alias("user_id"), (F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 2 HOURS")).alias("ts"), F.lit(None).cast(L).alias("event_id"), F.lit("").alias("event_type"))
+    rows = sentinel.replay_until_sentinel(stream, tick, "user_id", "ts", "event_id", "event_type", "error", "1 hour")
+    return rows.select("event_id", "user_id", "event_type")
+
+
 # Sets and joins -----------------------------------------------------------------------------------------------------
 def _two(spark, sf_dir):
     o = sources.load(spark, sf_dir, "orders")

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_stream(spark: SparkSession, sf_dir: str, name: str, schema: StructType) -> DataFrame:
+    """A table as a stream of its files. The path is a pattern, as a stream's plain path must be a folder and a table may be one file."""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """With header; types inferred unless a schema is given."""
     reader = spark.read.option("header", True)
@@ -51,11 +57,16 @@ def grid(spark: SparkSession, a: float, b: float, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id"), (F.lit(float(a)) + F.col("id") * ((b - a) / max(n - 1, 1))).alias("x"))
 
 
-def until_sentinel(df: DataFrame, order: Column, value: str, sentinel: str) -> DataFrame:
-    """Rows before the first one that holds the sentinel, by a total order. Two passes over ``df``: one finds that row, of which only the order
-    travels, so no rows are gathered."""
-    stop = df.filter(F.col(value) == sentinel).agg(F.min(order).alias("__stop"))
-    return df.join(F.broadcast(stop), F.col("__stop").isNull() | (order < F.col("__stop"))).drop("__stop")
+def until_sentinel(df: DataFrame, order: Column, value: str, sentinel: str, key: str | None = None) -> DataFrame:
+    """Rows before the first one that holds the sentinel, by a total order, of all or of every ``key`` (null is one). Two passes over ``df``: one
+    finds those rows, of which only the order travels, so no rows are gathered. ``streaming.sentinel`` does it on a stream."""
+    stops = df.filter(F.col(value) == sentinel)
+    if key is None:
+        stop = stops.agg(F.min(order).alias("__stop"))
+        return df.join(F.broadcast(stop), F.col("__stop").isNull() | (order < F.col("__stop"))).drop("__stop")
+    stop = stops.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__stop"))
+    joined = df.join(stop, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return joined.filter(F.col("__stop").isNull() | (order < F.col("__stop"))).drop("__key", "__stop")
 
 
 def coo(spark: SparkSession, rows: list[list[float]]) -> DataFrame:
