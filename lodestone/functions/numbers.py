@@ -126,6 +126,11 @@ def price(amount: Column, tax: float = 0.07, discount: float = 0.0) -> Column:
     return amount + amount * tax - discount
 
 
+def linspace(a: Column, b: Column, n: int) -> Column:
+    """n evenly spaced numbers from a to b, both ends included."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: a + k.cast("double") * ((b - a) / max(n - 1, 1)))
+
+
 def polynomial(x: Column, *coefficients: float) -> Column:
     """Highest power first, by Horner's rule."""
     out = F.lit(float(coefficients[0]))

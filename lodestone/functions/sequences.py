@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import chars
+
 #: Label and codons of the genetic code, covering all 64 codons.
 CODONS = {
     "Phenylalanine (Phe, F)": "UUU UUC",
@@ -76,12 +78,15 @@ def share_of(s: Column, letters: str) -> Column:
 
 
 def matches(a: Column, b: Column) -> Column:
-    """Positions with equal characters, over the shorter length."""
-    n = F.least(F.length(a), F.length(b))
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(at, lambda i: F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))))
+    """Positions with equal characters, over the shorter length. Each text is split once."""
+    return F.size(F.filter(F.zip_with(chars(a), chars(b), lambda x, y: x == y), lambda same: same))
 
 
 def hamming(a: Column, b: Column) -> Column:
     """Positions that differ; null for unequal lengths."""
     return F.when(F.length(a) == F.length(b), F.length(a) - matches(a, b))
+
+
+def hamming_status(a: Column, b: Column) -> Column:
+    """Why :func:`hamming` is a number or null."""
+    return F.when(a.isNull() | b.isNull(), "a text is missing").when(F.length(a) == F.length(b), "ok").otherwise("lengths differ")

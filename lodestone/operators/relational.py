@@ -9,30 +9,42 @@ from lodestone.functions import sequences as S
 from lodestone.store import Stored, fresh, tasks
 
 
+def _grams(df: DataFrame, threshold: int) -> DataFrame:
+    """``seq`` with a row for each of its ``gram``s (width, number, text): those that a text of any length up to its own may need."""
+    t, n = threshold, F.length("seq")
+
+    def cut(w: int):
+        """Grams for shorter texts of ``low`` to ``top`` characters, the band of this width."""
+        low, top = (w + 1) * t // w + 1, w * t // (w - 1) if w > 1 else None
+        shorter = F.least(n, F.lit(top)) if top else n
+        numbers = F.when(n >= low, F.sequence(F.lit(0), shorter - t - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda k: F.struct(F.lit(w).alias("width"), k.alias("number"), F.substr("seq", k * w + 1, F.lit(w)).alias("text")))
+
+    widths = sorted({m // (m - t) for m in range(t + 1, 2 * t + 2)})  # beyond, all are 1
+    return df.filter(n > t).select("seq", n.alias("n"), F.explode(F.concat(*[cut(w) for w in widths])).alias("gram"))
+
+
 def similar_pairs(a: DataFrame, b: DataFrame, threshold: int, blocks: bool = False) -> DataFrame:
     """Pairs (seq_a, seq_b, score) of texts ``seq`` with more than ``threshold`` equal positions, up to the shorter length.
 
-    With ``blocks`` every different pair once, by an equi-join: of n positions with over t equal ones at most n - t - 1 differ, so of
-    n - t blocks of them one at least is equal. n is the shorter length, so a text is cut to every shorter length that occurs on the other
-    side. Lossless, and the way to go at scale; without it every pair is compared.
+    With ``blocks`` every different pair once, by an equi-join on positional grams: if the shorter text has n characters, at most n - t - 1 of
+    them differ, so of its first n - t grams of n // (n - t) characters, side by side, one at least is equal. That width falls from t + 1 to
+    1 as n grows to 2 t + 1 and each width serves a band of lengths, so a text writes a row a character and some t log t for the bands
+    of shorter texts, whatever lengths there are. Lossless, and the way to go at scale; without it every pair is compared.
     """
     left, right = a.select(F.col("seq").alias("seq_a")), b.select(F.col("seq").alias("seq_b"))
     score = S.matches(F.col("seq_a"), F.col("seq_b"))
     if not blocks:
         return left.join(right, score > threshold).withColumn("score", score)
-
-    def keyed(df: DataFrame, other: DataFrame, c: str, d: str) -> DataFrame:
-        own = df.distinct().withColumn(f"n_{c}", F.length(c)).filter(F.col(f"n_{c}") > threshold)
-        lengths = other.select(F.length(d).alias("n")).distinct()  # as many rows as there are lengths
-        shorter = own.join(lengths, F.col("n") < F.col(f"n_{c}")).select(c, f"n_{c}", "n").filter(F.col("n") > threshold)
-        own = own.withColumn("n", F.col(f"n_{c}")).select(c, f"n_{c}", "n").union(shorter)
-        count = F.col("n") - threshold
-        cut = lambda k: F.floor(k * F.col("n") / count).cast("int")
-        block = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(k.alias("no"), F.substr(F.col(c), cut(k) + 1, cut(k + 1) - cut(k)).alias("text")))
-        return own.withColumn("block", F.explode(block))
-
-    joined = keyed(left, right, "seq_a", "seq_b").join(keyed(right, left, "seq_b", "seq_a"), ["n", "block"]).filter(F.col("n") == F.least("n_seq_a", "n_seq_b"))
-    return joined.select("seq_a", "seq_b").distinct().withColumn("score", score).filter(F.col("score") > threshold)
+    x, y = (_grams(df.select("seq").distinct(), threshold).toDF(f"seq_{k}", f"n_{k}", "gram") for k, df in (("a", a), ("b", b)))
+    n = F.least("n_a", "n_b")
+    rest = n - threshold
+    width = F.floor(n / rest).cast("int")
+    met = x.join(y, "gram").filter((F.col("gram.width") == width) & (F.col("gram.number") < rest))
+    gram = lambda c, k: F.substr(F.col(c), k * width + 1, width)
+    before = F.when(F.col("gram.number") > 0, F.sequence(F.lit(0), F.col("gram.number") - 1)).otherwise(F.array().cast("array<int>"))
+    first = ~F.exists(before, lambda k: gram("seq_a", k) == gram("seq_b", k))  # a pair counts where it first meets
+    return met.filter(first).select("seq_a", "seq_b", score.alias("score")).filter(F.col("score") > threshold)
 
 
 def ranked(df: DataFrame, by: list[Column], out: str) -> DataFrame:

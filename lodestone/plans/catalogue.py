@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import sources
+from lodestone.functions import errors as E
 from lodestone.functions import nested as N
 from lodestone.functions import numbers as M
 from lodestone.functions import sequences as S
 from lodestone.functions import text as T
 from lodestone.operators import matrix, regression, relational
+from lodestone.store import scratch
 from lodestone.streaming import sentinel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +175,20 @@ def hamming_pairs(spark, sf_dir):
     return a.join(b, "len").filter("ka < kb").select("a", "b", S.hamming(F.col("a"), F.col("b")).cast(L).alias("d"))
 
 
+NAMES = "(SELECT DISTINCT concat(p_name, ' ', p_type) AS s FROM part)"
+SAME = "len(list_filter(range(1, least(length(a.s), length(b.s)) + 1), lambda i: substr(a.s, i, 1) = substr(b.s, i, 1)))"
+
+
+@query(f"SELECT a.s AS seq_a, b.s AS seq_b, {SAME}::BIGINT AS score FROM {NAMES} a, {NAMES} b WHERE {SAME} > 11")
+def similar_names(spark, sf_dir):
+    """Parts' names with their types, of many lengths, that agree in more than eleven places."""
+    n = sources.load(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" "), "p_type").alias("seq"))
+    return relational.similar_pairs(n, n, 11, blocks=True).withColumn("score", F.col("score").cast(L))
+
+
+simple("hamming_status", "part", "p_partkey", "p_name", {"d": lambda c: S.hamming(c, F.col("p_type")).cast(L), "status": lambda c: S.hamming_status(c, F.col("p_type"))}, {"d": "CASE WHEN length(p_name) = length(p_type) THEN hamming(p_name, p_type) END::BIGINT", "status": "CASE WHEN length(p_name) = length(p_type) THEN 'ok' ELSE 'lengths differ' END"})
+
+
 # Numbers ------------------------------------------------------------------------------------------------------------
 simple("prime_flag", "part", "p_partkey", "p_partkey", {"prime": M.is_prime}, {"prime": "p_partkey > 1 AND len(list_filter(range(2, greatest(2, floor(sqrt(p_partkey))::BIGINT) + 1), lambda i: i < p_partkey AND p_partkey % i = 0)) = 0"})
 #: Keys times a number with many small factors and one more: primes are frequent among them, and none has a factor below 17.
@@ -203,9 +219,10 @@ simple(
 simple("record_default", "events", "event_id", "event_type", {"r": lambda c: F.coalesce(F.when(c == "click", c), F.lit("none"))}, {"r": "CASE WHEN event_type = 'click' THEN event_type ELSE 'none' END"})
 
 
-@query("WITH RECURSIVE f(n, a, b) AS (SELECT 0, 1::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 40) SELECT n::BIGINT AS n, a AS term FROM f")
+@query("WITH RECURSIVE f(n, a, b) AS (SELECT 0, 1::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 50) SELECT p_partkey, n::BIGINT AS n, a AS term FROM part JOIN f ON n <= p_size")
 def fibonacci(spark, sf_dir):
-    return spark.range(1).select(F.posexplode(M.fibonacci_terms(F.lit(40))).alias("n", "term")).select(F.col("n").cast(L).alias("n"), "term")
+    """Of every part the terms up to its size."""
+    return sources.load(spark, sf_dir, "part").select("p_partkey", F.posexplode(M.fibonacci_terms(F.col("p_size"))).alias("n", "term")).withColumn("n", F.col("n").cast(L))
 
 
 def _digits(name, f, sql):
@@ -220,20 +237,21 @@ _digits("binary_digits_lsb", M.binary_digits, "reverse(bin(o_orderkey))")
 _digits("digits", M.decimal_digits, "o_orderkey::VARCHAR")
 
 
-@query("SELECT sum(i)::BIGINT AS total, sum(i * i)::BIGINT AS squares FROM range(1, 101) t(i)")
+@query("SELECT p_partkey, (SELECT sum(i) FROM range(1, p_size + 1) t(i))::BIGINT AS total, (SELECT sum(i * i) FROM range(1, p_size + 1) t(i))::BIGINT AS squares FROM part")
 def sum_1_to_n(spark, sf_dir):
-    return sources.numbers(spark, 1, 101).agg(F.sum("id").alias("total"), F.sum(F.col("id") * F.col("id")).alias("squares"))
+    """Of every part the sums of 1 to its size and of their squares."""
+    n = sources.load(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(1).cast(L), F.col("p_size").cast(L))).alias("i"))
+    return n.groupBy("p_partkey").agg(F.sum("i").alias("total"), F.sum(F.col("i") * F.col("i")).alias("squares"))
 
 
-@query("SELECT i::BIGINT AS id, i::DOUBLE * (10.0::DOUBLE / 49) - 5.0::DOUBLE AS x FROM range(50) t(i)")
+@query("SELECT c_custkey, unnest(range(5))::BIGINT AS id, round(c_acctbal + unnest(range(5))::DOUBLE * ((0.0::DOUBLE - c_acctbal) / 4), 6) AS x FROM customer")
 def linspace_grid(spark, sf_dir):
-    return spark.range(50).select("id", F.col("id").cast("double") * F.lit(10.0 / 49) - F.lit(5.0)).toDF("id", "x")
+    """Five even steps from every balance to nothing."""
+    c = sources.load(spark, sf_dir, "customer")
+    return c.select("c_custkey", F.posexplode(M.linspace(F.col("c_acctbal"), F.lit(0.0), 5)).alias("id", "x")).select("c_custkey", F.col("id").cast(L).alias("id"), F.round("x", 6).alias("x"))
 
 
-@query("SELECT i::BIGINT AS id, (2.0::DOUBLE * i + 3.0) * i + 4.0 AS y, 2.0::DOUBLE * i + 3.0 AS line FROM range(-20, 21) t(i)")
-def polynomial_grid(spark, sf_dir):
-    x = F.col("id").cast("double")
-    return sources.numbers(spark, -20, 21).select("id", M.polynomial(x, 2, 3, 4).alias("y"), M.polynomial(x, 2, 3).alias("line"))
+simple("polynomial_grid", "part", "p_partkey", "p_size", {"y": lambda c: M.polynomial(c.cast("double") - 25, 2, 3, 4), "line": lambda c: M.polynomial(c.cast("double") - 25, 2, 3), "square": lambda c: M.polynomial(c.cast("double") - 25, 1, 0, 0)}, {"y": "(2.0::DOUBLE * (p_size - 25) + 3.0) * (p_size - 25) + 4.0", "line": "2.0::DOUBLE * (p_size - 25) + 3.0", "square": "((p_size - 25) * (p_size - 25))::DOUBLE"})
 
 
 @query("SELECT l_returnflag, round(sum(exp(-pow(l_quantity, 2.0) / 450.0::DOUBLE) / (15.0::DOUBLE * sqrt(2 * pi()))), 6) AS density FROM lineitem GROUP BY l_returnflag")
@@ -241,20 +259,24 @@ def gauss_density(spark, sf_dir):
     return sources.load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(M.gaussian(F.col("l_quantity"))), 6).alias("density"))
 
 
-@query("SELECT (i * i)::BIGINT AS square FROM range(10, 0, -1) t(i) WHERE i % 2 <> 0")
+@query("SELECT o_orderkey, (o_orderkey * o_orderkey)::BIGINT AS square FROM orders WHERE o_orderkey % 2 <> 0")
 def odd_squares(spark, sf_dir):
-    return sources.numbers(spark, 10, 0, -1).filter(F.pmod("id", F.lit(2)) != 0).select((F.col("id") * F.col("id")).alias("square"))
+    """Even keys are skipped, the others squared."""
+    return sources.load(spark, sf_dir, "orders").filter(F.pmod("o_orderkey", F.lit(2)) != 0).select("o_orderkey", (F.col("o_orderkey") * F.col("o_orderkey")).alias("square"))
 
 
-@query("SELECT i::BIGINT AS id FROM range(3, 30, 4) t(i)")
+@query("SELECT p_partkey, unnest(range(3, p_size::BIGINT, 4))::BIGINT AS id FROM part")
 def range_udtf(spark, sf_dir):
+    """A generator as a table function, called for every row."""
+
     @F.udtf(returnType="id long")
     class Counting:
         def eval(self, start: int, stop: int, step: int):
             for k in range(start, stop, step):
                 yield (k,)
 
-    return Counting(F.lit(3), F.lit(30), F.lit(4))
+    part = sources.load(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return part.lateralJoin(Counting(F.lit(3), F.col("p_size").outer(), F.lit(4))).select("p_partkey", "id")
 
 
 @query("SELECT p_partkey, unnest(list_transform(range(1, 6), lambda x: (x * x + p_size)::BIGINT)) AS y FROM part")
@@ -407,7 +429,7 @@ for _name, _f, _sql in (
     ("map_merge", lambda d: _entries(d, N.merge_maps(F.col("m"), F.col("o"))), _K.format(k="'a', 'b', 'c'", v="c_custkey, c_custkey * 2, c_custkey * 3")),
     ("map_values_min_max", lambda d: d.select("c_custkey", F.array_min(F.map_values("m")).alias("lo"), F.array_max(F.map_values("m")).alias("hi")), "SELECT c_custkey, c_custkey AS lo, c_custkey + 1 AS hi FROM customer"),
     ("map_from_pairs", lambda d: _entries(d, N.map_from_pairs(F.array(*[F.struct(F.lit(k).alias("k"), F.get("arr", F.lit(i)).alias("v")) for i, k in enumerate("pq")]))), _K.format(k="'p', 'q'", v="c_custkey, c_custkey + 1")),
-    ("map_from_two_characters", lambda d: d.select("c_custkey", F.explode(N.map_from_two_characters(F.array(F.lit("ab"), F.lit("cd")))).alias("k", "v")), "SELECT c_custkey, unnest(['a', 'c']) AS k, unnest(['b', 'd']) AS v FROM customer"),
+    ("map_from_two_characters", lambda d: d.select("c_custkey", F.explode(N.map_from_two_characters(F.array(F.right(F.lpad(F.col("c_custkey").cast("string"), 4, "0"), F.lit(2)), F.left(F.lpad(F.col("c_custkey").cast("string"), 4, "0"), F.lit(2))))).alias("k", "v")), "SELECT c_custkey, s[3] AS k, s[4] AS v FROM (SELECT c_custkey, right('0000' || c_custkey, greatest(4, length(c_custkey::VARCHAR)))[:4] AS s FROM customer) WHERE s[3] <> s[1] UNION ALL SELECT c_custkey, s[1], s[2] FROM (SELECT c_custkey, right('0000' || c_custkey, greatest(4, length(c_custkey::VARCHAR)))[:4] AS s FROM customer)"),
     ("map_comprehension", lambda d: _entries(d, N.map_where(F.col("arr"), lambda x: x % 2 == 0, lambda x: x * x)).withColumn("k", F.col("k").cast(L)), "SELECT c_custkey, k, k * k AS v FROM (SELECT c_custkey, unnest([c_custkey, c_custkey + 1, c_custkey + 2]) AS k FROM customer) WHERE k % 2 = 0"),
     ("empty_collection", lambda d: d.select("c_custkey", N.truth(F.filter("arr", lambda x: x % 5 == 0)).alias("b")), "SELECT c_custkey, c_custkey % 5 IN (0, 3, 4) AS b FROM customer"),
     ("nested_literal", lambda d: d.select("c_custkey", F.explode(F.array(F.struct(F.lit("a").alias("x"), F.array(F.lit(1), F.col("c_custkey")).alias("y")), F.struct(F.lit("b").alias("x"), F.array(F.lit(2), F.lit(3).cast(L)).alias("y")))).alias("z")).select("c_custkey", "z.x", F.element_at("z.y", -1).alias("last")), "SELECT c_custkey, unnest(['a', 'b']) AS x, unnest([c_custkey, 3]) AS last FROM customer"),
@@ -415,14 +437,15 @@ for _name, _f, _sql in (
     ("map_entries", lambda d: _entries(d, F.col("m")), _K.format(k="'a', 'b'", v="c_custkey, c_custkey + 1")),
     ("map_insert", lambda d: _entries(d, N.merge_maps(F.col("m"), F.create_map(F.lit("z"), F.lit(0).cast(L)))), _K.format(k="'a', 'b', 'z'", v="c_custkey, c_custkey + 1, 0")),
     ("zip_to_map", lambda d: _entries(d, N.zip_to_map(F.array(F.lit("x"), F.lit("y")), F.col("arr"))), _K.format(k="'x', 'y'", v="c_custkey, c_custkey + 1")),
-    ("map_get_default", lambda d: d.select("c_custkey", N.get_or(F.col("m"), F.lit("q"), F.lit(-1).cast(L)).alias("v"), F.element_at("m", "a").alias("a")), "SELECT c_custkey, -1::BIGINT AS v, c_custkey AS a FROM customer"),
+    ("map_get_default", lambda d: d.select("c_custkey", N.get_or(F.map_filter("m", lambda k, v: v % 3 == 0), F.lit("a"), F.lit(-1).cast(L)).alias("v"), F.element_at("m", "a").alias("a")), "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE -1 END AS v, c_custkey AS a FROM customer"),
     ("map_values_sum", lambda d: d.select("c_custkey", F.aggregate(F.map_values("m"), F.lit(0).cast(L), lambda a, x: a + x).alias("s"), F.array_max(F.map_values("m")).alias("hi")), "SELECT c_custkey, 2 * c_custkey + 1 AS s, c_custkey + 1 AS hi FROM customer"),
-    ("map_key_membership", lambda d: d.select("c_custkey", F.map_contains_key("m", "a").alias("a"), F.map_contains_key("m", "z").alias("z")), "SELECT c_custkey, true AS a, false AS z FROM customer"),
+    ("map_key_membership", lambda d: d.select("c_custkey", *[F.map_contains_key(N.map_where(F.col("arr"), lambda x: x % 2 == 0, lambda x: x * x), F.lit(k).cast(L)).alias(f"has_{k}") for k in (4, 7)]), "SELECT c_custkey, c_custkey IN (2, 3, 4) AS has_4, false AS has_7 FROM customer"),
     ("array_get", lambda d: d.select("c_custkey", F.get("arr", F.lit(1)).alias("x"), F.element_at("arr", -1).alias("last"), F.coalesce(F.get("arr", F.lit(9)), F.lit(-1).cast(L)).alias("none")), "SELECT c_custkey, c_custkey + 1 AS x, c_custkey + 2 AS last, -1::BIGINT AS none FROM customer"),
     ("swap_ends", lambda d: d.select("c_custkey", F.posexplode(N.swap_ends(F.col("arr"))).alias("pos", "v")).withColumn("pos", F.col("pos").cast(L)), "SELECT c_custkey, unnest([0, 1, 2])::BIGINT AS pos, unnest([c_custkey + 2, c_custkey + 1, c_custkey]) AS v FROM customer"),
-    ("array_append", lambda d: d.select("c_custkey", F.size(F.array_append("arr", F.lit(1).cast(L))).cast(L).alias("n")), "SELECT c_custkey, 4::BIGINT AS n FROM customer"),
+    ("array_append", lambda d: d.select("c_custkey", F.posexplode(F.array_append("arr", F.col("c_custkey") * 7)).alias("pos", "v")).withColumn("pos", F.col("pos").cast(L)), "SELECT c_custkey, unnest([0, 1, 2, 3])::BIGINT AS pos, unnest([c_custkey, c_custkey + 1, c_custkey + 2, c_custkey * 7]) AS v FROM customer"),
     ("remove_value", lambda d: d.select("c_custkey", F.explode(F.array_remove("arr", F.col("c_custkey") + 1)).alias("v")), "SELECT c_custkey, unnest([c_custkey, c_custkey + 2]) AS v FROM customer"),
     ("array_zip_shortest", lambda d: d.select("c_custkey", F.explode(N.zip_shortest(F.col("arr"), F.array(F.lit("p"), F.lit("q")))).alias("z")).select("c_custkey", "z.a", "z.b"), "SELECT c_custkey, unnest([c_custkey, c_custkey + 1]) AS a, unnest(['p', 'q']) AS b FROM customer"),
+    ("array_sets", lambda d: d.select("c_custkey", *[F.array_join(F.array_sort(x), ",").alias(n) for n, x in (("both", F.array_intersect("arr", F.array(F.col("c_custkey") + 1, F.lit(5).cast(L)))), ("less", F.array_except("arr", F.array(F.col("c_custkey")))), ("either", F.array_union("arr", F.array(F.col("c_custkey") + 3))), ("one", N.symmetric_difference(F.col("arr"), F.array(F.col("c_custkey"), F.col("c_custkey") + 9))))], N.is_subset(F.array(F.lit(7).cast(L)), F.col("arr")).alias("within")), "SELECT c_custkey, array_to_string(list_sort(list_intersect(arr, [c_custkey + 1, 5])), ',') AS both, concat(c_custkey + 1, ',', c_custkey + 2) AS less, concat(c_custkey, ',', c_custkey + 1, ',', c_custkey + 2, ',', c_custkey + 3) AS either, concat(c_custkey + 1, ',', c_custkey + 2, ',', c_custkey + 9) AS one, c_custkey IN (5, 6, 7) AS within FROM (SELECT c_custkey, [c_custkey, c_custkey + 1, c_custkey + 2] AS arr FROM customer)"),
     ("safe_index", lambda d: d.select("c_custkey", F.try_element_at("arr", F.pmod(F.col("c_custkey"), F.lit(5)).cast("int") + 1).alias("v")).withColumn("v", F.coalesce("v", F.lit(-1).cast(L))), "SELECT c_custkey, CASE WHEN c_custkey % 5 < 3 THEN c_custkey + c_custkey % 5 ELSE -1 END AS v FROM customer"),
 ):
     QUERIES[_name] = lambda spark, sf_dir, f=_f: f(_maps(spark, sf_dir))
@@ -433,6 +456,76 @@ simple("try_cast_safe", "events", "event_id", "props", {"n": lambda c: F.regexp_
 simple("json_extract", "events", "event_id", "props", {"k": lambda c: F.get_json_object(c, "$.k")}, {"k": "json_extract_string(props, '$.k')"})
 
 
+GIVEN = "CASE event_id % 6 WHEN 0 THEN k WHEN 1 THEN props WHEN 2 THEN k || '.25' WHEN 3 THEN repeat('9' || k, 9) WHEN 4 THEN ' ' WHEN 5 THEN CASE WHEN k::INT % 2 = 0 THEN ' -' || k || ' ' END END"
+
+
+def _parsed(spark, sf_dir):
+    """What stands in the events' properties, whole or in part, as numbers."""
+    e = sources.load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    return e.select("event_id", E.whole_number(F.expr(GIVEN)).alias("n"))
+
+
+PARSED = f"(SELECT event_id, {GIVEN} AS given FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events))"
+CLASS = "CASE WHEN given IS NULL THEN 'MISSING' WHEN trim(given) = '' THEN 'EMPTY' WHEN length(given) > 18 AND given[1] = '9' THEN 'OUT_OF_RANGE' WHEN contains(given, '.') THEN 'FRACTION' WHEN given[1] = '{' THEN 'NOT_A_NUMBER' END"
+
+
+@query(f"SELECT event_id, {CLASS} AS error_class, given AS error_input FROM {PARSED} WHERE error_class IS NOT NULL")
+def failed_parses(spark, sf_dir):
+    """The rows that are put aside, each with why."""
+    return E.parted(_parsed(spark, sf_dir), "n")[1]
+
+
+@query(f"SELECT event_id, trim(given)::BIGINT AS n FROM {PARSED} WHERE {CLASS} IS NULL")
+def good_parses(spark, sf_dir):
+    return E.parted(_parsed(spark, sf_dir), "n")[0]
+
+
+@query("SELECT c_custkey, CASE WHEN i BETWEEN -3 AND 2 THEN c_custkey + ((i + 3) % 3) END AS v, CASE WHEN i NOT BETWEEN -3 AND 2 THEN 'INDEX' END AS error, CASE WHEN i NOT BETWEEN -3 AND 2 THEN i::VARCHAR END AS given FROM (SELECT c_custkey, c_custkey % 9 - 4 AS i FROM customer)")
+def checked_index(spark, sf_dir):
+    x = E.element(F.col("arr"), (F.col("c_custkey") % 9 - 4).cast("int"))
+    return _maps(spark, sf_dir).select("c_custkey", x["value"].alias("v"), x["error"]["class"].alias("error"), x["error"]["input"].alias("given"))
+
+
+# Files: written to the shared folder and read again -------------------------------------------------------------------
+PART = ["p_partkey", "p_name", "p_size", "p_retailprice"]
+
+
+def _part_csv(spark, sf_dir):
+    path = scratch(spark, "part")
+    sources.load(spark, sf_dir, "part").select(*PART).write.option("header", True).csv(path)
+    return path
+
+
+@query("SELECT p_partkey, p_name, p_size::DOUBLE AS p_size, p_retailprice AS label FROM part")
+def csv_declared(spark, sf_dir):
+    """A file with a header, its types declared, columns by name, one of them the target."""
+    held = sources.read_csv(spark, _part_csv(spark, sf_dir), "p_partkey long, p_name string, p_size int, p_retailprice double")
+    return held.select("p_partkey", "p_name").join(sources.features_and_target(held, ["p_partkey", "p_size"], "p_retailprice").withColumn("p_partkey", F.col("p_partkey").cast(L)), "p_partkey")
+
+
+@query("SELECT p_partkey, p_name, p_size::BIGINT AS p_size, p_retailprice AS label FROM part")
+def csv_inferred(spark, sf_dir):
+    """The same with types inferred and columns by place."""
+    held = sources.by_position(sources.read_csv(spark, _part_csv(spark, sf_dir)), slice(0, 3), 3)
+    return held.withColumns({c: F.col(c).cast(L) for c in ("p_partkey", "p_size")})
+
+
+@query("SELECT sum(length(p_name))::BIGINT AS characters, count(*)::BIGINT AS lines, count(*) FILTER (length(p_name) > 9)::BIGINT AS long_lines FROM part")
+def text_written(spark, sf_dir):
+    """Lines written, their characters as the writer counted them, and what is read again."""
+    path = scratch(spark, "names")
+    characters = sources.write_text(sources.load(spark, sf_dir, "part"), path, "p_name", exclusive=True)
+    return sources.read_lines(spark, path).agg(F.lit(characters).cast(L).alias("characters"), F.count("*").alias("lines"), F.count_if(F.length("value") > 9).alias("long_lines"))
+
+
+@query("SELECT n_name, length(concat(n_name, chr(10)))::BIGINT AS n FROM nation")
+def text_whole(spark, sf_dir):
+    """A file a nation, each read whole."""
+    path = scratch(spark, "nations")
+    sources.load(spark, sf_dir, "nation").select("n_name", F.col("n_name").alias("value")).write.partitionBy("n_name").text(path)
+    return sources.read_whole(spark, path).select("n_name", F.length("value").cast(L).alias("n"))
+
+
 # Matrices and regression --------------------------------------------------------------------------------------------
 def _coo(spark, sf_dir):
     li = sources.load(spark, sf_dir, "lineitem")
@@ -452,6 +545,13 @@ for _name, _f, _sql in (
     SQL[_name] = COO + _sql
 
 
+@query("WITH m AS (SELECT vec_id AS i, unnest(range(len(embedding)))::BIGINT AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT x.j AS i, y.j AS j, round(sum(x.v * y.v), 4) AS v FROM m x JOIN m y USING (i) GROUP BY x.j, y.j")
+def gram_tiled(spark, sf_dir):
+    """The vectors' components against each other, tile by tile."""
+    cells = sources.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v"))
+    return matrix.gram_tiled(cells).withColumn("v", F.round("v", 4))
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice AS label FROM orders")
 def positional_columns(spark, sf_dir):
     """Columns by place: the first three, and one by its number."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -41,10 +41,11 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_text(df: DataFrame, path: str, column: str = "value", exclusive: bool = False) -> int:
-    """Characters written. ``exclusive`` fails if the path exists; else it is replaced."""
-    df.select(column).write.mode("errorifexists" if exclusive else "overwrite").text(path)
-    lines = df.sparkSession.read.text(path)  # what was written, not the plan again
-    return lines.agg(F.coalesce(F.sum(F.length("value")), F.lit(0))).first()[0]
+    """Characters written, counted as they are written. ``exclusive`` fails if the path exists; else it is replaced. A null is an empty line."""
+    seen = Observation()
+    lines = df.select(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).alias("value"))
+    lines.observe(seen, F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("characters")).write.mode("errorifexists" if exclusive else "overwrite").text(path)
+    return seen.get["characters"]
 
 
 def numbers(spark: SparkSession, start: int, stop: int, step: int = 1) -> DataFrame:

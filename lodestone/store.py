@@ -40,6 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has; what is written there goes with the driver."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where.getParent())
+    fs.deleteOnExit(where)
+    return path
+
+
 class Scope:
     """Owns the tables stored within a ``with`` block, until it is dropped."""
 

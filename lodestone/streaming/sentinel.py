@@ -8,7 +8,6 @@ dropped and counted (:func:`late_rows`).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import UTC, datetime
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from lodestone.store import shared_dir
+from lodestone.store import scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -106,7 +105,7 @@ def replay_until_sentinel(events: DataFrame, tick: DataFrame, key: str, time: st
     The query runs to the end of what is there, stops, and is started again from its checkpoint when ``tick``, one row of a later time,
     has been added; so every waiting row is passed.
     """
-    spark, place = events.sparkSession, f"{shared_dir(events.sparkSession)}/sentinel-{uuid.uuid4().hex}"
+    spark, place = events.sparkSession, scratch(events.sparkSession, "sentinel")
     ticks, out = f"{place}/ticks", f"{place}/out"
     tick.limit(0).write.parquet(ticks)
     both = events.union(spark.readStream.schema(events.schema).parquet(ticks))

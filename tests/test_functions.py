@@ -2,17 +2,22 @@
 
 import hashlib
 import math
+import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import sources, streaming
+from lodestone.functions import errors as E
 from lodestone.functions import nested as N
 from lodestone.functions import numbers as M
 from lodestone.functions import sequences as S
 from lodestone.functions import text as T
-from lodestone.operators import matrix, regression, relational, timed
+from lodestone.operators import hooked, matrix, regression, relational, timed
+from lodestone.sources import named
 
 
 def one(spark, column):
@@ -245,9 +250,103 @@ def test_maps_from_pairs(spark):
     assert [one(spark, N.truth(x)) for x in (F.array(), F.array(F.lit(0)), F.lit(None).cast("array<int>"))] == [False, True, False]
 
 
-def test_timed():
+def test_timed(spark):
     told = []
-    assert timed(lambda a, b=1: a + b, lambda name, s: told.append((name, s >= 0)))(2, b=3) == 5 and told == [("<lambda>", True)]
+    assert timed(lambda a, b=1: a + b, lambda *x: told.append(x))(2, b=3) == 5 and told[0][::2] == ("<lambda>", None) and told[0][1] >= 0
+    slow = F.udf(lambda x: time.sleep(0.05) or x, "long")
+    df = timed(lambda: spark.range(20, numPartitions=1).select(slow("id")), lambda *x: told.append(x))()
+    assert told[1][2] == 20 and told[1][1] >= 1  # the rows are made, not only planned
+    assert df.count() == 20
+
+
+def test_hooked():
+    seen = []
+    assert hooked(max, lambda name: seen.append(name), lambda name, out: seen.append((name, out)))(3, 4) == 4 and seen == ["max", ("max", 4)]
+
+
+def test_characters_are_counted_by_the_write(spark, tmp_path):
+    """Of a column that differs every time it is made, the count fits what was written; a null is an empty line."""
+    df = spark.range(200).select(F.repeat(F.lit("é"), (F.rand() * 20).cast("int")).alias("a.b"))
+    n = sources.write_text(df, str(tmp_path / "t"), "a.b")
+    assert n == sources.read_lines(spark, str(tmp_path / "t")).agg(F.sum(F.length("value"))).first()[0]
+    assert sources.write_text(spark.createDataFrame([("ab",), (None,)], "value string"), str(tmp_path / "u")) == 2 and sources.read_lines(spark, str(tmp_path / "u")).count() == 2
+    assert sources.write_text(df.limit(0), str(tmp_path / "v"), "a.b") == 0
+
+
+def test_failures_are_told_apart(spark):
+    given = {"12": 12, " -7\n": -7, "+0": 0, None: "MISSING", "": "EMPTY", " \t": "EMPTY", "1.5": "FRACTION", "1e3": "FRACTION", ".5": "FRACTION", "1.": "FRACTION", "x": "NOT_A_NUMBER", "1 2": "NOT_A_NUMBER", "--1": "NOT_A_NUMBER", ".": "NOT_A_NUMBER", "9223372036854775807": 2**63 - 1, "9223372036854775808": "OUT_OF_RANGE"}
+    df = spark.createDataFrame([(k,) for k in given], "t string").withColumn("n", E.whole_number(F.col("t")))
+    good, bad = E.parted(df, "n")
+    assert {r["t"]: r["n"] for r in good.collect()} == {k: v for k, v in given.items() if not isinstance(v, str)}
+    assert {r["error_input"]: r["error_class"] for r in bad.collect()} == {k: v for k, v in given.items() if isinstance(v, str)} and bad.columns == ["t", "error_class", "error_input"]
+    small = E.whole_number(F.lit("300"), "tinyint")
+    assert one(spark, small["error"]["class"]) == "OUT_OF_RANGE" and one(spark, E.whole_number(F.lit("30"), "tinyint")["value"]) == 30
+    a = F.array(F.lit(5), F.lit(6))
+    assert [one(spark, E.element(a, F.lit(i))["value"]) for i in (0, 1, -1, -2, 2, -3)] == [5, 6, 6, 5, None, None]
+    assert [one(spark, E.element(a, F.lit(i))["error"]) for i in (1, -2)] == [None, None] and tuple(one(spark, E.element(a, F.lit(-3))["error"])) == ("INDEX", "-3")
+    assert one(spark, E.element(a, F.lit(None).cast("int"))["error"]["class"]) == "MISSING"
+
+
+@pytest.mark.parametrize("block,fan_in", [(2**20, 64), (900, 2)])
+def test_tiled_product(spark, monkeypatch, block, fan_in):
+    """A sparse matrix wider than two tiles with columns that never meet, as the rows' pairs give it; blocks of few rows added two by two."""
+    monkeypatch.setattr(matrix, "BLOCK_CELLS", block)
+    monkeypatch.setattr(matrix, "FAN_IN", fan_in)
+    rng = np.random.default_rng(11)
+    cells = {(int(i), int(j)): float(v) for i, j, v in zip(rng.integers(0, 40, 500), rng.integers(0, 300, 500), rng.integers(-9, 9, 500), strict=True)}
+    a = spark.createDataFrame([(i, j, v) for (i, j), v in cells.items()], "i long, j int, v double")
+    got, want = ({(r["i"], r["j"]): r["v"] for r in f(a).collect()} for f in (matrix.gram_tiled, matrix.gram))
+    assert got == want and len(want) > 5000
+    assert matrix.gram_tiled(a.limit(0)).count() == 0
+
+
+def test_rows_of_similar_pairs_grow_with_the_text(spark):
+    """A row a character and some more, however many lengths there are; the old form wrote half the square."""
+    for t in (0, 4, 50):
+        sizes = {r["n"]: r["rows"] for r in relational._grams(spark.range(1, 1200, 7).select(F.repeat(F.lit("x"), F.col("id").cast("int")).alias("seq")), t).groupBy("n").agg(F.count("*").alias("rows")).collect()}
+        assert all(rows <= n - t + t * (1 + math.log(t + 1)) for n, rows in sizes.items()) and min(sizes) == t + 1 + (-t) % 7
+
+
+def test_similar_pairs_of_long_and_short_texts(spark):
+    rng = np.random.default_rng(12)
+    base = "".join(rng.choice(list("AC"), 40))
+    words = {base[: rng.integers(1, 40)] + "".join(rng.choice(list("ACé"), rng.integers(0, 12))) for _ in range(80)} | {"", "A"}
+    df = spark.createDataFrame([(w,) for w in words for _ in range(2)], "seq string")
+    same = lambda x, y: sum(p == q for p, q in zip(x, y, strict=False))
+    for t in (0, 3, 9, 17):
+        got = [tuple(r) for r in relational.similar_pairs(df, df, t, blocks=True).collect()]
+        want = {(x, y, same(x, y)) for x in words for y in words if same(x, y) > t}
+        assert set(got) == want and len(got) == len(want) > 40
+
+
+def test_hamming_says_why(spark):
+    cases = {("GATTACA", "GACTATA"): (2, "ok"), ("A", "AB"): (None, "lengths differ"), ("", ""): (0, "ok"), (None, "A"): (None, "a text is missing"), ("né", "nè"): (1, "ok")}
+    df = spark.createDataFrame(list(cases), "a string, b string")
+    got = df.select("a", "b", S.hamming(F.col("a"), F.col("b")).alias("d"), S.hamming_status(F.col("a"), F.col("b")).alias("s")).collect()
+    assert {(r["a"], r["b"]): (r["d"], r["s"]) for r in got} == cases
+
+
+def test_named_sets(spark, tmp_path):
+    """Two files with two row groups each; the fit by name of a set made up for it, and only the columns asked for."""
+    rng = np.random.default_rng(13)
+    named.register(spark)
+    for name in named.SETS:
+        columns = named.features(name)
+        x = rng.normal(size=(400, len(columns)))
+        y = 1 + x @ np.arange(1, len(columns) + 1) + rng.normal(scale=0.1, size=400)
+        held = pa.table({"extra": ["x"] * 400} | {c: x[:, k] for k, c in enumerate(columns)} | {named.target(name): y})
+        for k in range(2):
+            pq.write_table(held.slice(200 * k, 200), tmp_path / f"{name}-{k}.parquet", row_group_size=100)
+        df = spark.read.format("named").option("name", name).load(str(tmp_path))
+        assert df.columns == [*columns, named.target(name)] and df.count() == 400 and df.rdd.getNumPartitions() == 4
+        model = regression.least_squares(df, columns, named.target(name)).first()
+        want = np.linalg.lstsq(np.c_[x, np.ones(400)], y, rcond=None)[0]
+        assert np.allclose([*model["coefficients"], model["intercept"]], want)
+        few = spark.read.format("named").option("name", name).option("columns", f"{columns[2]}, {columns[0]}").load(str(tmp_path))
+        assert few.columns == [columns[2], columns[0]] and few.agg(F.sum(columns[0])).first()[0] == pytest.approx(x[:, 0].sum())
+    for options, what in (({"name": "iris"}, "no set"), ({"name": "housing", "columns": "age"}, "no column")):
+        with pytest.raises(Exception, match=what):
+            spark.read.format("named").options(**options).load(str(tmp_path)).count()
 
 
 def test_character_counts(spark, tmp_path):
