@@ -186,7 +186,7 @@ def similar_names(spark, sf_dir):
     return relational.similar_pairs(n, n, 11, blocks=True).withColumn("score", F.col("score").cast(L))
 
 
-simple("hamming_status", "part", "p_partkey", "p_name", {"d": lambda c: S.hamming(c, F.col("p_type")).cast(L), "status": lambda c: S.hamming_status(c, F.col("p_type"))}, {"d": "CASE WHEN length(p_name) = length(p_type) THEN hamming(p_name, p_type) END::BIGINT", "status": "CASE WHEN length(p_name) = length(p_type) THEN 'ok' ELSE 'lengths differ' END"})
+simple("hamming_status", "part", "p_partkey", "p_name", {"d": lambda c: F.coalesce(S.hamming(c, F.col("p_type")).cast(L), F.lit(-1).cast(L)), "status": lambda c: S.hamming_status(c, F.col("p_type"))}, {"d": "CASE WHEN length(p_name) = length(p_type) THEN hamming(p_name, p_type) ELSE -1 END::BIGINT", "status": "CASE WHEN length(p_name) = length(p_type) THEN 'ok' ELSE 'lengths differ' END"})
 
 
 # Numbers ------------------------------------------------------------------------------------------------------------
@@ -469,10 +469,10 @@ PARSED = f"(SELECT event_id, {GIVEN} AS given FROM (SELECT *, json_extract_strin
 CLASS = "CASE WHEN given IS NULL THEN 'MISSING' WHEN trim(given) = '' THEN 'EMPTY' WHEN length(given) > 18 AND given[1] = '9' THEN 'OUT_OF_RANGE' WHEN contains(given, '.') THEN 'FRACTION' WHEN given[1] = '{' THEN 'NOT_A_NUMBER' END"
 
 
-@query(f"SELECT event_id, {CLASS} AS error_class, given AS error_input FROM {PARSED} WHERE error_class IS NOT NULL")
+@query(f"SELECT event_id, {CLASS} AS error_class, coalesce(given, '') AS error_input FROM {PARSED} WHERE error_class IS NOT NULL")
 def failed_parses(spark, sf_dir):
     """The rows that are put aside, each with why."""
-    return E.parted(_parsed(spark, sf_dir), "n")[1]
+    return E.parted(_parsed(spark, sf_dir), "n")[1].fillna("", ["error_input"])
 
 
 @query(f"SELECT event_id, trim(given)::BIGINT AS n FROM {PARSED} WHERE {CLASS} IS NULL")
@@ -480,10 +480,10 @@ def good_parses(spark, sf_dir):
     return E.parted(_parsed(spark, sf_dir), "n")[0]
 
 
-@query("SELECT c_custkey, CASE WHEN i BETWEEN -3 AND 2 THEN c_custkey + ((i + 3) % 3) END AS v, CASE WHEN i NOT BETWEEN -3 AND 2 THEN 'INDEX' END AS error, CASE WHEN i NOT BETWEEN -3 AND 2 THEN i::VARCHAR END AS given FROM (SELECT c_custkey, c_custkey % 9 - 4 AS i FROM customer)")
+@query("SELECT c_custkey, CASE WHEN i BETWEEN -3 AND 2 THEN c_custkey + ((i + 3) % 3) ELSE -1 END AS v, CASE WHEN i NOT BETWEEN -3 AND 2 THEN 'INDEX' ELSE 'none' END AS error, CASE WHEN i NOT BETWEEN -3 AND 2 THEN i::VARCHAR ELSE '' END AS given FROM (SELECT c_custkey, c_custkey % 9 - 4 AS i FROM customer)")
 def checked_index(spark, sf_dir):
     x = E.element(F.col("arr"), (F.col("c_custkey") % 9 - 4).cast("int"))
-    return _maps(spark, sf_dir).select("c_custkey", x["value"].alias("v"), x["error"]["class"].alias("error"), x["error"]["input"].alias("given"))
+    return _maps(spark, sf_dir).select("c_custkey", F.coalesce(x["value"], F.lit(-1)).alias("v"), F.coalesce(x["error"]["class"], F.lit("none")).alias("error"), F.coalesce(x["error"]["input"], F.lit("")).alias("given"))
 
 
 # Files: written to the shared folder and read again -------------------------------------------------------------------
