@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import sequences as S
+from lodestone.functions.numbers import MOST_FACTORIAL, factorial_text
 from lodestone.store import Stored, fresh, tasks
 
 
@@ -74,6 +75,15 @@ def zip_by_order(a: DataFrame, b: DataFrame, by_a: list[Column], by_b: list[Colu
     return ranked(a, by_a, "pos").join(ranked(b, by_b, "pos"), "pos")
 
 
+def with_factorial(df: DataFrame, n_col: str, out: str) -> DataFrame:
+    """Adds the decimal text of a column's factorial, null where it is null, negative or above ``MOST_FACTORIAL``. Each number that occurs is multiplied
+    out once, whatever the rows: at most 9,001 of them, which bounds what is broadcast."""
+    key, n = fresh(df, "factorial_of"), F.col(f"`{n_col}`")
+    numbers = df.filter((n >= 0) & (n <= MOST_FACTORIAL)).select(n.cast("long").alias(key)).distinct()
+    made = numbers.select(key, factorial_text(F.col(key)).alias(out))
+    return df.join(F.broadcast(made), n == F.col(key), "left").drop(key)
+
+
 def duplicated(df: DataFrame, key: str, at_least: int = 2) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= at_least)
 

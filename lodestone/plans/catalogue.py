@@ -196,8 +196,12 @@ WIDE = 30_030 * 1_000_000_007
 # The oracle's strong tests take other bases, in 128-bit integers.
 simple("prime_flag_wide", "part", "p_partkey", "p_partkey", {"n": lambda c: c % 300_000 * F.lit(WIDE) + 1, "prime": lambda c: M.is_prime(c % 300_000 * F.lit(WIDE) + 1)}, {"n": "n", "prime": "n > 1 AND list_bool_and(list_transform([2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37], lambda a: n = a OR len(list_filter(range(s), lambda j: list_reduce(string_split(bin(((n - 1) >> s) << j), ''), lambda r, b: r * r % n * CASE WHEN b = '1' THEN a ELSE 1 END % n, 1::HUGEINT) = n - 1)) > 0 OR list_reduce(string_split(bin((n - 1) >> s), ''), lambda r, b: r * r % n * CASE WHEN b = '1' THEN a ELSE 1 END % n, 1::HUGEINT) = 1))"})
 SQL["prime_flag_wide"] = SQL["prime_flag_wide"].replace("FROM part", f"FROM (SELECT *, bit_count(((n - 1) & -(n - 1)) - 1)::INT AS s FROM (SELECT p_partkey, p_partkey % 300000 * {WIDE} + 1 AS n FROM part))")
-simple("factorial_text", "part", "p_partkey", "p_size", {"f": lambda c: M.factorial_text(c + 50 * (F.col("p_partkey") % 4))}, {"f": "coalesce(t, factorial(n::INT)::VARCHAR)"})
-SQL["factorial_text"] = SQL["factorial_text"].replace("FROM part", f"FROM (SELECT p_partkey, p_size + 50 * (p_partkey % 4) AS n FROM part) LEFT JOIN (VALUES {', '.join(f'({k}, {str(math.factorial(k))!r})' for k in range(34, 201))}) v(k, t) ON k = n").replace("factorial(n::INT)", "factorial(least(n, 33)::INT)")
+@query(f"SELECT p_partkey, coalesce(t, factorial(least(n, 33)::INT)::VARCHAR) AS f FROM (SELECT p_partkey, p_size + 50 * (p_partkey % 4) AS n FROM part) LEFT JOIN (VALUES {', '.join(f'({k}, {str(math.factorial(k))!r})' for k in range(34, 201))}) v(k, t) ON k = n")
+def factorial_text(spark, sf_dir):
+    part = sources.load(spark, sf_dir, "part").withColumn("n", F.col("p_size") + 50 * (F.col("p_partkey") % 4))
+    return relational.with_factorial(part, "n", "f").select("p_partkey", "f")
+
+
 simple("temp_convert", "part", "p_partkey", "p_size", {"up": lambda c: F.round(M.scaled_up(c.cast("double")), 6), "down": lambda c: F.round(M.scaled_down(c.cast("double")), 6)}, {"up": "round((p_size::DOUBLE - 32) * 9 / 5, 6)", "down": "round((p_size::DOUBLE - 32) * 5 / 9, 6)"})
 simple("power", "part", "p_partkey", "p_size", {"p": lambda c: F.pow(c, F.lit(3))}, {"p": "pow(p_size, 3)::DOUBLE"})
 simple("power_of_columns", "lineitem", "l_orderkey", "l_linenumber", {"p": lambda c: F.pow(c, F.pmod(F.col("l_suppkey"), F.lit(9)))}, {"p": "pow(l_linenumber, l_suppkey % 9)::DOUBLE"})
@@ -572,15 +576,16 @@ def linreg_two_feature(spark, sf_dir):
 
 
 def gauss_jordan(table: str, features: list[str], label: str) -> str:
-    """SQL of the coefficients ``x0 ..`` (intercept first) by elimination on the raw sums, one WITH step a column."""
-    cols = ["1.0::DOUBLE", *[f"({c})::DOUBLE" for c in features]]
-    n = len(cols)
-    cells = {(i, j): f"sum({cols[i]} * {cols[j] if j < n else f'({label})::DOUBLE'}) AS a{i}_{j}" for i in range(n) for j in range(n + 1)}
-    steps = [f"e0 AS (SELECT {', '.join(cells.values())} FROM {table})"]
+    """SQL of the coefficients ``x1 ..`` and the intercept ``x0``, by elimination on the covariances, one WITH step a column."""
+    cols, n = [f"({c})::DOUBLE" for c in [*features, label]], len(features)
+    cells = [(i, j) for i in range(n) for j in range(n + 1)]
+    means = ", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(cols))
+    steps = [f"e0 AS (SELECT {', '.join(f'covar_pop({cols[i]}, {cols[j]}) AS a{i}_{j}' for i, j in cells)}, {means} FROM {table})"]
     for p in range(n):
         new = (f"a{p}_{j} / a{p}_{p} AS a{p}_{j}" if i == p else f"a{i}_{j} - a{i}_{p} * a{p}_{j} / a{p}_{p} AS a{i}_{j}" for i, j in cells)
-        steps.append(f"e{p + 1} AS (SELECT {', '.join(new)} FROM e{p})")
-    return ", ".join(steps) + f", model AS (SELECT {', '.join(f'a{i}_{n} AS x{i}' for i in range(n))} FROM e{n})"
+        steps.append(f"e{p + 1} AS (SELECT {', '.join(new)}, {', '.join(f'm{i}' for i in range(n + 1))} FROM e{p})")
+    intercept = f"m{n} - " + " - ".join(f"a{i}_{n} * m{i}" for i in range(n))
+    return ", ".join(steps) + f", model AS (SELECT {intercept} AS x0, {', '.join(f'a{i}_{n} AS x{i + 1}' for i in range(n))} FROM e{n})"
 
 
 PRICE_OF = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_suppkey"]
@@ -603,11 +608,11 @@ def linreg_ml_held_out(spark, sf_dir):
     return regression.r2(regression.apply_row(test, model, PRICE_OF), "l_extendedprice").select(F.round("r2", 8).alias("r2"))
 
 
-@query(f"{HELD_OUT} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({PREDICTED}, 3) AS prediction FROM s, model WHERE is_test")
+@query(f"{HELD_OUT} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({PREDICTED}, 2) AS prediction FROM s, model WHERE is_test")
 def linreg_predictions(spark, sf_dir):
     """What the model says of every held-out row."""
     test, model = _held_out(spark, sf_dir)
-    return regression.apply_row(test, model, PRICE_OF).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("prediction", 3).alias("prediction"))
+    return regression.apply_row(test, model, PRICE_OF).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("prediction", 2).alias("prediction"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5('999:' || doc_id::VARCHAR), doc_id) <= ceil(count(*) OVER () * 0.2::DOUBLE) AS is_test FROM documents")

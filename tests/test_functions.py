@@ -85,6 +85,8 @@ def test_large_factorials(spark):
     got = {r["k"]: r["f"] for r in spark.createDataFrame([(k,) for k in ks], "k int").select("k", M.factorial_text(F.col("k")).alias("f")).collect()}
     assert got == {k: str(math.factorial(k)) if k is not None and 0 <= k <= 9000 else None for k in ks}
     assert got[21] == "51090942171709440000"
+    joined = relational.with_factorial(spark.createDataFrame([(k, k) for k in [*ks, 5, 5]], "k int, factorial_of int"), "k", "f")
+    assert {r["k"]: r["f"] for r in joined.collect()} == got | {5: "120"} and joined.count() == len(ks) + 2 and joined.columns == ["k", "factorial_of", "f"]
 
 
 def test_all_codons(spark):
