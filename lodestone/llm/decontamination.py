@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from lodestone.llm.store import Stored
 
 K1, B = 1.2, 0.75
@@ -79,7 +81,7 @@ class Index:
     """``items``: (id, text), of a block. Items without a word cannot leak and are left out. ``of_all``: number of items with a word in
     all blocks, their words, and how many hold each of this block's words; without it the block is all there is."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, of_all: tuple[int, int, dict[bytes, int]] | None = None):
+    def __init__(self, items: list[tuple[object, str]], threshold: float = THRESHOLD, of_all: tuple[int, int, dict[bytes, int]] | None = None):
         self.threshold = threshold
         raw_items = [(i, w) for i, t in items if (w := words(t))]
         self.items = [(i, bare(w)) for i, w in raw_items]
@@ -233,7 +235,7 @@ def holds(passage: list[bytes], item: list[bytes]) -> bool:
     return False
 
 
-Block = tuple[list[tuple[int, str]], tuple[int, int, dict[bytes, int]] | None]
+Block = tuple[list[tuple[object, str]], tuple[int, int, dict[bytes, int]] | None]
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -256,12 +258,13 @@ def item_words(items: DataFrame) -> DataFrame:
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
     """The items in blocks of about ``INDEX_BYTES``, dealt by hash of the text, each with what :class:`Index` needs of all; equal items
-    count once. The driver holds a block and the counts of the block's words, no more."""
-    one = items.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t")).dropna().distinct()
+    count once. Ids are labels of any type, null too. The driver holds a block and the counts of the block's words, no more."""
+    one = items.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).filter("t IS NOT NULL").distinct()
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1]) if isinstance(r[0], int | None) else (True, str(r[0]), r[1])
     size = one.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // INDEX_BYTES)
     if n == 1:
-        yield sorted((r[0], r[1]) for r in one.collect()), None
+        yield sorted(((r[0], r[1]) for r in one.collect()), key=order), None
         return
     if n:
         counts = Stored(item_words(one), "leak-terms").df
@@ -269,21 +272,22 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Block]
     for k in range(n):
         block = one.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
         own = counts.join(item_words(block).select("term"), "term", "left_semi").select("term", "holders")
-        yield sorted((r[0], r[1]) for r in block.collect()), (whole[0], whole[1], {bytes(r[0]): r[1] for r in own.collect()})
+        yield sorted(((r[0], r[1]) for r in block.collect()), key=order), (whole[0], whole[1], {bytes(r[0]): r[1] for r in own.collect()})
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``id_col, item_id, score, question_overlap, answer_overlap, first_word``: one row per row of ``docs`` and item leaked.
 
-    Null and empty texts leak nothing, nor do null or empty items; repeated rows are reported each; no items or no
-    documents give no rows. Other columns are not read; ``id_col`` must not have the name of another column of the result.
+    Null and empty texts leak nothing, nor do items with such a text; items with a null id leak like others and are reported with it, ids keep
+    their type; repeated rows are reported each; no items or no documents give no rows. Other columns are not read; ``id_col`` must not have the name of another column of the result.
     """
     spark = docs.sparkSession
     names = [id_col, "item_id", "score", "question_overlap", "answer_overlap", "first_word"]
     if id_col.lower() in names[1:]:
         raise ValueError(f"id_col {id_col} is a column of the result; rename it")
     source = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    schema = source.select("doc").schema.add("item_id", "long").add("score", "double").add("question_overlap", "double").add("answer_overlap", "double").add("first_word", "long")
+    schema = source.select("doc").schema.add("item_id", items.select(F.col(f"`{item_id}`")).schema[0].dataType).add("score", "double").add("question_overlap", "double").add("answer_overlap", "double").add("first_word", "long")
+    label = to_arrow_type(schema["item_id"].dataType)
     found = None
     for block in item_blocks(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(block)
@@ -296,7 +300,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
                     rows = index.leaks(part.column(1).to_pylist())
                     columns = list(zip(*rows, strict=True)) or [[]] * 6
                     ids = part.column(0).take(pa.array(columns[0], pa.int64()))
-                    kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+                    kinds = [label, pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True)]], names=schema.names)
 
         part = source.mapInArrow(run, schema)

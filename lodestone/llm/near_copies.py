@@ -181,10 +181,14 @@ def drop_copies(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     least = held.groupBy(p("k1"), p("k2")).agg(F.min(F.struct(F.col(row).alias("node"), p("n").alias("n"), p("fp").alias("fp"), p("bands").alias("bands"))).alias("x"))
     nodes = Stored(least.select("x.*"), "near-nodes").df
     shared, texts = buckets(nodes), held.select(F.col(row).alias("node"), F.col(f"`{text_col}`").alias("text"))
-    close = simhash.close_pairs(simhash.bucketed(nodes.filter("n > 0").select("node", "fp")).filter(F.col("n") <= BUCKET))
+    alike = Stored(simhash.bucketed(nodes.filter("n > 0").select("node", "fp", F.col("n").alias("shingles"))), "near-prints").df
+    close = simhash.close_pairs(alike.filter(F.col("n") <= BUCKET))
     pairs = Stored(candidates(shared).union(close).distinct(), "near-pairs").df
     merged = components(similar(pairs, texts)).df
-    more = large_links(shared, merged, texts)
+    crowded = alike.filter(F.col("n") > BUCKET)
+    totals = crowded.groupBy("which", "key").agg(F.sum("shingles").alias("total"))
+    crowded = crowded.join(totals, ["which", "key"]).select(F.xxhash64(F.lit("bits"), "which", "key").alias("key"), "node", F.col("n").alias("m"), "total")
+    more = large_links(shared.select("key", "node", "m", "total").union(crowded), merged, texts)
     if more is not None:
         merged = components(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)).df
     first = nodes.join(merged, "node", "left_anti").select(F.col("node").alias(row))

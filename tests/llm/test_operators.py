@@ -637,3 +637,27 @@ def test_katz(docs, texts, monkeypatch, hot, order):
 
 def rnd_contexts(grams):
     return random.Random(3).sample(sorted({c for c, _ in grams}), 20)
+
+
+def test_near_copies_from_large_buckets_of_fingerprints(spark, monkeypatch):
+    """Seventy copies that differ in a word, when no min-hash band is shared: fingerprints alone must bring them together."""
+    rnd = random.Random(33)
+    base = prose(rnd, 900).split(" ")
+    texts = [" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in rnd.sample(range(900), 70)] + [prose(rnd, 60) for _ in range(20)]
+    original = near_copies.buckets
+    monkeypatch.setattr(near_copies, "buckets", lambda nodes: original(nodes).limit(0))
+    kept = near_copies.drop_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"] for r in kept.collect()}
+    assert set(range(70, 90)) <= got and len(got) < 20 + 35
+
+
+def test_decontamination_with_null_and_other_ids(spark):
+    """Items without an id leak as others do, ids of any type are handed on."""
+    rnd = random.Random(34)
+    texts = [prose(rnd, 40) + "? " + prose(rnd, 9) for _ in range(4)]
+    docs = spark.createDataFrame([(k, prose(rnd, 30) + " " + t + " " + prose(rnd, 30)) for k, t in enumerate(texts)] + [(9, prose(rnd, 80))], "doc_id long, text string")
+    for kind, ids in (("string", ["b-1", None, None, "a"]), ("long", [7, None, None, 2])):
+        items = spark.createDataFrame([*zip(ids, texts, strict=True), (ids[0], None), (None, "")], f"item_id {kind}, text string")
+        got = decontamination.leaked_passages(docs, items)
+        assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == list(enumerate(ids)) and dict(got.dtypes)["item_id"] == items.dtypes[0][1]
+        assert [r["doc_id"] for r in decontamination.drop_leaked(docs, items).collect()] == [9]

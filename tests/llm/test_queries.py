@@ -30,7 +30,10 @@ def folder(tmp_path_factory):
     urls = [None, "no scheme", "http://A.Example.org/es/1?x", "https://example.org/en/12", "http://x.com/de/1", "a://b.example.org#/"] + [f"http://www{k % 7}.example.{('org', 'com', 'net')[k % 3]}/{('en', 'fr', 'de', 'es')[k % 4]}/{k}" for k in range(120)]
     pages = {"page_id": [None, *range(len(urls) - 1)], "url": urls, "html": [None if k % 9 == 0 else f"<p>{'x' * k}" for k in range(len(urls))]}
     labels = {"doc_id": list(range(60)), "quality": [int(k % 3 > 0) for k in range(60)], "toxic": [int(k % 11 == 0) for k in range(60)]}
-    for name, t in (("documents", documents), ("pages", pages), ("labels", labels), ("benchmark", {"item_id": [i for i, _ in items], "text": [t for _, t in items]})):
+    vectors = [[rnd.gauss(0, 1) for _ in range(64)] for _ in range(150)]
+    vectors += [[x + rnd.gauss(0, 0.05) for x in v] for v in vectors[:30]] + [vectors[7]] * 5 + [None, [], [0.0] * 64, [1.0] * 63, [None] + [1.0] * 63]
+    embeddings = {"vec_id": list(range(len(vectors))), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": [k % 3 for k in range(len(vectors))]}
+    for name, t in (("embeddings", embeddings), ("documents", documents), ("pages", pages), ("labels", labels), ("benchmark", {"item_id": [i for i, _ in items], "text": [t for _, t in items]})):
         pq.write_table(pa.table(t), out / f"{name}.parquet")
     return str(out), texts, items
 
@@ -50,7 +53,7 @@ def test_op1(spark, folder):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder[0]}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name]).to_arrow_table()
     got = run(spark, folder, name)
@@ -244,9 +247,21 @@ def test_pipeline_with_odd_columns_and_without_rows(spark, folder, tmp_path):
 
 
 def test_queries_of_empty_tables(spark, folder, tmp_path):
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         spark.read.parquet(f"{folder[0]}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     pytest.importorskip("public_tokenizers")
     for name, f in queries.QUERIES.items():
         assert f(spark, str(tmp_path)).count() == 0, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_results_of_two_runs_last(spark, folder):
+    """A run, and a stage called by itself, leave the results of others alone."""
+    one = corpus_pipeline.run(spark, folder[0])
+    n = one.count()
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(folder[0] + "/documents.parquet")
+    direct = stages["lines"](spark, stages["quality"](spark, docs, folder[0]), folder[0])
+    two = corpus_pipeline.run(spark, folder[0])
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and one.count() == n > 0
+    assert direct.count() > 0
