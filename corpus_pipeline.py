@@ -7,6 +7,8 @@ document once for every copy the mix takes. An empty table stays empty in every
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontamination, line_dedup, mixing, near_copies as copies, quality_rules
@@ -40,24 +42,29 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.emit(mixing.mix(docs, out=names), copies)
 
 
-_before: list[Scope] = []
+_RAW = (quality, lines, near_copies, leaks, mix)
+_last: dict[int, Scope] = {}
 
 
-def _fresh_tables(stage):
-    """The tables that a stage stored go when the next one starts: its result has been written by then. No others are touched."""
+def _alone(k: int):
+    """A stage as it is called by itself: tables it stored go when the stage after it starts, by when its result has been written; those
+    the given documents are read from stay."""
+    stage = _RAW[k]
 
+    @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _before:
-            _before.pop().drop()
+        before = _last.pop(k - 1, None)
+        if before and not any(t.path in f for t in before.tables for f in docs.inputFiles()):
+            before.drop()
         with Scope() as own:
             out = stage(spark, docs, sf_dir)
-        _before.append(own)
+        _last[k] = own
         return out
 
     return run
 
 
-STAGES = [(f.__name__, _fresh_tables(f)) for f in (quality, lines, near_copies, leaks, mix)]
+STAGES = [(f.__name__, _alone(k)) for k, f in enumerate(_RAW)]
 
 #: SQL cannot express expectation-maximisation, the joins on sets or connected components; tests hold the stages against
 #: brute force.
@@ -65,15 +72,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each result stored in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
-    before = None
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        held = Stored(out, f"pipeline-{name}")
+    """All stages on ``documents``, each result stored in the shared folder. A stage's tables go as soon as its result is stored, those that the last
+    stage's result is read from go with the session, so results of several runs can be used side by side."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for stage in _RAW[:-1]:
+        with Scope() as own:
+            out = stage(spark, docs, sf_dir)
+        held = Stored(out, f"pipeline-{stage.__name__}")
+        own.drop()
         if before:
             before.drop()
         docs, before = held.df, held
-    return docs
+    return _RAW[-1](spark, docs, sf_dir)
