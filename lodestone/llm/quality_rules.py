@@ -3,7 +3,8 @@
 Each rule votes good, bad or abstains. The corpus is reduced to a contingency table of vote patterns (at most 3 to the
 number of rules, whatever the corpus size), expectation-maximisation on that table estimates how often each rule votes how on
 good and on bad documents, and the posterior probability of "good" replaces all-must-pass filtering: a rule that the others
-bear out counts much, one that they do not counts little, and a lone flag may be outvoted. Everything that touches documents is a
+bear out counts much, one that they do not counts little, a lone flag may be outvoted, and abstentions that only bad documents
+bring about tell against one without a flag. Everything that touches documents is a
 DataFrame expression.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,28 +23,25 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
-#: What the model believes before it sees votes, as if it had seen documents to this share of the corpus: it tells the classes apart,
-#: and keeps a corpus without faults from being split by whatever else its votes agree on.
-PRIOR = 0.01
-GOOD_SHARE = 0.9
-#: Probabilities of the votes bad, abstain and good of any rule, on bad documents (which have a fault or two and pass most rules) and on good
-#: ones. By them alone two flags of eleven are more than the other votes outweigh, and one is not.
-BELIEFS = ((0.25, 0.05, 0.7), (0.01, 0.05, 0.94))
-
-#: name, condition for "bad", condition for "good"; else the rule abstains. Columns are those of :func:`features`.
+#: Rules that a document of the worse class fails on average, at least. A corpus whose two classes differ by less has no class of bad documents.
+FAULTS = 2
+
+#: name, condition for "bad", condition for "good"; else the rule abstains. Columns are those of :func:`features`. Bounds lie near the bulk of
+#: ordinary texts, so rules err now and then and overlap: what a vote is worth is for the model to find. The base checks (very few words,
+#: mostly repeats) are no rules.
 RULES: list[tuple[str, str, str]] = [
-    ("symbols", "n_symbols * 10 > n_words", "n_symbols * 50 <= n_words"),
-    ("symbol_chars", "n_symbols * 40 > word_chars", "n_symbols * 400 <= word_chars"),
-    ("repeats", "n_repeat_words * 10 > n_words * 3", "n_repeat_words * 100 <= n_words"),
-    ("dup_lines", "n_dup_lines * 2 > n_lines", "n_dup_lines * 50 <= n_lines"),
-    ("capitals", "n_upper * 2 > n_letters", "n_upper * 5 <= n_letters"),
-    ("exclaims", "n_exclaims * 5 > n_words", "n_exclaims * 50 <= n_words"),
+    ("symbols", "n_symbols > n_words", "n_symbols * 50 <= n_words"),
+    ("symbol_chars", "n_symbols * 10 > word_chars", "n_symbols * 400 <= word_chars"),
+    ("some_repeats", "n_repeat_words * 20 > n_words", "n_repeat_words < 1"),
+    ("dup_lines", "n_dup_lines * 2 > n_lines", "n_dup_lines * 5 <= n_lines"),
+    ("capitals", "n_upper * 5 > n_letters", "n_upper * 20 <= n_letters"),
+    ("exclaims", "n_exclaims * 10 > n_words", "n_exclaims * 50 <= n_words"),
     # Different words grow with the square root of a text's words or faster, so the bound does too.
-    ("variety", "n_distinct * 5 < n_words * 2 AND n_distinct * n_distinct < n_words * 9", "n_distinct * 5 >= n_words * 2 OR n_distinct * n_distinct >= n_words * 25"),
-    ("word_length", "word_chars < n_words * 3 OR word_chars > n_words * 12", "word_chars >= n_words * 4 AND word_chars <= n_words * 9"),
-    ("sentences", "n_stops * 100 < n_words", "n_stops * 30 >= n_words"),
-    ("stops", "n_stops * 8 > n_words * 3", "n_stops * 4 <= n_words"),
-    ("length", "n_words < 20", "n_words >= 50"),
+    ("variety", "n_distinct * 20 < n_words * 13 AND n_distinct * n_distinct < n_words * 100", "n_distinct * 10 >= n_words * 7 OR n_distinct * n_distinct >= n_words * 120"),
+    ("word_length", "word_chars * 2 < n_words * 9 OR word_chars > n_words * 7", "word_chars * 10 >= n_words * 46 AND word_chars <= n_words * 6"),
+    ("sentences", "n_stops * 100 < n_words * 5", "n_stops * 100 >= n_words * 7"),
+    ("stops", "n_stops * 8 > n_words", "n_stops * 9 <= n_words"),
+    ("brief", "n_words < 60", "n_words >= 120"),
 ]
 
 
@@ -135,6 +134,11 @@ class LabelModel:
             out[name] = flags[0] / sum(flags), passes[1] / sum(passes)
         return out
 
+    def apart(self) -> bool:
+        """Whether the worse class fails ``FAULTS`` rules on average, and more than the better one."""
+        bad, good = (sum(rule[c][BAD] for rule in self.table) for c in (0, 1))
+        return bad >= FAULTS and bad > good
+
     def log_odds(self, pattern: int) -> float:
         """Of "good" against "bad"."""
         out = math.log(self.good) - math.log(1 - self.good)
@@ -143,34 +147,33 @@ class LabelModel:
         return out
 
     def posterior(self, pattern: int) -> float:
-        """Probability of "good" for a vote pattern."""
-        return 1 / (1 + math.exp(min(-self.log_odds(pattern), 700)))
+        """Probability of "good" for a vote pattern; 1 where the corpus has no class of bad documents."""
+        return 1 / (1 + math.exp(min(-self.log_odds(pattern), 700))) if self.apart() else 1.0
 
 
-def expectation_maximisation(counts: dict[int, int], rounds: int = 200, tolerance: float = 1e-10) -> LabelModel:
+def expectation_maximisation(counts: dict[int, int], rounds: int = 300, tolerance: float = 1e-10) -> LabelModel:
     """Fit on pattern -> documents: two classes, every probability free. What a rule's votes, abstentions included, say about a document
-    comes out of its agreement with the other rules. Starts from ``BELIEFS``, which stay as ``PRIOR`` of the weight; an empty table leaves them.
+    comes out of its agreement with the other rules alone. The start only says which class is which: a document is good to the share of
+    its votes that are. Every vote counts one document more in either class, so none is impossible; an empty table tells the classes not apart.
     """
-    total = sum(counts.values())
-    weight = 1 + PRIOR * total
-    rows = [(pattern, votes_of(pattern), n) for pattern, n in sorted(counts.items())]
-    model, last = LabelModel(GOOD_SHARE, [[list(b) for b in BELIEFS] for _ in RULES], 0), None
-    for r in range(1, rounds + 1 if total else 1):
-        mass = [weight * (1 - GOOD_SHARE), weight * GOOD_SHARE]
-        soft = [[[weight * x for x in b] for b in BELIEFS] for _ in RULES]
-        moved = 0.0
-        for pattern, votes, n in rows:
-            p = model.posterior(pattern)
-            moved += n * p
-            for c, w in ((0, n * (1 - p)), (1, n * p)):
-                mass[c] += w
-                for rule, v in zip(soft, votes, strict=True):
-                    rule[c][v] += w
-        model = LabelModel(mass[1] / sum(mass), [[[x / sum(b) for x in b] for b in rule] for rule in soft], r)
-        if last is not None and abs(moved - last) <= tolerance * total:
+    patterns = sorted(counts)
+    votes = np.array([votes_of(p) for p in patterns], np.int64).reshape(-1, len(RULES))
+    n = np.array([counts[p] for p in patterns], np.float64)
+    cast = (votes != ABSTAIN).sum(axis=1)
+    p = np.where(cast > 0, (votes == GOOD).sum(axis=1) / np.maximum(cast, 1), 0.5)
+    at, last, table, mass = np.arange(len(RULES)), None, np.full((len(RULES), 2, 3), 1 / 3), np.ones(2)
+    for r in range(1, rounds + 1 if patterns else 1):
+        soft = np.stack([n * (1 - p), n * p])
+        mass = soft.sum(axis=1) + 1
+        table = np.array([[np.bincount(votes[:, k], w, 3) + 1 for w in soft] for k in at])
+        table /= table.sum(axis=2, keepdims=True)
+        bad, good = (np.log(table[at, c, votes]).sum(axis=1) + math.log(mass[c] / mass.sum()) for c in (0, 1))
+        p = 1 / (1 + np.exp(np.minimum(bad - good, 700)))
+        moved = float(n @ p)
+        if last is not None and abs(moved - last) <= tolerance * n.sum():
             break
         last = moved
-    return model
+    return LabelModel(float(mass[1] / mass.sum()), table.tolist(), r if patterns else 0)
 
 
 def pattern_posteriors(patterns: DataFrame, pattern_col: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -76,14 +77,17 @@ def junk(rnd):
 def test_quality_of_every_column(spark, texts):
     rnd = random.Random(2)
     first = len(texts)
-    texts = texts + [prose(rnd, 60) + "." for _ in range(300)] + [junk(rnd) for _ in range(40)] + ["x # y " * 9 + prose(rnd, 400) + "."]
+    texts = texts + [prose(rnd, 60) + "." for _ in range(300)] + [prose(rnd, 40) + "." for _ in range(20)] + [junk(rnd) for _ in range(40)] + ["x # y " * 9 + prose(rnd, 400) + "."]
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], "doc_id long, text string, quality_votes int, `a.b` string")
     want = brute_quality(texts)
     got = {r["doc_id"]: r for r in quality_rules.features(df, "text", "f").collect()}
     assert [{n: got[k][f"f_{n}"] for n in quality_rules.NAMES} for k in range(len(texts))] == [f for f, _, _ in want]
     kept = quality_rules.keep(df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {k for k, (_, failed, p) in enumerate(want) if not failed and p >= 0.5}
-    assert {k for k in range(first, len(texts)) if want[k][2] >= 0.5} == {*range(first, first + 300), len(texts) - 1}  # prose stays, junk goes
+    good = {k for k in range(first, len(texts)) if want[k][2] >= 0.5}
+    assert good == set(range(first, first + 320))  # prose stays, junk goes
+    flagged = {k for k in range(len(texts)) if quality_rules.BAD in quality_rules.votes_of(brute_votes(want[k][0]))}
+    assert set(range(first + 300, first + 320)) <= flagged & good  # a lone flag is outvoted
     assert quality_rules.keep(empty(df)).count() == 0
 
 
@@ -107,6 +111,17 @@ def test_label_model_learns_what_rules_are_worth():
     assert model.posterior(all_good - 2) > 0.5 > model.posterior(all_good - 2 - 6 - 18 - 54)
 
 
+def test_label_model_rejects_without_a_flag_and_keeps_with_one():
+    """Abstentions that only bad documents have tell against a document without a flag; a rule that errs does not reject alone."""
+    all_good = sum(2 * 3**k for k in range(len(quality_rules.RULES)))
+    counts = {all_good: 8000, all_good - 2 * 3**10: 700, all_good - 1: 2}
+    for flags in combinations(range(1, 7), 3):
+        counts[all_good - 1 - sum(2 * 3**k for k in flags)] = 30
+    model = quality_rules.expectation_maximisation(counts)
+    assert model.apart() and model.posterior(all_good - 1) < 0.5 < model.posterior(all_good - 2 * 3**10)
+    assert all(model.posterior(p) < 0.01 for p, n in counts.items() if n == 30)
+
+
 def test_label_model_leaves_a_clean_corpus_alone():
     all_good = sum(2 * 3**k for k in range(len(quality_rules.RULES)))
     counts = {all_good: 80000, all_good - 9 - 27: 3000, all_good - 3**10: 2000, all_good - 2 * 3**10: 1500}
